@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from lotwise.plans import queries_cohort
+from lotwise.plans import queries_cohort, queries_ingest, queries_series
 
-QUERIES = {**queries_cohort.QUERIES}
+QUERIES = {**queries_cohort.QUERIES, **queries_ingest.QUERIES, **queries_series.QUERIES}

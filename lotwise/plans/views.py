@@ -63,7 +63,7 @@ def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("component_id"),
         F.col("event_type").alias("parameter"),
-        (F.unix_micros("ts") / F.lit(3.6e9)).alias("t"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).alias("t"),
         F.col("event_id").alias("seq"),
         "value",
         F.col("ts").alias("read_timestamp"),
@@ -95,3 +95,38 @@ def trajectory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(user % 10 < 6, "train").when(user % 10 < 8, "calib").otherwise("test").alias("split"),
         )
     )
+
+
+# Parameters, units and limits of the upload view
+UPLOAD_LIMITS = {f"p{i}": (1000.0, 90000.0, "u1") for i in range(1, 7)}
+
+
+def upload_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as an upload with defects that occur naturally in their values; rows keep their file position."""
+    from lotwise.sources.readers import read_parquet
+
+    item = read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    return item.select(
+        "source_row",
+        F.col("l_orderkey").cast("string").alias("component_id"),
+        F.concat(F.lit(" L"), (F.col("l_suppkey") % 40).cast("string")).alias("lot_id"),
+        F.concat(F.lit("T"), (F.col("l_suppkey") % 40 % 5).cast("string")).alias("component_type"),
+        F.when(line == 7, "mystery").otherwise(F.concat(F.lit("p"), line.cast("string"))).alias("parameter"),
+        F.when(F.col("l_quantity") == 13, 96.0)
+        .when(F.col("l_quantity") == 14, 0.5)
+        .when(F.col("l_linestatus") == "O", 0.0)
+        .otherwise(24.0)
+        .alias("elapsed_hours"),
+        F.when((F.col("l_discount") == 0.1) & (F.col("l_quantity") == 7), None)
+        .otherwise(F.col("l_extendedprice"))
+        .alias("measurement_value"),
+        F.when(F.col("l_suppkey") % 37 == 0, "u2").otherwise("u1").alias("measurement_unit"),
+        F.when((F.col("l_quantity") == 50) & (F.col("l_tax") == 0.05), "  ")
+        .when((F.col("l_tax") == 0) & (F.col("l_discount") == 0), "NOT_MEASURED")
+        .when((flag == "R") & (F.col("l_tax") >= 0.08), "OVERRANGE")
+        .otherwise("OK")
+        .alias("status"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("read_timestamp"),
+        F.when(F.col("l_partkey") % 500 == 3, "FIELD").otherwise("SYNTHETIC").alias("data_provenance"),
+    )

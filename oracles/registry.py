@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import cohort
+from oracles import cohort, ingest, series
 
-ORACLES = {**cohort.ORACLES}
+ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES}
