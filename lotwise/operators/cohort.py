@@ -85,6 +85,87 @@ def describe_ladder(stats: DataFrame) -> DataFrame:
     )
 
 
+# The outcome tables are written as SQL text: one expression per group table instead of thousands of Column calls.
+
+
+def _quantile_sql(a: str, p: float) -> str:
+    """Type-7 quantile of one sorted array (NULL when empty)."""
+    at = f"(size({a}) - 1) * {p}D"
+    low, high = f"get({a}, CAST(floor({at}) AS INT))", f"get({a}, CAST(ceil({at}) AS INT))"
+    return f"CASE WHEN size({a}) > 0 THEN {low} + ({high} - {low}) * ({at} - floor({at})) END"
+
+
+def _small_cases_sql(values: str) -> str:
+    """Statistics of a small sorted group without each of its members in turn, then of the whole group."""
+    places = f"CASE WHEN size({values}) > 0 THEN sequence(0, size({values}) - 1) ELSE array() END"
+    rests = f"transform({places}, r -> concat(slice({values}, 1, r), slice({values}, r + 2, size({values}))))"
+    quarts = ", ".join(f"'{q}', {_quantile_sql('a', p)}" for q, p in QUARTILES.items())
+    step1 = f"transform(concat({rests}, array({values})), a -> named_struct('a', a, {quarts}))"
+    step2 = (
+        f"transform({step1}, s -> named_struct('q1', s.q1, 'median', s.median, 'q3', s.q3,"
+        " 'gaps', array_sort(transform(s.a, v -> abs(v - s.median)))))"
+    )
+    mad = f"CASE WHEN size(s.gaps) < {K.SMALL_COHORT} THEN {_quantile_sql('s.gaps', 0.5)} END"
+    return (
+        f"transform({step2}, s -> named_struct('n', CAST(size(s.gaps) AS BIGINT), 'q1', s.q1, 'median', s.median,"
+        f" 'q3', s.q3, 'iqr', s.q3 - s.q1, 'mad', {mad}))"
+    )
+
+
+def _large_cases_sql() -> str:
+    """The seven outcomes of removing one member of a large group, then the whole group.
+
+    Case c means that the removed reading lies above exactly c of the six watched order statistics.
+    """
+
+    def block(size: str, quarts: list[str]) -> str:
+        q1, med, q3 = quarts
+        return (
+            f"named_struct('n', CAST({size} AS BIGINT), 'q1', {q1}, 'median', {med}, 'q3', {q3},"
+            f" 'iqr', ({q3}) - ({q1}), 'mad', CAST(NULL AS DOUBLE))"
+        )
+
+    def between(low: str, high: str, size: str, p: float) -> str:
+        at = f"({size} - 1) * {p}D"
+        return f"{low} + ({high} - {low}) * ({at} - floor({at}))"
+
+    blocks = []
+    for case in range(7):
+        quarts = []
+        for at, (q, p) in enumerate(QUARTILES.items()):
+            low = f"_{q}0" if case > 2 * at else f"_{q}1"
+            high = f"_{q}1" if case > 2 * at + 1 else f"_{q}2"
+            quarts.append(between(low, high, "(_n - 1)", p))
+        blocks.append(block("(_n - 1)", quarts))
+    whole = []
+    for q, p in QUARTILES.items():
+        shifted = f"floor((_n - 1) * {p}D) > floor((_n - 2) * {p}D)"
+        low, high = f"if({shifted}, _{q}1, _{q}0)", f"if({shifted}, _{q}2, _{q}1)"
+        whole.append(between(low, high, "_n", p))
+    blocks.append(block("_n", whole))
+    return f"array({', '.join(blocks)})"
+
+
+def _ladder_sql(cases: str) -> str:
+    """Add sigma, estimator, power flag and refusal. For n >= 20 a zero IQR forces a zero MAD."""
+    none = f"(s.n < {K.MIN_COHORT} OR (s.iqr = 0 AND coalesce(s.mad, 0D) = 0))"
+    by_mad = f"(s.n < {K.SMALL_COHORT} AND s.mad > 0)"
+    table = "array(" + ", ".join(f"{c}D" for c in K.MAD_CORRECTION) + ")"
+    return (
+        f"transform({cases}, s -> named_struct('n', s.n, 'q1', s.q1, 'median', s.median, 'q3', s.q3, 'iqr', s.iqr,"
+        f" 'mad', s.mad, 'robust_sigma', CASE WHEN {none} THEN 0D WHEN {by_mad}"
+        f" THEN {K.MAD_SCALE}D * get({table}, CAST(s.n AS INT) - 1) * s.mad ELSE s.iqr / {K.IQR_DIVISOR}D END,"
+        f" 'estimator', CASE WHEN {none} THEN 'none' WHEN {by_mad} THEN 'mad' ELSE 'iqr' END,"
+        f" 'reduced_power', s.n < {K.SMALL_COHORT},"
+        f" 'refusal_code', CASE WHEN s.n < {K.MIN_COHORT} THEN 'INSUFFICIENT_COHORT' WHEN {none} THEN 'NO_VARIATION' END))"
+    )
+
+
+LOO_COLUMNS = (
+    "n", "q1", "median", "q3", "iqr", "mad", "robust_sigma", "estimator", "reduced_power", "refusal_code"
+)
+
+
 def cohort_table(
     members: DataFrame,
     keys: Sequence[str],
@@ -92,7 +173,10 @@ def cohort_table(
     limit: int | None = None,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Per group: size, three order statistics around each quartile, and the sorted values of small groups."""
+    """Per group: every outcome of leaving one member out, so that rows only look theirs up.
+
+    A group of at most 20 keeps its sorted values and one outcome per member; a larger one has seven outcomes.
+    """
     picks = {}
     for name, p in QUARTILES.items():
         for step in range(3):
@@ -101,31 +185,13 @@ def cohort_table(
             )
     table = order_statistics(
         members, keys, value, picks, small_upto=K.SMALL_COHORT, limit=limit, sizes=sizes
+    ).withColumnsRenamed({"n": "_n", "small": "_small"})
+    tiny = f"_n <= {K.SMALL_COHORT}"
+    cases = _ladder_sql(f"CASE WHEN {tiny} THEN {_small_cases_sql('_small')} ELSE {_large_cases_sql()} END")
+    edges = ", ".join(f"_{q}{i}" for q in QUARTILES for i in range(2))
+    return table.selectExpr(
+        *keys, "_n", f"CASE WHEN {tiny} THEN _small END AS _small", f"array({edges}) AS _edges", f"{cases} AS _cases"
     )
-    return table.withColumnRenamed("n", "_n").withColumnRenamed("small", "_small")
-
-
-def _loo_quantile(name: str, p: float, x: Column, member: Column, m: Column) -> Column:
-    s0, s1, s2 = (F.col(f"_{name}{i}") for i in range(3))
-    base = F.greatest(F.lit(0), F.floor((F.col("_n") - 2) * F.lit(p)))
-    position = (m - 1) * F.lit(p)
-    shifted = F.floor(position) > base
-    low = F.when(member, F.when(x > s0, s0).otherwise(s1)).when(shifted, s1).otherwise(s0)
-    high = F.when(member, F.when(x > s1, s1).otherwise(s2)).when(shifted, s2).otherwise(s1)
-    return F.when(m >= 2, low + (high - low) * (position - F.floor(position))).when(m == 1, low)
-
-
-def _loo_mad(x: Column, member: Column, m: Column, centre: Column) -> Column:
-    at = F.array_position("_small", x).cast("int")
-    rest = F.when(
-        member & (at > 0),
-        F.concat(F.slice("_small", 1, at - 1), F.slice("_small", at + 1, F.size("_small"))),
-    ).otherwise(F.col("_small"))
-    gaps = F.array_sort(F.transform(rest, lambda v: F.abs(v - centre)))
-    position = (m - 1) / 2
-    low = F.get(gaps, F.floor(position).cast("int"))
-    high = F.get(gaps, F.ceil(position).cast("int"))
-    return F.when((m >= 1) & (m < K.SMALL_COHORT), (low + high) / 2)
 
 
 def leave_one_out(
@@ -136,46 +202,34 @@ def leave_one_out(
     prefix: str = "",
     limit: int | None = None,
     sizes: GroupSizes | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Every row with the statistics of its cohort: the group's members other than the row itself.
 
     Adds n, q1, median, q3, iqr, mad (NULL for n >= 20, where sigma does not need it), robust_sigma, estimator,
     reduced_power, refusal_code, each with ``prefix``. Rows outside the cohort (not OK, not finite) are compared
-    with the whole group.
+    with the whole group. ``source`` holds the same readings without the columns ``df`` gained since, so that the
+    cohort table does not recompute them.
     """
-    members = cohort_members(df, keys, value, status)
+    members = cohort_members(df if source is None else source, keys, value, status)
     sizes = sizes or group_sizes(members, keys)
     table = cohort_table(members, keys, value, limit, sizes)
-    x = F.col(value)
-    member = R.finite(x)
-    if status is not None:
-        member = member & F.coalesce(F.col(status) == "OK", F.lit(False))
     joined = lookup_join(df, table, keys, sizes, "left", limit)
-    size = F.coalesce(F.col("_n"), F.lit(0))
-    joined = joined.withColumn("_member", member & (size > 0)).withColumn(
-        "_m", F.when(F.col("_member"), size - 1).otherwise(size)
-    )
-    mem, m = F.col("_member"), F.col("_m")
-    for name, p in QUARTILES.items():
-        joined = joined.withColumn(f"_loo_{name}", _loo_quantile(name, p, x, mem, m))
-    joined = joined.withColumn("_loo_iqr", F.col("_loo_q3") - F.col("_loo_q1"))
-    joined = joined.withColumn("_loo_mad", _loo_mad(x, mem, m, F.col("_loo_median")))
-    iqr = F.col("_loo_iqr")
-    # For n >= 20 a zero IQR forces a zero MAD, so 0 stands in for the unneeded MAD.
-    mad = F.coalesce(F.col("_loo_mad"), F.when(iqr == 0, R.d(0.0)).otherwise(R.d(1.0)))
-    out = [
-        m.alias(f"{prefix}n"),
-        F.col("_loo_q1").alias(f"{prefix}q1"),
-        F.col("_loo_median").alias(f"{prefix}median"),
-        F.col("_loo_q3").alias(f"{prefix}q3"),
-        iqr.alias(f"{prefix}iqr"),
-        F.col("_loo_mad").alias(f"{prefix}mad"),
-        R.robust_sigma(m, iqr, mad).alias(f"{prefix}robust_sigma"),
-        R.estimator(m, iqr, mad).alias(f"{prefix}estimator"),
-        (m < K.SMALL_COHORT).alias(f"{prefix}reduced_power"),
-        R.refusal(m, iqr, mad).alias(f"{prefix}refusal_code"),
+    x = f"`{value}`"
+    member = f"NOT isnan({x}) AND abs({x}) < double('Infinity')" + (f" AND `{status}` = 'OK'" if status else "")
+    case = " + ".join(f"CASE WHEN {x} > _edges[{i}] THEN 1 ELSE 0 END" for i in range(6))
+    own = f"CASE WHEN _small IS NOT NULL THEN CAST(array_position(_small, {x}) AS INT) - 1 ELSE {case} END"
+    found = f"CASE WHEN {member} THEN get(_cases, {own}) ELSE element_at(_cases, -1) END"
+    joined = joined.selectExpr(*[f"`{c}`" for c in df.columns], f"{found} AS _s")
+    absent = {
+        "n": "0L", "robust_sigma": "0D", "estimator": "'none'", "reduced_power": "true",
+        "refusal_code": "'INSUFFICIENT_COHORT'",
+    }
+    picked = [
+        (f"CASE WHEN _s IS NULL THEN {absent[c]} ELSE _s.{c} END" if c in absent else f"_s.{c}") + f" AS {prefix}{c}"
+        for c in LOO_COLUMNS
     ]
-    return joined.select(*df.columns, *out)
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *picked)
 
 
 def dpat(

@@ -14,9 +14,9 @@ COHORT_LIMITS = {
     "quantity": (None, 49.0, "ea"),
     "price": (1000.0, 95000.0, "usd"),
     "discount": (None, 0.095, "ratio"),
-    "tax": (None, 0.075, "ratio"),
+    "rebate": (None, 500.0, "usd"),
 }
-COHORT_PARAMETERS = ("quantity", "price", "discount", "tax")
+COHORT_PARAMETERS = ("quantity", "price", "discount", "rebate")
 
 # Absolute upper limit used on the trajectory view
 TRAJECTORY_HIGH = 450.0
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cohort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as 24 h readings: the supplier is the lot, the four measures are the parameters."""
+    """Line items as 24 h readings: the supplier is the lot, three measures and their rebate are the parameters."""
     item = table(spark, sf_dir, "lineitem")
     over = (F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08)
     return item.select(
@@ -37,7 +37,8 @@ def cohort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("lot_id"),
         F.lit("ITEM").alias("component_type"),
         F.expr(
-            "stack(4, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount, 'tax', l_tax)"
+            "stack(4, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount,"
+            " 'rebate', l_extendedprice * l_discount * l_tax)"
             " AS (parameter, value)"
         ),
         F.lit(24).alias("elapsed_hours"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +48,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write a derived table to Parquet in the shared checkpoint folder and read it back.
+
+    Used where several consumers need the same rows: it cuts the lineage, survives lost executors, and later scans
+    still prune columns. The folder's owner clears it with the other checkpoints.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Write a small derived table to the checkpoint folder so that every later use reads the same rows."""
+    """Checkpoint a small derived table so that every later use sees the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

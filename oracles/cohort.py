@@ -33,18 +33,18 @@ ORACLES = {
     "dpat_loo": f"""WITH {COHORT}, {CN}, {loo('l', 'cohort', ['lot_id', 'parameter'])}
       SELECT component_id, lot_id, parameter, {fin('value', 'value')}, n, {fin('q1', 'q1')}, {fin('median', 'median')},
         {fin('q3', 'q3')}, {fin('robust_sigma', 'robust_sigma')},
-        {fin("CASE WHEN refusal_code IS NULL THEN median - 2 * robust_sigma END", 'limit_low')},
-        {fin("CASE WHEN refusal_code IS NULL THEN median + 2 * robust_sigma END", 'limit_high')},
+        {fin("CASE WHEN refusal_code IS NULL THEN median - 1.2 * robust_sigma END", 'limit_low')},
+        {fin("CASE WHEN refusal_code IS NULL THEN median + 1.2 * robust_sigma END", 'limit_high')},
         {fin("CASE WHEN n < 3 THEN NULL WHEN robust_sigma > 0 THEN (value - median) / robust_sigma WHEN value = median THEN 0 END", 'z')},
         CASE WHEN refusal_code IS NOT NULL THEN refusal_code
-          WHEN value >= median - 2 * robust_sigma AND value <= median + 2 * robust_sigma THEN 'PASS' ELSE 'FAIL' END AS verdict,
+          WHEN value >= median - 1.2 * robust_sigma AND value <= median + 1.2 * robust_sigma THEN 'PASS' ELSE 'FAIL' END AS verdict,
         refusal_code FROM l""",
     "dpat_loo_small": f"""WITH {SMALL}, s2 AS (SELECT *, 'OK' AS status FROM small), {CN}, {loo('l', 's2', ['lot_id'])}
       SELECT component_id, lot_id, {fin('value', 'value')}, n, {fin('median', 'median')}, {fin('mad', 'mad')},
         {fin('robust_sigma', 'robust_sigma')},
         {fin("CASE WHEN n < 3 THEN NULL WHEN robust_sigma > 0 THEN (value - median) / robust_sigma WHEN value = median THEN 0 END", 'z')},
         CASE WHEN refusal_code IS NOT NULL THEN refusal_code
-          WHEN value >= median - 2 * robust_sigma AND value <= median + 2 * robust_sigma THEN 'PASS' ELSE 'FAIL' END AS verdict,
+          WHEN value >= median - 1.2 * robust_sigma AND value <= median + 1.2 * robust_sigma THEN 'PASS' ELSE 'FAIL' END AS verdict,
         refusal_code FROM l""",
     "lot_histogram": f"""WITH {COHORT}, m AS (SELECT * FROM cohort WHERE status = 'OK'),
       s AS (SELECT lot_id, parameter, min(value) AS lo, max(value) AS hi FROM m GROUP BY ALL),
@@ -59,7 +59,7 @@ ORACLES = {
     "member_z": f"""WITH {COHORT}, {CN}, {stats_sql('cohort', 'lot_id, parameter', "status = 'OK'")}
       SELECT a.component_id, a.lot_id, a.parameter, {r6('a.value')} AS value,
         {r6('(a.value - median) / robust_sigma')} AS z,
-        a.value > median + 2 * robust_sigma OR a.value < median - 2 * robust_sigma AS flagged
+        a.value > median + 1.2 * robust_sigma OR a.value < median - 1.2 * robust_sigma AS flagged
       FROM cohort a JOIN st b ON a.lot_id = b.lot_id AND a.parameter = b.parameter
       WHERE a.status = 'OK' AND robust_sigma > 0""",
 }

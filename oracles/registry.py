@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import cohort, ingest, series
+from oracles import cohort, drift, ingest, series
 
-ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES}
+ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES, **drift.ORACLES}
