@@ -194,11 +194,11 @@ worst AS (SELECT * FROM (SELECT *, CASE severity WHEN 'ABSOLUTE_FAIL' THEN 4 WHE
     WHEN 'ELEVATED' THEN 1 ELSE 0 END DESC, coalesce(abs(z), -1) DESC,
     CASE parameter WHEN 'quantity' THEN 0 WHEN 'price' THEN 1 WHEN 'discount' THEN 2 ELSE 3 END) AS rn FROM esc) WHERE rn = 1)"""
 
-EV = f"""{PIVOT}, {POINT}, {bound('pt', '0.1', 10)}, {safety_cte('bd')}, {GUARD.replace(CN + ',', '')},
+EV = f"""{PIVOT}, {POINT}, {bound('pt', '0.1', 10)}, {safety_cte('bd')}, {GUARD},
 ev_src AS (SELECT a.*, b.socket_id, b.thermal_zone, a.v24 AS value, CASE WHEN a.v24 IS NOT NULL THEN 'OK' END AS status FROM sf a
   JOIN (SELECT component_id, parameter, any_value(socket_id) AS socket_id, any_value(thermal_zone) AS thermal_zone FROM traj WHERE elapsed_hours IN (0, 24) GROUP BY ALL) b
   ON a.component_id = b.component_id AND a.parameter = b.parameter),
-{attribution_cte('ev_src')},
+{attribution_cte('ev_src').replace(CN + ', ', '', 1)},
 lt_l AS (SELECT lot_id, avg(temperature_c) AS lot_temp FROM traj WHERE elapsed_hours IN (0, 24) GROUP BY lot_id),
 lt_z AS (SELECT lot_id, thermal_zone, avg(temperature_c) AS zone_temp FROM traj WHERE elapsed_hours IN (0, 24) GROUP BY ALL),
 e0 AS (SELECT a.*, a.lot_n AS n, a.lot_median AS median, a.lot_robust_sigma AS robust_sigma,
