@@ -1,10 +1,11 @@
 """All registered queries."""
 
-from lotwise.plans import queries_cohort, queries_drift, queries_ingest, queries_series
+from lotwise.plans import queries_cohort, queries_data, queries_drift, queries_ingest, queries_series
 
 QUERIES = {
     **queries_cohort.QUERIES,
     **queries_ingest.QUERIES,
     **queries_series.QUERIES,
     **queries_drift.QUERIES,
+    **queries_data.QUERIES,
 }
