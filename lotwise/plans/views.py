@@ -19,7 +19,7 @@ COHORT_LIMITS = {
 COHORT_PARAMETERS = ("quantity", "price", "discount", "rebate")
 
 # Absolute upper limit used on the trajectory view
-TRAJECTORY_HIGH = 450.0
+TRAJECTORY_HIGH = 150.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,10 +9,10 @@ METRICS = f"""{TRAJ}, tl AS (SELECT *, CASE WHEN parameter = 'view' THEN 'bidire
 dm0 AS (SELECT component_id, lot_id, parameter, any_value(direction) AS direction,
   coalesce(max(value) FILTER (elapsed_hours = 0), min_by(value, elapsed_hours)) AS v0, max(value) FILTER (elapsed_hours = 24) AS v24x,
   coalesce(max(value) FILTER (elapsed_hours = 168), max_by(value, elapsed_hours)) AS v168,
-  bool_or(coalesce(abs(nxt - value) >= 0.4 * 900 AND (nxt >= 450 OR nxt <= -450), false)) AS step_jump,
-  bool_or(value >= 450) AS breach, bool_or(value >= 450 AND elapsed_hours IN (0, 24)) AS early_breach FROM tl GROUP BY ALL),
-dm AS (SELECT *, coalesce(v24x, v0) AS v24, CASE WHEN direction = 'bidirectional' THEN greatest(450 - v0, v0 + 450, 1) ELSE greatest(450 - v0, 0.5) END AS margin,
-  CASE WHEN direction = 'bidirectional' THEN abs(v168 - v0) / greatest(450 - v0, v0 + 450, 1) ELSE greatest(0, v168 - v0) / greatest(450 - v0, 0.5) END AS drift_ratio FROM dm0)"""
+  bool_or(coalesce(abs(nxt - value) >= 0.4 * 300 AND (nxt >= 150 OR nxt <= -150), false)) AS step_jump,
+  bool_or(value >= 150) AS breach, bool_or(value >= 150 AND elapsed_hours IN (0, 24)) AS early_breach FROM tl GROUP BY ALL),
+dm AS (SELECT *, coalesce(v24x, v0) AS v24, CASE WHEN direction = 'bidirectional' THEN greatest(150 - v0, v0 + 150, 1) ELSE greatest(150 - v0, 0.5) END AS margin,
+  CASE WHEN direction = 'bidirectional' THEN abs(v168 - v0) / greatest(150 - v0, v0 + 150, 1) ELSE greatest(0, v168 - v0) / greatest(150 - v0, 0.5) END AS drift_ratio FROM dm0)"""
 
 LABELS = f"""{METRICS},
 o_s AS (SELECT lot_id, parameter, count(*) AS n, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr,
@@ -59,12 +59,12 @@ ORACLES = {
     "drift_metrics": f"""WITH {METRICS} SELECT component_id, parameter, {fin('v0', 'v0')}, {fin('v24', 'v24')}, {fin('v168', 'v168')}, {fin('margin', 'margin')},
       {fin('drift_ratio', 'drift_ratio')}, step_jump, breach, early_breach FROM dm""",
     "limit_violations": f"""WITH {TRAJ} SELECT component_id, lot_id, parameter, elapsed_hours, {fin('value', 'value')}, '>= absolute_max' AS violation
-      FROM traj WHERE value >= 450""",
+      FROM traj WHERE value >= 150""",
     "labels": f"""WITH {LABELS} SELECT component_id, lot_id, failure_label, stratum, degradation_mode, is_escape,
       stratum IN ('S0_CLEAR_FAIL', 'S1_ESCAPE_ANOMALY', 'S2_ESCAPE_DRIFT') AS must_flag, {fin('max_drift_168h', 'max_drift_168h')},
       {fin('max_drift_ratio', 'max_drift_ratio')}, is_24h_outlier, step_jump, NOT breach AS inside_limits FROM lb""",
     "strata_counts": f"WITH {LABELS} SELECT stratum, failure_label, count(*) AS n_parts, count(*) FILTER (is_escape) AS n_escapes FROM lb GROUP BY ALL",
-    "escape_breaches": f"WITH {LABELS} SELECT count(*) AS breaches FROM traj WHERE value >= 450 AND component_id IN (SELECT component_id FROM lb WHERE is_escape)",
+    "escape_breaches": f"WITH {LABELS} SELECT count(*) AS breaches FROM traj WHERE value >= 150 AND component_id IN (SELECT component_id FROM lb WHERE is_escape)",
     "split_assignment": f"WITH {SPLIT} SELECT * FROM sp",
     "split_audit": f"""WITH {SPLIT} SELECT pair, CAST(0 AS BIGINT) + (SELECT count(*) FROM (SELECT lot_id FROM sp WHERE split = a INTERSECT SELECT lot_id FROM sp WHERE split = b)) AS shared_lots
       FROM (VALUES ('train/calib', 'train', 'calib'), ('train/test', 'train', 'test'), ('calib/test', 'calib', 'test')) v(pair, a, b)""",

@@ -120,11 +120,11 @@ nt AS (SELECT DISTINCT component_type, parameter, tester_id FROM traj t WHERE EX
 def safety_cte(source: str) -> str:
     return f"""
 sf0 AS (SELECT *, CASE WHEN upper IS NULL THEN 'INSUFFICIENT_CALIBRATION' WHEN v0 IS NULL THEN 'INSUFFICIENT_DATA' WHEN point IS NULL THEN 'INVALID_INPUT'
-  WHEN 450.0 - v0 <= 0 THEN 'INVALID_INPUT' END AS safety_code, CAST(450 AS DOUBLE) - v0 AS headroom FROM {source}),
+  WHEN 150.0 - v0 <= 0 THEN 'INVALID_INPUT' END AS safety_code, CAST(150 AS DOUBLE) - v0 AS headroom FROM {source}),
 sf1 AS (SELECT *, headroom * CAST(0.8 AS DOUBLE) AS usable_margin, headroom * CAST(0.8 AS DOUBLE) / 168 AS safety_slope, (point - v0) / 168 AS long_slope,
-  CAST(450 AS DOUBLE) - upper AS predicted_margin FROM sf0),
-sf2 AS (SELECT *, long_slope / safety_slope AS slope_ratio, CAST(450 AS DOUBLE) - usable_margin AS safe_threshold, predicted_margin / headroom AS predicted_margin_pct FROM sf1),
-sf AS (SELECT *, CASE WHEN safety_code IS NOT NULL THEN NULL WHEN upper >= 450 THEN 'REJECT' WHEN slope_ratio >= 1 THEN 'EARLY_WARNING'
+  CAST(150 AS DOUBLE) - upper AS predicted_margin FROM sf0),
+sf2 AS (SELECT *, long_slope / safety_slope AS slope_ratio, CAST(150 AS DOUBLE) - usable_margin AS safe_threshold, predicted_margin / headroom AS predicted_margin_pct FROM sf1),
+sf AS (SELECT *, CASE WHEN safety_code IS NOT NULL THEN NULL WHEN upper >= 150 THEN 'REJECT' WHEN slope_ratio >= 1 THEN 'EARLY_WARNING'
   WHEN slope_ratio >= 0.7 OR upper >= safe_threshold THEN 'WATCH' ELSE 'SAFE' END AS band FROM sf2)"""
 
 
@@ -202,11 +202,11 @@ ev_src AS (SELECT a.*, b.socket_id, b.thermal_zone, a.v24 AS value, CASE WHEN a.
 lt_l AS (SELECT lot_id, avg(temperature_c) AS lot_temp FROM traj WHERE elapsed_hours IN (0, 24) GROUP BY lot_id),
 lt_z AS (SELECT lot_id, thermal_zone, avg(temperature_c) AS zone_temp FROM traj WHERE elapsed_hours IN (0, 24) GROUP BY ALL),
 e0 AS (SELECT a.*, a.lot_n AS n, a.lot_median AS median, a.lot_robust_sigma AS robust_sigma,
-  coalesce(v0 > 450, false) OR coalesce(v24 > 450, false) AS absolute_fail,
-  (450 - v24) / nullif(450 - coalesce(v0, v24), 0) AS observed_margin_pct,
-  CASE WHEN (v0 IS NULL OR v0 > 450) AND (v24 IS NULL OR v24 > 450) THEN 0 ELSE 1 - ((CASE WHEN v0 IS NULL THEN 1 ELSE 0 END + CASE WHEN v24 IS NULL THEN 1 ELSE 0 END) * CAST(0.05 AS DOUBLE)
-    + (CASE WHEN v0 > 450 THEN 1 ELSE 0 END + CASE WHEN v24 > 450 THEN 1 ELSE 0 END) * CAST(0.1 AS DOUBLE)
-    + CASE WHEN v0 = v24 AND v0 <= 450 THEN 0.25 ELSE 0 END) END AS quality_score,
+  coalesce(v0 > 150, false) OR coalesce(v24 > 150, false) AS absolute_fail,
+  (150 - v24) / nullif(150 - coalesce(v0, v24), 0) AS observed_margin_pct,
+  CASE WHEN (v0 IS NULL OR v0 > 150) AND (v24 IS NULL OR v24 > 150) THEN 0 ELSE 1 - ((CASE WHEN v0 IS NULL THEN 1 ELSE 0 END + CASE WHEN v24 IS NULL THEN 1 ELSE 0 END) * CAST(0.05 AS DOUBLE)
+    + (CASE WHEN v0 > 150 THEN 1 ELSE 0 END + CASE WHEN v24 > 150 THEN 1 ELSE 0 END) * CAST(0.1 AS DOUBLE)
+    + CASE WHEN v0 = v24 AND v0 <= 150 THEN 0.25 ELSE 0 END) END AS quality_score,
   CASE WHEN lot_n < 3 THEN NULL WHEN lot_robust_sigma > 0 THEN (v24 - lot_median) / lot_robust_sigma WHEN v24 = lot_median THEN 0 END AS z,
   CASE WHEN lot_n < 3 THEN 'INSUFFICIENT_COHORT' WHEN v24 IS NULL THEN NULL WHEN lot_refusal_code IS NOT NULL THEN lot_refusal_code
     WHEN v24 >= lot_median - 6 * lot_robust_sigma AND v24 <= lot_median + 6 * lot_robust_sigma THEN 'PASS' ELSE 'FAIL' END AS dpat_verdict,
