@@ -106,7 +106,11 @@ def upload_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as an upload with defects that occur naturally in their values; rows keep their file position."""
     from lotwise.sources.readers import read_parquet
 
-    item = read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    return shape_upload(read_parquet(spark, f"{sf_dir}/lineitem.parquet"))
+
+
+def shape_upload(item: DataFrame) -> DataFrame:
+    """The upload columns of line items that carry a source_row."""
     line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     return item.select(
         "source_row",

@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import cohort, data, drift, ingest, series, trace
+from oracles import cohort, data, drift, ingest, series, stream, trace
 
-ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES, **drift.ORACLES, **data.ORACLES, **trace.ORACLES}
+ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES, **drift.ORACLES, **data.ORACLES, **trace.ORACLES, **stream.ORACLES}
