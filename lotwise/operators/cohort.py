@@ -220,16 +220,16 @@ def leave_one_out(
     case = " + ".join(f"CASE WHEN {x} > _edges[{i}] THEN 1 ELSE 0 END" for i in range(6))
     own = f"CASE WHEN _small IS NOT NULL THEN CAST(array_position(_small, {x}) AS INT) - 1 ELSE {case} END"
     found = f"CASE WHEN {member} THEN get(_cases, {own}) ELSE element_at(_cases, -1) END"
-    joined = joined.selectExpr(*[f"`{c}`" for c in df.columns], f"{found} AS _s")
-    absent = {
-        "n": "0L", "robust_sigma": "0D", "estimator": "'none'", "reduced_power": "true",
-        "refusal_code": "'INSUFFICIENT_COHORT'",
-    }
-    picked = [
-        (f"CASE WHEN _s IS NULL THEN {absent[c]} ELSE _s.{c} END" if c in absent else f"_s.{c}") + f" AS {prefix}{c}"
-        for c in LOO_COLUMNS
-    ]
-    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *picked)
+    absent = (
+        "named_struct('n', 0L, 'q1', CAST(NULL AS DOUBLE), 'median', CAST(NULL AS DOUBLE), 'q3', CAST(NULL AS DOUBLE),"
+        " 'iqr', CAST(NULL AS DOUBLE), 'mad', CAST(NULL AS DOUBLE), 'robust_sigma', 0D, 'estimator', 'none',"
+        " 'reduced_power', true, 'refusal_code', 'INSUFFICIENT_COHORT')"
+    )
+    # A generator turns the struct into real columns, so later filters do not repeat the lookup per use.
+    names = ", ".join(f"`{prefix}{c}`" for c in LOO_COLUMNS)
+    return joined.selectExpr(
+        *[f"`{c}`" for c in df.columns], f"inline(array(coalesce({found}, {absent}))) AS ({names})"
+    )
 
 
 def dpat(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.sources.readers import read_parquet, spread
+
 COHORT_KEYS = ["lot_id", "component_type", "parameter", "elapsed_hours"]
 SERIES_KEYS = ["component_id", "parameter"]
 GROUP_KEYS = ["component_type", "parameter"]
@@ -14,7 +16,7 @@ COHORT_LIMITS = {
     "quantity": (None, 49.0, "ea"),
     "price": (1000.0, 95000.0, "usd"),
     "discount": (None, 0.095, "ratio"),
-    "rebate": (None, 500.0, "usd"),
+    "rebate": (None, 75.0, "usd"),
 }
 COHORT_PARAMETERS = ("quantity", "price", "discount", "rebate")
 
@@ -23,7 +25,8 @@ TRAJECTORY_HIGH = 150.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 def cohort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def cohort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ITEM").alias("component_type"),
         F.expr(
             "stack(4, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount,"
-            " 'rebate', l_extendedprice * l_discount * l_tax)"
+            " 'rebate', l_extendedprice * l_discount * l_tax / 7D)"
             " AS (parameter, value)"
         ),
         F.lit(24).alias("elapsed_hours"),
@@ -104,9 +107,7 @@ UPLOAD_LIMITS = {f"p{i}": (1000.0, 90000.0, "u1") for i in range(1, 7)}
 
 def upload_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as an upload with defects that occur naturally in their values; rows keep their file position."""
-    from lotwise.sources.readers import read_parquet
-
-    return shape_upload(read_parquet(spark, f"{sf_dir}/lineitem.parquet"))
+    return shape_upload(spread(read_parquet(spark, f"{sf_dir}/lineitem.parquet"), "source_row"))
 
 
 def shape_upload(item: DataFrame) -> DataFrame:

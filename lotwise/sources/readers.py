@@ -57,3 +57,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("source_row", F.col("_offset") + F.col("_index") + 1)
         .drop("_file", "_index", "_offset")
     )
+
+
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Hash rows over the cores when the input has fewer splits than the cluster has cores; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, column) if df.rdd.getNumPartitions() < cores else df

@@ -25,12 +25,12 @@ def _item(parameter: str, column: str) -> str:
 COHORT = "cohort AS (" + " UNION ALL ".join(
     _item(p, c)
     for p, c in (
-        ("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("rebate", "l_extendedprice * l_discount * l_tax")
+        ("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("rebate", "l_extendedprice * l_discount * l_tax / 7.0")
     )
 ) + ")"
 
 LIMITS = """limits(parameter, low, high) AS (VALUES ('quantity', CAST(NULL AS DOUBLE), CAST(49 AS DOUBLE)),
-  ('price', 1000.0, 95000.0), ('discount', NULL, 0.095), ('rebate', NULL, 500))"""
+  ('price', 1000.0, 95000.0), ('discount', NULL, 0.095), ('rebate', NULL, 75))"""
 
 CN = """cn(n, c_n) AS (VALUES (1, CAST(1.0 AS DOUBLE)), (2, 1.1955), (3, 1.4872), (4, 1.3606), (5, 1.2168), (6, 1.1896),
   (7, 1.1379), (8, 1.1274), (9, 1.1012), (10, 1.0957), (11, 1.0799), (12, 1.0766), (13, 1.0661), (14, 1.0638),
