@@ -54,7 +54,7 @@ def test_cusum_known_with_gap_and_fold(spark):
 @pytest.mark.parametrize("limit", [10**6, 12])
 def test_quality(spark, limit):
     rows = [("flat", i, float(i), 5.0) for i in range(4)]
-    rows += [("gap", i, t, float(i)) for i, t in enumerate([0.0, 1, 2, 3, 9, 9])]
+    rows += [("gap", i, float(t), float(i)) for i, t in enumerate([0.0, 1, 2, 3, 9, 9])]
     spike = [1.0, 1.1, None, 60.0, 1.0, 1.2, float("nan"), 900.0] + [1.0 + i / 10 for i in range(20)]
     rows += [("spike", i, float(i), v) for i, v in enumerate(spike)]
     df = spark.createDataFrame(rows, "k string, seq int, t double, v double").withColumn("sc", F.lit(1.0))
