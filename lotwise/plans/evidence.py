@@ -174,7 +174,8 @@ def evidence(
     lot_keys = ["lot_id", "component_type", "parameter"]
     out = lookup_join(out, stage(guard), lot_keys, group_sizes(parts, lot_keys), limit=limit)
     novel = G.novel_testers(parts, calibration.samples, calibration.phi).withColumn("_novel", F.lit(True))
-    out = out.join(F.broadcast(novel), ["component_type", "parameter", "tester_id"], "left")
+    testers = ["component_type", "parameter", "tester_id"]
+    out = lookup_join(out, stage(novel), testers, group_sizes(parts, testers), limit=limit)
     signals = F.concat(
         F.coalesce("lot_signals", F.array().cast("array<string>")),
         F.when(F.col("_novel"), F.array(F.lit("tester_novelty"))).otherwise(F.array().cast("array<string>")),

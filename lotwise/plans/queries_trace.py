@@ -10,6 +10,7 @@ from lotwise.functions import formulas as T
 from lotwise.functions import robust as R
 from lotwise.operators import cohort as C
 from lotwise.operators import skewness as M
+from lotwise.operators.ordered import group_sizes, lookup_join
 from lotwise.plans.queries_cohort import VIEW_K
 from lotwise.plans.reports import rounded
 from lotwise.plans.views import COHORT_KEYS, cohort_view
@@ -62,7 +63,7 @@ def member_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     members = C.cohort_members(cohort_view(spark, sf_dir), COHORT_KEYS, "value", "status")
     mc = M.medcouple(members, COHORT_KEYS, "value").drop("n")
-    out = M.adjusted_boxplot(rows.join(F.broadcast(mc), COHORT_KEYS))
+    out = M.adjusted_boxplot(lookup_join(rows, mc, COHORT_KEYS, group_sizes(members, COHORT_KEYS), "inner"))
     tukey = R.tukey_position(F.col("value"), F.col("q1"), F.col("q3"))
     box = (F.col("value") < F.col("boxplot_low")) | (F.col("value") > F.col("boxplot_high"))
     out = out.withColumns({"tukey": tukey, "outside_boxplot": box})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.constants import REQUIRED_COLUMNS
+from lotwise.operators.ordered import bounded_broadcast
 
 OPTIONAL_COLUMNS = (
     "temperature_c", "voltage_v", "read_timestamp", "absolute_limit_low", "absolute_limit_high", "board_id",
@@ -53,7 +54,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
-        rows.join(F.broadcast(offsets), "_file")
+        rows.join(bounded_broadcast(offsets, len(df.inputFiles())), "_file")
         .withColumn("source_row", F.col("_offset") + F.col("_index") + 1)
         .drop("_file", "_index", "_offset")
     )
