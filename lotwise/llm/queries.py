@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotwise.llm import quality
-from lotwise.llm.common import read
+from lotwise.llm import cascade, mixing, quality, secrets
+from lotwise.llm.common import read, stage
+
+
+def _joined(spans: Column) -> Column:
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")
+
+
+def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document; the base kinds are counted and digested."""
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.BASE]
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
+        F.sha2(_joined(F.filter("secrets", lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256"),
+        _joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule or, without one, by the cascade over the hosts of the corpus."""
+    return cascade.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "url_verdict.*")
+
+
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight asks, with its block of the mixed stream and its place in it."""
+    rows = stage(mixing.sized(read(spark, sf_dir, "documents")))
+    sources = mixing.plan(rows)
+    return mixing.arrange(mixing.realise(rows, sources), sources)
 
 
 def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +46,9 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[judged.quality[n].alias(n) for n in names])
 
 
-QUERIES = {"op10_quality_ratio": op10_quality_ratio}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op4_secret_trigrams": op4_secret_trigrams,
+    "op5_url_cascade": op5_url_cascade,
+    "op9_temperature_mix": op9_temperature_mix,
+    "op10_quality_ratio": op10_quality_ratio,
+}

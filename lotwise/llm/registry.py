@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import queries
+from lotwise.llm import oracles, queries
 
 QUERIES = dict(queries.QUERIES)
-ORACLES = dict(queries.ORACLES)
+ORACLES = dict(oracles.ORACLES)
