@@ -114,4 +114,42 @@ def _mix_sql() -> str:
     """
 
 
-ORACLES = {"op4_secret_trigrams": _secret_sql(), "op5_url_cascade": _url_sql(), "op9_temperature_mix": _mix_sql()}
+def _warc_sql() -> str:
+    kinds = (
+        "SELECT page_id * 8 + 1 AS record_id, 1 AS days, 'tag' AS ask, * FROM p",
+        "SELECT page_id * 8 + 2, 2, 'date', * FROM p WHERE page_id % 2 = 0",
+        "SELECT page_id * 8 + 3, 3, 'other', * FROM p WHERE page_id % 5 = 0",
+        "SELECT page_id * 8 + 4, -200, 'tag', * FROM p WHERE page_id % 7 = 0",
+    )
+    return f"""
+    WITH u AS (
+        SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+               '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id % 97) AS modified FROM pages
+    ), q AS (
+        SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS kept FROM u
+    ), p AS (
+        SELECT page_id, html, tag, modified,
+               regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*\\.', '')
+               || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS uri FROM q
+    ), revisits AS ({' UNION ALL '.join(kinds)}
+    ), matched AS (
+        SELECT r.*, b.page_id AS rp, b.html AS body, b.tag AS btag, b.modified AS bmod,
+               row_number() OVER (PARTITION BY r.record_id ORDER BY b.page_id DESC) AS k
+        FROM revisits r LEFT JOIN p b ON r.uri = b.uri AND b.html IS NOT NULL AND b.page_id * 60 < r.page_id * 60 + 86400 * r.days
+    ), judged AS (
+        SELECT *, CASE WHEN rp IS NULL THEN 'no_response' WHEN ask = 'date' THEN CASE WHEN modified = bmod THEN 'resolved' ELSE 'last_modified_differs' END
+                       WHEN (CASE ask WHEN 'tag' THEN tag ELSE '"0"' END) = btag THEN 'resolved' ELSE 'etag_differs' END AS resolution
+        FROM matched WHERE k = 1
+    )
+    SELECT record_id, uri, rp * 8 AS response_id, resolution,
+           CASE WHEN resolution = 'resolved' THEN CASE ask
+             WHEN 'tag' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/' || tag || chr(10) || 'last-modified: ' || bmod
+             ELSE 'cache-control: max-age=600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: day two' || chr(10) || 'etag: ' || btag || chr(10) || 'last-modified: ' || modified END
+           END AS headers,
+           CASE WHEN resolution = 'resolved' THEN length(body) END AS n_chars, CASE WHEN resolution = 'resolved' THEN sha256(body) END AS body_sha256
+    FROM judged
+    """
+
+
+ORACLES = {
+    "op1_warc_revisits": _warc_sql(), "op4_secret_trigrams": _secret_sql(), "op5_url_cascade": _url_sql(), "op9_temperature_mix": _mix_sql()}

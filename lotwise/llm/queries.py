@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, mixing, quality, secrets
+from lotwise.llm import cascade, mixing, quality, secrets, sitetree, warc
 from lotwise.llm.common import read, stage
 
 
@@ -14,6 +14,58 @@ def _joined(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Archive records derived from raw pages, one response and up to four revisits each.
+
+    The response is captured ``page_id`` minutes into the crawl. A day later it is found not modified; an even page is
+    asked by date only; every fifth answers with another entity tag, every seventh a day before any capture.
+    """
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    at = lambda days: F.timestamp_micros((F.col("page_id") * 60 + F.lit(1_700_000_000 + 86_400 * days)) * 1_000_000)
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 97).cast("string"))
+
+    def record(n: int, kind: str, days: int, status: int, headers: Column, when: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                (F.col("page_id") * 8 + n).alias("record_id"), F.lit(kind).alias("record_type"), F.col("url").alias("target_uri"),
+                at(days).alias("record_date"), F.lit(status).alias("status"), headers.alias("headers"),
+                (F.col("html") if n == 0 else F.lit(None).cast("string")).alias("body"),
+            ),
+        )
+
+    full = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Last-Modified"), modified, F.lit("Cache-Control"), F.lit("max-age=600"))
+    same = F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.lit("0"))
+    dated = F.create_map(F.lit("Last-Modified"), modified, F.lit("Date"), F.lit("day two"))
+    other = F.create_map(F.lit("etag"), F.lit('"0"'))
+    page = F.col("page_id")
+    rows = F.array_compact(
+        F.array(
+            record(0, "response", 0, 200, full, F.lit(True)),
+            record(1, "revisit", 1, 304, same, F.lit(True)),
+            record(2, "revisit", 2, 304, dated, page % 2 == 0),
+            record(3, "revisit", 3, 304, other, page % 5 == 0),
+            record(4, "revisit", -200, 304, same, page % 7 == 0),
+        )
+    )
+    return pages.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the captures of all pages, resolved; bodies as sizes and digests."""
+    found = warc.resolve(capture_records(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    headers = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
+    return found.select(
+        "record_id", "uri", "response_id", "resolution", headers.alias("headers"),
+        F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"),
+    )
+
+
+def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitetree.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document; the base kinds are counted and digested."""
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,8 +99,10 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op4_secret_trigrams": op4_secret_trigrams,
     "op5_url_cascade": op5_url_cascade,
+    "op7_site_tree": op7_site_tree,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_quality_ratio": op10_quality_ratio,
 }
