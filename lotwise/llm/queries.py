@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, mixing, quality, secrets, sitetree, warc
+from lotwise.llm import cascade, dartminhash, mixing, quality, secrets, sitetree, warc
 from lotwise.llm.common import read, stage
 
 
@@ -83,6 +83,11 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "url_verdict.*")
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class."""
+    return dartminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks, with its block of the mixed stream and its place in it."""
     rows = stage(mixing.sized(read(spark, sf_dir, "documents")))
@@ -103,6 +108,7 @@ QUERIES = {
     "op4_secret_trigrams": op4_secret_trigrams,
     "op5_url_cascade": op5_url_cascade,
     "op7_site_tree": op7_site_tree,
+    "op8_dart_minhash": op8_dart_minhash,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_quality_ratio": op10_quality_ratio,
 }
