@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lotwise.llm.cascade import LISTED_PARTS, RULES
 from lotwise.llm.mixing import BLOCK_TOKENS, REPETITION_LIMIT, SEED, STEPS, TARGET_ENTROPY
-from lotwise.llm.secrets import RULES as SECRET_RULES
+from lotwise.llm.secret_scan import RULES as SECRET_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, dartminhash, mixing, quality, secrets, sitetree, warc
+from lotwise.llm import cascade, dartminhash, lattice, mixing, quality, secret_scan, sitetree, warc
 from lotwise.llm.common import read, stage
 
 
@@ -61,6 +61,19 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentence_pieces(docs: DataFrame) -> DataFrame:
+    """Size, digest and round trip of the encoding of every row of ``docs``."""
+    import public_tokenizers
+
+    pieces = lattice.load_pieces(docs.sparkSession, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.summarise(lattice.encode(docs, pieces))
+
+
+def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoding of every document by the 32,000-piece model, as digests."""
+    return sentence_pieces(read(spark, sf_dir, "documents"))
+
+
 def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return sitetree.extract(read(spark, sf_dir, "pages"))
@@ -68,8 +81,8 @@ def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document; the base kinds are counted and digested."""
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    kinds = [r.kind for r in secrets.BASE]
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secret_scan.BASE]
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
@@ -107,6 +120,7 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op4_secret_trigrams": op4_secret_trigrams,
     "op5_url_cascade": op5_url_cascade,
+    "op6_piece_lattice": op6_piece_lattice,
     "op7_site_tree": op7_site_tree,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_temperature_mix": op9_temperature_mix,
