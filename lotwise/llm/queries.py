@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, dartminhash, lattice, mixing, quality, secret_scan, sitetree, warc
+from lotwise.llm import cascade, dartminhash, lattice, mixing, quality, secret_scan, sitetree, tokenfiles, warc
 from lotwise.llm.common import read, stage
 
 
@@ -79,6 +79,14 @@ def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.extract(read(spark, sf_dir, "pages"))
 
 
+def op3_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, size and checksum, from the files its ids were written to."""
+    import public_tokenizers
+
+    blocks = tokenfiles.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_back(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document; the base kinds are counted and digested."""
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -118,6 +126,7 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op3_context_mixing_files": op3_context_mixing_files,
     "op4_secret_trigrams": op4_secret_trigrams,
     "op5_url_cascade": op5_url_cascade,
     "op6_piece_lattice": op6_piece_lattice,
