@@ -227,7 +227,9 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, class_id, node, component) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    ``node`` is the md5 of the text, ``component`` the smallest node of the class.
 
     The class is the smallest doc_id connected by copies or by similarity of at least the threshold. A null text is
     empty; texts without words equal only themselves, texts of fewer than five words are one shingle. Rows with equal
@@ -277,9 +279,28 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     named = signed.select("doc_id", "node")
     if labels is not None:
         named = named.join(labels, "node", "left")
-        named = named.select("doc_id", F.coalesce("component", "node").alias("component"))
+        named = named.select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     else:
-        named = named.select("doc_id", F.col("node").alias("component"))
+        named = named.select("doc_id", "node", F.col("node").alias("component"))
     named = stage(named)
     ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return named.join(ids, "component").select("doc_id", "class_id")
+    return named.join(ids, "component").select("doc_id", "class_id", "node", "component")
+
+
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class: the smallest doc_id, of equal ones the smallest node.
+
+    Of several equal rows (doc_id and text) one stays. A class whose ids are all null keeps one row too.
+    """
+    found = classes(docs, threshold=threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    kept = found.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.node")
+    kept = stage(kept.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
+    node = F.md5(whole_text(F.col("text")))
+    rows = docs.withColumn("_text_node", node).join(
+        broadcast_if_small(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")), "left_semi"
+    )
+    repeated = found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_text_node"])
+    return rows.select(*docs.columns)

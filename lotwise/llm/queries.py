@@ -106,7 +106,7 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class."""
-    return dartminhash.classes(read(spark, sf_dir, "documents"))
+    return dartminhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
