@@ -193,7 +193,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN
     """
     host = host_and_path(F.col("url"))[0]
     page = F.coalesce("html", F.lit(""))
-    low = stage(low_paths(style_tree(pages.select(host.alias("host"), page.alias("html")), min_pages), threshold))
+    tree = stage(style_tree(pages.select(host.alias("host"), page.alias("html")), min_pages))
+    low = stage(low_paths(tree, threshold))
     low = broadcast_if_small(low.withColumnRenamed("host", "_host"), 100_000)
     rows = pages.select("page_id", "url", host.alias("host"), page.alias("html")).join(low, F.col("host") == F.col("_host"), "left")
     return rows.select("page_id", "url", "html", "low").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
