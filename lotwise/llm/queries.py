@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, dartminhash, lattice, mixing, quality, secret_scan, sitetree, tokenfiles, warc
+from lotwise.llm import cascade, dartminhash, lattice, mixing, nndescent, quality, secret_scan, sitetree, tokenfiles, warc
 from lotwise.llm.common import read, stage
 
 
@@ -79,6 +79,13 @@ def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.extract(read(spark, sf_dir, "pages"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all the others."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = nndescent.build(vectors)
+    return nndescent.search(index, nndescent.own_starts(index, vectors.where("vec_id % 20 = 0")))
+
+
 def op3_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, size and checksum, from the files its ids were written to."""
     import public_tokenizers
@@ -126,6 +133,7 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_nn_descent": op2_nn_descent,
     "op3_context_mixing_files": op3_context_mixing_files,
     "op4_secret_trigrams": op4_secret_trigrams,
     "op5_url_cascade": op5_url_cascade,
