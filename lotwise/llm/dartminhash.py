@@ -9,8 +9,9 @@ a dart; the earliest is its value. Large texts fill up in the first thin slabs,
 and not one hash per element and coordinate. Two texts agree in a coordinate with probability equal to their similarity.
 
 Classes: exact copies are one node. Nodes that share a band meet in a bucket, where each is compared, by its whole
-shingles, with one leader; those not joined to the leader's component meet again under a leader of their own until none
-is left. No pair of members is emitted but (member, leader). Texts move once per round, dealt by leader and salt; a
+shingles, with one leader; those not joined to the leader's component are then compared among themselves: in one task,
+each with the leaders before it, or under another common leader while they are many. No pair but (member, leader) is
+emitted. Texts move once per round, dealt by leader and salt; a
 leader with thousands of members is sent to each salt. Components are contracted by minima and pointer jumps on tables.
 """
 
@@ -33,6 +34,8 @@ BANDS, ROWS = 25, 5
 CHUNK_WORDS = 200_000
 REMEMBERED = 1_000_000
 PER_SALT = 500
+# Members that one task compares under as many leaders as it takes; larger rests of buckets get another common leader.
+REST = 1000
 # Upper ends of the first slabs of rank; then one per unit.
 SLABS = [2.0**-i for i in range(6, -1, -1)]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -201,6 +204,46 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) ->
     return dealt.select("leader", "node", "text").mapInPandas(_compare(threshold), "node string, leader string, similarity double")
 
 
+def _cluster(threshold: float):
+    """Links of each bucket's rows, which come together: every row with the first earlier one that it reaches, if any.
+
+    Rows that reach none lead from then on, so all that aren't similar to a leader are compared with each other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, bucket, leaders = _Words(), None, []
+        for batch in batches:
+            rows = []
+            for name, node, text in zip(batch["bucket"], batch["node"], batch["text"]):
+                if name != bucket:
+                    bucket, leaders = name, []
+                own = shingles([split_words(text)], words)[1:]
+                weight = own[1].sum()
+                for leader, other, size in leaders:
+                    if min(weight, size) >= threshold * max(weight, size):
+                        near = weighted_jaccard(own, other)
+                        if near >= threshold:
+                            rows.append((node, leader, near))
+                            break
+                else:
+                    leaders.append((node, own, weight))
+            yield pd.DataFrame(rows, columns=["node", "leader", "similarity"])
+
+    return run
+
+
+def settle(places: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(node, leader, similarity) within the buckets of ``places`` (bucket, node), at most ``REST`` rows each.
+
+    Buckets with the same nodes are compared once.
+    """
+    each = places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    once = each.where("n > 1").groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = places.join(once, "bucket").join(texts, "node").select("bucket", "node", "text")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInPandas(_cluster(threshold), "node string, leader string, similarity double")
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node with a link: the smallest node it is connected to. ``labels`` are those found so far."""
     edges = links.select(F.col("node").alias("a"), F.col("leader").alias("b"))
@@ -248,41 +291,42 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     texts = stage(
         docs.select(F.md5(text).alias("node"), text.alias("text")).join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
     )
-    tried: DataFrame | None = None
     labels: DataFrame | None = None
-    while True:
+
+    def beside(places: DataFrame) -> DataFrame:
+        """(bucket, node, component, leader, lead): rows outside the component of their bucket's leader, its smallest."""
         known = places.withColumn("component", F.col("node"))
         if labels is not None:
             known = places.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         leaders = known.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("l"))
-        left = known.join(leaders, "bucket").where("component <> l.component")
-        left = stage(left.select("bucket", "node", "component", F.col("l.node").alias("leader"), F.col("l.component").alias("lead")))
-        pairs = left.select("node", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        # Of a node's leaders the smallest first: its links mostly settle the others.
-        if labels is None:
-            pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
-        pairs = stage(pairs)
-        if pairs.isEmpty():
-            if left.isEmpty():
-                break
-        else:
-            tried = pairs if tried is None else tried.unionByName(pairs)
+        rows = known.join(leaders, "bucket").where("component <> l.component")
+        return stage(rows.select("bucket", "node", "component", F.col("l.node").alias("leader"), F.col("l.component").alias("lead")))
+
+    # First each node with the smallest of its leaders: that mostly settles the others.
+    pairs = stage(beside(places).groupBy("node").agg(F.min("leader").alias("leader")))
+    tried = pairs
+    if not pairs.isEmpty():
+        labels = components(verify(pairs, texts, threshold))
+    while True:
+        rows = beside(places)
+        pairs = stage(rows.select("node", "leader").distinct().join(tried, ["node", "leader"], "left_anti"))
+        if not pairs.isEmpty():
             labels = components(verify(pairs, texts, threshold), labels)
-        if labels is not None and not (tried is pairs):
-            # Rows that the round's leader stood for, or has taken in, are done; the rest meet under the next leader.
-            places = left.select("bucket", "node")
-            renewed = left.join(labels.select("node", F.col("component").alias("now")), "node", "left")
-            renewed = renewed.join(labels.select(F.col("node").alias("leader"), F.col("component").alias("lead_now")), "leader", "left")
-            places = stage(renewed.where("coalesce(now, node) <> coalesce(lead_now, leader)").select("bucket", "node"))
-    named = signed.select("doc_id", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-        named = named.select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    else:
-        named = named.select("doc_id", "node", F.col("node").alias("component"))
-    named = stage(named)
+            tried = tried.unionByName(pairs)
+        # Rows whose leader's component took them in are done; the rest meet among themselves.
+        if labels is not None:
+            rows = rows.join(labels.withColumnRenamed("component", "now"), "node", "left")
+            rows = rows.join(labels.select(F.col("node").alias("leader"), F.col("component").alias("lead_now")), "leader", "left")
+            rows = rows.where("coalesce(now, node) <> coalesce(lead_now, leader)")
+        places = stage(rows.select("bucket", "node"))
+        sizes = stage(places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        small = places.join(sizes.where(F.col("n") <= REST), "bucket", "left_semi")
+        labels = components(settle(small, texts, threshold), labels)
+        places = stage(places.join(sizes.where(F.col("n") > REST), "bucket", "left_semi"))
+        if places.isEmpty():
+            break
+    named = signed.select("doc_id", "node").join(labels, "node", "left")
+    named = stage(named.select("doc_id", "node", F.coalesce("component", "node").alias("component")))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return named.join(ids, "component").select("doc_id", "class_id", "node", "component")
 

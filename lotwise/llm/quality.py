@@ -17,7 +17,10 @@ from lotwise.llm.common import broadcast_if_small, let, stage, whole_text, words
 
 # Bins for words, and as many again for pairs.
 BINS = 1 << 14
-# Mean log ratio below which a text looks less like the target than text drawn from the raw corpus does.
+# Raw occurrences that smoothing adds to each bin, and to the target in proportion to its size: a bin that is rare in the
+# raw corpus says little, whether or not the target has it.
+PRIOR = 20.0
+# Mean log ratio below which a text is unlike the target.
 THRESHOLD = -0.2
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -63,7 +66,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> DataF
 
 
 def log_ratio_table(counts: DataFrame, bins: int = BINS) -> DataFrame:
-    """One row with ``ratio``, an array over all bins; both multinomials are smoothed by one count per bin and size."""
+    """One row with ``ratio``, an array over all bins. Without target n-grams of a size all its ratios are 0."""
     spark = counts.sparkSession
     kind = (F.col("bin") >= bins).cast("int")
     full = (
@@ -72,7 +75,8 @@ def log_ratio_table(counts: DataFrame, bins: int = BINS) -> DataFrame:
         .select("bin", kind.alias("kind"), F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     )
     totals = full.groupBy("kind").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    ratio = F.log((F.col("target") + 1) / (F.col("all_target") + bins)) - F.log((F.col("raw") + 1) / (F.col("all_raw") + bins))
+    part = F.col("all_target") / F.col("all_raw")
+    ratio = F.when(part > 0, F.log((F.col("target") + PRIOR * part) / (F.col("raw") + PRIOR) / part)).otherwise(F.lit(0.0))
     rows = full.join(F.broadcast(totals), "kind").select(F.struct("bin", ratio.alias("ratio")).alias("x"))
     return rows.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ratio"]).alias("ratio"))
 
@@ -118,7 +122,7 @@ def judge(
 
     A null or empty text has no words and fails the counting rules, with a null score; a document of one word is scored
     by that word. Repeated rows are judged each. Extra columns pass through, whatever their names (``quality`` excepted,
-    which is replaced). Without trusted documents the target is uniform over the bins. Empty tables give no rows.
+    which is replaced). Without trusted documents all scores are 0. Empty tables give no rows.
     """
     table = stage(log_ratio_table(ngram_counts(docs, trusted, bins), bins))
     others = [c for c in docs.columns if c != "quality"]
