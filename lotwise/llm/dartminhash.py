@@ -17,6 +17,7 @@ leader with thousands of members is sent to each salt. Components are contracted
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,10 +159,10 @@ def _sign(bands: int, rows: int):
 
 def split_words(text: str) -> list[str]:
     """Runs of characters other than space and U+0009 to U+000D."""
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    return _WORD.findall(text)
 
 
-_SPACES = {c: " " for c in range(9, 14)}
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
