@@ -101,9 +101,12 @@ def resolve(records: DataFrame, hot: int = HOT) -> DataFrame:
     keys = keys.where("full OR kind = 'revisit'").dropDuplicates(["id"])
     pairs = as_of(keys.drop("kind"), hot)
     revisits = records.where(kind == "revisit").select("record_id", canonical_url(F.col("target_uri")).alias("uri"), F.col("headers").alias("fresh")).dropDuplicates(["record_id"])
-    revisits = revisits.join(pairs.withColumnRenamed("revisit", "record_id"), "record_id")
+    revisits = stage(revisits.join(pairs.withColumnRenamed("revisit", "record_id"), "record_id"))
     stored = records.where(full).select(F.col("record_id").alias("response"), F.col("headers").alias("old"), "body").dropDuplicates(["response"])
-    rows = revisits.join(stored, "response", "left")
+    # Revisits without a response would all meet under the null key; they need no join.
+    alone = revisits.where("response IS NULL").withColumn("old", F.lit(None).cast(records.schema["headers"].dataType))
+    alone = alone.withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
+    rows = revisits.where("response IS NOT NULL").join(stored, "response", "left").unionByName(alone)
 
     def value(headers: str, name: str) -> Column:
         return F.get(F.filter(_lower_keys(F.col(headers)), lambda e: e["key"] == name), F.lit(0))["value"]
