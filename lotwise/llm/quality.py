@@ -75,7 +75,7 @@ def log_ratio_table(counts: DataFrame, bins: int = BINS) -> DataFrame:
         .select("bin", kind.alias("kind"), F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     )
     totals = full.groupBy("kind").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    part = F.col("all_target") / F.col("all_raw")
+    part = F.try_divide("all_target", "all_raw")
     ratio = F.when(part > 0, F.log((F.col("target") + PRIOR * part) / (F.col("raw") + PRIOR) / part)).otherwise(F.lit(0.0))
     rows = full.join(F.broadcast(totals), "kind").select(F.struct("bin", ratio.alias("ratio")).alias("x"))
     return rows.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ratio"]).alias("ratio"))

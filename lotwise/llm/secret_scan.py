@@ -126,7 +126,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         found.append(F.when(asked, spans).otherwise(none) if rule.kind in queries else spans)
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(
-        F.sort_array(F.concat(*found)),
+        F.sort_array(F.concat(none, *found)),
         lambda s: F.struct(F.get(names, s["number"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
     return rows.select("_row.*", spans.alias("secrets"))

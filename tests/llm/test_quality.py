@@ -3,7 +3,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
 import xxhash
 
 from lotwise.llm import quality as Q
@@ -97,7 +96,8 @@ def test_labels_of_held_out_documents(spark):
     assert good > 0.97 and bad < 0.3
 
 
-@pytest.mark.parametrize("native", [True])
-def test_no_python_in_the_plan(spark, native, capsys):
-    rows_of(spark, {1: "a b c"}, {1}).explain("formatted")
-    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+def test_no_python_in_the_plan(spark, capsys):
+    d = "/root/testdata/sf0.001"
+    trusted = Q.trusted_documents(spark.read.parquet(f"{d}/labels.parquet"))
+    Q.judge(spark.read.parquet(f"{d}/documents.parquet"), trusted).explain("formatted")
+    assert not re.search("EvalPython|InPandas|InArrow", capsys.readouterr().out)
