@@ -22,6 +22,8 @@ COHORT_PARAMETERS = ("quantity", "price", "discount", "rebate")
 
 # Absolute upper limit used on the trajectory view
 TRAJECTORY_HIGH = 150.0
+# Fixed value: what the number of a triple is worth in the part's id
+TRIPLE = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,23 +77,27 @@ def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First three events of each series as the 0, 24 and 168 h readings, long format."""
+    """Events as trajectories, long format: each three successive events of a series are a part's 0, 24 and 168 h readings.
+
+    The part is the user and the number of the triple; a series whose events are no multiple of three ends in a part with
+    missing read-points. Some parts of the test split come from a tester that no other split has.
+    """
     events = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     user = F.col("user_id")
+    place = F.row_number().over(w) - 1
     return (
-        events.withColumn("_rank", F.row_number().over(w))
-        .filter("_rank <= 3")
+        events.withColumn("_place", place)
         .select(
-            user.alias("component_id"),
+            (user + F.expr("_place div 3") * TRIPLE).alias("component_id"),
             (user % 10).alias("lot_id"),
             (user % 3).cast("string").alias("component_type"),
             F.col("event_type").alias("parameter"),
-            F.element_at(F.array(F.lit(0), F.lit(24), F.lit(168)), F.col("_rank")).alias("elapsed_hours"),
+            F.element_at(F.array(F.lit(0), F.lit(24), F.lit(168)), F.col("_place") % 3 + 1).alias("elapsed_hours"),
             "value",
             F.lit("OK").alias("status"),
             (F.lit(120.0) + (user % 5)).alias("temperature_c"),
-            (user % 4).cast("string").alias("tester_id"),
+            F.when((user % 10 >= 8) & (user % 3 == 0), "new").otherwise((user % 4).cast("string")).alias("tester_id"),
             (user % 7).cast("string").alias("socket_id"),
             (user % 2).cast("string").alias("thermal_zone"),
             F.col("ts").alias("read_timestamp"),

@@ -42,15 +42,15 @@ SMALL = """small AS (SELECT concat_ws('/', p_brand, p_size) AS lot_id, p_partkey
 SERIES = """series AS (SELECT user_id AS component_id, event_type AS parameter, epoch_us(ts) / 3.6e9 AS t,
   event_id AS seq, value, ts AS read_timestamp FROM events)"""
 
-TRAJ = """traj AS (SELECT * FROM (SELECT user_id AS component_id, user_id % 10 AS lot_id,
+TRAJ = """traj AS (SELECT user_id + place // 3 * 1000000000 AS component_id, user_id % 10 AS lot_id,
     CAST(user_id % 3 AS VARCHAR) AS component_type, event_type AS parameter,
-    CASE row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)
-      WHEN 1 THEN 0 WHEN 2 THEN 24 WHEN 3 THEN 168 ELSE NULL END AS elapsed_hours,
+    CASE place % 3 WHEN 0 THEN 0 WHEN 1 THEN 24 ELSE 168 END AS elapsed_hours,
     value, 'OK' AS status, CAST(120 + user_id % 5 AS DOUBLE) AS temperature_c,
-    CAST(user_id % 4 AS VARCHAR) AS tester_id, CAST(user_id % 7 AS VARCHAR) AS socket_id,
+    CASE WHEN user_id % 10 >= 8 AND user_id % 3 = 0 THEN 'new' ELSE CAST(user_id % 4 AS VARCHAR) END AS tester_id,
+    CAST(user_id % 7 AS VARCHAR) AS socket_id,
     CAST(user_id % 2 AS VARCHAR) AS thermal_zone, ts AS read_timestamp, event_id AS source_row,
     CASE WHEN user_id % 10 < 6 THEN 'train' WHEN user_id % 10 < 8 THEN 'calib' ELSE 'test' END AS split
-  FROM events) WHERE elapsed_hours IS NOT NULL)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS place FROM events))"""
 
 
 def loo(name: str, source: str, keys: list[str], value: str = "value", prefix: str = "") -> str:
