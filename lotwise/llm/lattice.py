@@ -26,6 +26,8 @@ from lotwise.llm.common import stage, whole_text
 SPACE = "▁"
 HOT_WORDS = 200_000
 SLICE = 256
+# Distinct words segmented in one task: the edges of their lattices are grouped there and fit into its memory.
+WORDS_PER_TASK = 20_000
 PIECES = "id int, piece string, score double, kind string, hex string"
 _WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 
@@ -141,7 +143,8 @@ def dictionary(words: DataFrame, pieces: DataFrame, merges: bool = True) -> Data
     has_bytes = not pieces.where("kind = 'byte'").isEmpty()
     # Slices that overlap by the longest piece, so that a substring is not searched from the beginning of a long word.
     begins = F.sequence(F.lit(0), F.length("word") - 1, F.lit(SLICE))
-    slices = words.select("word").repartition("word").select("word", F.explode(begins).alias("base"))
+    tasks = -(-words.count() // WORDS_PER_TASK) or 1
+    slices = words.select("word").repartition(tasks, "word").select("word", F.explode(begins).alias("base"))
     slices = slices.select("word", "base", F.substr("word", F.col("base") + 1, F.lit(SLICE + longest - 1)).alias("slice"))
     starts = F.sequence(F.lit(0), F.least(F.lit(SLICE), F.length("slice")) - 1)
     places = slices.select("word", "base", "slice", F.explode(starts).alias("s"))
