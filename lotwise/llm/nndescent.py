@@ -266,10 +266,10 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
 
     ``start``: a node to begin at (a query that is itself in the index begins at its own node); all begin at ``ENTRIES``
     fixed nodes besides. A query never finds its own id. Scores are inner products of the original vectors in double
-    precision, added in order; ties go to the smaller vec_id. Unusable queries are left out.
+    precision, added in order; ties go to the smaller vec_id. Unusable queries are left out, a repeated id is asked once.
     """
-    asked = usable(queries.select("id", "vector"))
-    starts = queries.select("id", "start").where("start IS NOT NULL") if "start" in queries.columns else None
+    asked = usable(queries.select("id", "vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    starts = queries.select("id", "start").where("start IS NOT NULL").distinct() if "start" in queries.columns else None
     n = asked.count()
     buckets = -(-max(n, 1) // 256)
     entries = index.codes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(ENTRIES)
