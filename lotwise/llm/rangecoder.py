@@ -1,7 +1,7 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks in step.
 
-For each id two contexts predict: the two ids before it (order 2, hashed) and the one before (order 1), each with a
-confidence from 0 to 7. How often a prediction with this pair of confidences has come true in the block so far gives its
+For each id two contexts predict: the two ids before it (order 2) and the one before (order 1), each with a
+confidence from 0 to 7 (both hashed into tables that stay in the processor's cache). How often a prediction with this pair of confidences has come true in the block so far gives its
 share of the coding range; the rest is for the block's own id frequencies (order 0, every id possible). Shares, tables
 and frequencies start anew in each block, so a block is decoded by itself.
 
@@ -22,7 +22,7 @@ import numpy as np
 
 MAGIC = b"LWCM"
 LANES = 256
-TABLE = 1 << 16
+TABLE = 1 << 13
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 WEIGHT = 24  # of a seen id against one for every id of the vocabulary
@@ -30,7 +30,7 @@ RATE = 5
 
 
 def _rebuild_at(t: int) -> bool:
-    return t in (0, 64, 256, 512) or t % 1024 == 0
+    return t in (0, 64, 256, 1024) or t % 4096 == 0
 
 
 class _Coder:
@@ -86,8 +86,7 @@ class _Model:
     def predict(self, k: int) -> None:
         lane = np.arange(k)
         one, two = self.one[:k], self.two[:k]
-        hashed = (one * 40503 + two * 60493 + (two >> 5)) & (TABLE - 1)
-        self.slot = [lane * TABLE + one, lane * TABLE + hashed]
+        self.slot = [lane * TABLE + (one * 40503 >> 7) % TABLE, lane * TABLE + (one * 40503 + two * 60493 + (two >> 5)) % TABLE]
         self.guess = [self.ids[j][s].astype(np.int64) for j, s in enumerate(self.slot)]
         level = [self.sure[j][s].astype(np.int64) for j, s in enumerate(self.slot)]
         self.agree = self.guess[0] == self.guess[1]

@@ -138,5 +138,8 @@ def read_back(blocks: DataFrame) -> DataFrame:
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("file")) - F.col("n")
     files = F.broadcast(files.select("file", before.alias("before")))
-    rows = blocks.select("file", "first", "block").mapInPandas(_read, "doc_id long, file int, at long, n_tokens long, ids binary")
+    # As many tasks as full sets of lanes, whatever the sizes of the files.
+    tasks = -(-(blocks.agg(F.count("*")).first()[0] or 1) // LANES)
+    dealt = blocks.select("file", "first", "block", "n_ids").repartition(tasks, F.xxhash64("file", "number"))
+    rows = dealt.mapInPandas(_read, "doc_id long, file int, at long, n_tokens long, ids binary")
     return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
