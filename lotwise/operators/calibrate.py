@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as K
 from lotwise.functions.robust import d, finite
-from lotwise.operators.ordered import GroupSizes, lookup_join, order_statistics, quantiles
+from lotwise.operators.ordered import GroupSizes, checked_broadcast, lookup_join, order_statistics, quantiles
 
 GROUP = ["component_type", "parameter"]
 
@@ -155,8 +155,7 @@ def conformal_bound(
             F.col("level_key").alias("_key"), F.col("n_cal").alias(f"_n{level}"), F.col("k").alias(f"_k{level}"),
             F.col("q_hat").alias(f"_q{level}"),
         )
-        # Keys are a closed domain: types x parameters, parameters, and one.
-        out = out.withColumn("_key", key).join(F.broadcast(part), "_key", "left").drop("_key")
+        out = out.withColumn("_key", key).join(checked_broadcast(part), "_key", "left").drop("_key")
     n = [F.col(f"_n{i}") for i in range(3)]
     q = [F.col(f"_q{i}") for i in range(3)]
     present = [c.isNotNull() for c in n]

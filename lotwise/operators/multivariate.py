@@ -28,7 +28,6 @@ from lotwise.session import pin
 
 # Rows of one lot that one task may fit in memory.
 FIT_ROWS = 200_000
-EXACT_ROWS = 500
 STEPS = 12
 
 
@@ -104,22 +103,18 @@ def robust(
 ) -> DataFrame:
     """Robust distance d2, p_value and contributions c_<column> of every complete row.
 
-    ``shared`` fits each lot once and scores all its parts; ``exact`` refits a lot of at most 500 parts without the
-    part it scores. ``fit_mode`` says which one a row got. Hot lots are fitted by distributed concentration steps.
+    ``shared`` fits each lot once and scores all its parts; ``exact`` refits the lot without the part it scores, at any
+    size that one task can hold (``limit``; a larger lot is an error, since the refits are quadratic). Hot lots of the
+    shared form are fitted by distributed concentration steps.
     """
     keys, columns = list(keys), list(columns)
     rows = _finite_rows(df, columns)
     limit = min(FIT_ROWS, _hot_limit(df, limit))
     sizes = sizes or group_sizes(rows, keys)
     if mode == "exact":
-        small_limit = min(EXACT_ROWS, limit)
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        sized = lookup_join(rows, counts, keys, sizes)
-        exact = _refit_each(sized.filter(F.col("_size") <= small_limit).drop("_size"), keys, columns)
-        if sizes.largest <= small_limit:
-            return exact
-        rest = sized.filter(F.col("_size") > small_limit).drop("_size")
-        return exact.unionByName(robust(rest, keys, columns, "shared", limit))
+        if sizes.is_hot(limit):
+            raise ValueError(f"a lot has {sizes.largest} parts; mode='exact' takes at most {limit}")
+        return _refit_each(rows, keys, columns)
     if sizes.is_hot(limit):
         n_hot = max(1, sizes.rows // limit)
         hot = bounded_broadcast(pin(hot_keys(rows, keys, limit).select(*keys)), n_hot)

@@ -48,6 +48,12 @@ def bounded_broadcast(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= broadcast_rows(table.sparkSession) else table
 
 
+def checked_broadcast(table: DataFrame) -> DataFrame:
+    """Hint a broadcast after counting the table's rows, as far as the bound."""
+    most = broadcast_rows(table.sparkSession)
+    return bounded_broadcast(table, table.limit(most + 1).count())
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows; at most rows / limit of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).filter(F.col("_hot_n") > limit)

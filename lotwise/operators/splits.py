@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.ordered import sorted_runs
+from lotwise.operators.ordered import checked_broadcast, sorted_runs
 
 SEED = 20260930
 MIN_CALIB_PARTS = 50
@@ -32,7 +32,7 @@ def assign_splits(lots: DataFrame, seed: int = SEED, limit: int | None = None) -
     index = sorted_runs(
         types.select(F.lit(0).alias("_all"), "component_type"), ["_all"], "component_type", limit=2**62
     ).select("component_type", F.col("run_start").alias("_index"))
-    out = keyed.join(order, ["component_type", "_place"], "left").join(F.broadcast(index), "component_type")
+    out = keyed.join(order, ["component_type", "_place"], "left").join(checked_broadcast(index), "component_type")
     slot = (F.col("_rank") + F.col("_index")) % 5
     split = (
         F.when(F.col("_special").isin(*TO_TEST), "test")

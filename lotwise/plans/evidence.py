@@ -14,7 +14,7 @@ from lotwise.operators import attribute as A
 from lotwise.operators import calibrate as C
 from lotwise.operators import guard as G
 from lotwise.operators import series as S
-from lotwise.operators.ordered import group_sizes, lookup_join
+from lotwise.operators.ordered import checked_broadcast, group_sizes, lookup_join
 from lotwise.session import stage
 
 PART = ["component_id", "lot_id", "component_type"]
@@ -63,13 +63,16 @@ class Calibration:
 
 
 def readings(rows: DataFrame) -> DataFrame:
-    """One row per (part, parameter) with its 0 h and 24 h value, status and temperature."""
-    aggs: list[Column] = []
+    """One row per (part, parameter) with its 0 h and 24 h value, status and temperature.
+
+    A part read at several sockets or testers stays one row; its setup is that of its first reading.
+    """
+    aggs: list[Column] = [F.min_by(name, "source_row").alias(name) for name in SETUP]
     for hour in (0, 24):
         here = F.when(F.col("elapsed_hours") == hour, F.col("source_row"))
         for name, source in (("v", "value"), ("status", "status"), ("temp", "temperature_c")):
             aggs.append(F.min_by(source, here).alias(f"{name}{hour}"))
-    return rows.filter(F.col("elapsed_hours").isin(0, 24)).groupBy(*PART, "parameter", *SETUP).agg(*aggs)
+    return rows.filter(F.col("elapsed_hours").isin(0, 24)).groupBy(*PART, "parameter").agg(*aggs)
 
 
 def temperatures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +158,7 @@ def evidence(
         .withColumn("dpat_verdict", R.dpat_verdict(F.col("v24"), code, med, sigma, R.d(profile.k)))
     )
     out = absolute_check(out).withColumn("quality_score", pair_quality())
-    out = out.join(F.broadcast(calibration.phi.select(*C.GROUP, "phi_168")), C.GROUP, "left")
+    out = out.join(checked_broadcast(calibration.phi.select(*C.GROUP, "phi_168")), C.GROUP, "left")
     out = out.withColumn("_f", D.forecast(F.col("v0"), F.col("v24"), F.col("phi_168"), status24=F.col("status24")))
     out = out.withColumn("point", F.col("_f.point")).withColumn("baseline_linear", F.col("_f.baseline_linear")).withColumn(
         "forecast_code", F.col("_f.refusal_code")

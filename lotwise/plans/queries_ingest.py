@@ -9,6 +9,7 @@ from lotwise.operators import ingest as I
 from lotwise.operators import series as S
 from lotwise.plans.reports import rounded
 from lotwise.plans.views import UPLOAD_LIMITS, upload_view
+from lotwise.session import stage
 
 PROFILE = I.Profile(limits=UPLOAD_LIMITS, parameters=tuple(UPLOAD_LIMITS))
 
@@ -29,7 +30,7 @@ def ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = I.findings(I.occurrences(_validated(spark, sf_dir), PROFILE))
+    found = I.findings(stage(I.occurrences(stage(_validated(spark, sf_dir)), PROFILE)))
     return found.select(
         "code", "severity", "count", "column",
         F.concat_ws(",", F.col("sample_rows").cast("array<string>")).alias("sample_rows"),
@@ -50,8 +51,8 @@ def ingest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _validated(spark, sf_dir)
-    out = I.lot_summary(rows, I.occurrences(rows, PROFILE), I.grid_quality(rows, PROFILE))
+    rows = stage(_validated(spark, sf_dir))
+    out = I.lot_summary(rows, stage(I.occurrences(rows, PROFILE)), I.grid_quality(rows, PROFILE))
     return rounded(out.withColumn("finding_codes", F.concat_ws(",", "finding_codes")))
 
 

@@ -72,8 +72,10 @@ def member_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir)
-    return rows.groupBy("parameter", R.severity(F.col("z")).alias("severity")).agg(F.count(F.lit(1)).alias("n_readings"))
+    """Readings by severity; those of refused cohorts count as nominal."""
+    rows = C.dpat(cohort_view(spark, sf_dir), COHORT_KEYS, "value", "status", VIEW_K)
+    z = F.when(F.col("refusal_code").isNull(), F.col("z"))
+    return rows.groupBy("parameter", F.coalesce(R.severity(z), F.lit("NOMINAL")).alias("severity")).agg(F.count(F.lit(1)).alias("n_readings"))
 
 
 def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:

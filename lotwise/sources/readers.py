@@ -38,9 +38,17 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
 
 
 def number_csv_rows(df: DataFrame) -> DataFrame:
-    """1-based row numbers in file order: Spark counts the rows of each partition, then adds offsets."""
-    schema = T.StructType([*df.schema.fields, T.StructField("source_row", T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1)), schema)
+    """1-based row numbers in file order: the rows of each partition are counted, then their sums are added.
+
+    ``df`` must be a plain scan, so that both passes see the same partitions.
+    """
+    inner = F.monotonically_increasing_id()
+    rows = df.withColumns({"_part": F.shiftright(inner, 33), "_place": inner.bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    out = rows.join(bounded_broadcast(offsets, df.rdd.getNumPartitions()), "_part")
+    return out.withColumn("source_row", F.col("_offset") + F.col("_place") + 1).drop("_part", "_place", "_offset")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -31,8 +31,9 @@ ORACLES = {
         FROM sc s JOIN mc ON s.lot_id = mc.lot_id AND s.parameter = mc.parameter)
       SELECT component_id, lot_id, parameter, tukey, outside_boxplot, verdict, CAST(verdict = 'FAIL' AS INT) + CAST(tukey <> 'INSIDE' AS INT)
         + CAST(outside_boxplot AS INT) AS members_fired FROM p""",
-    "severity_counts": f"""WITH {SCORED} SELECT parameter, CASE WHEN abs(z) >= 6 THEN 'SEVERE' WHEN abs(z) >= 4.5 THEN 'ANOMALOUS' WHEN abs(z) >= 3 THEN 'ELEVATED'
-      ELSE 'NOMINAL' END AS severity, count(*) AS n_readings FROM sc GROUP BY ALL""",
+    "severity_counts": f"""WITH {SCORED}, every AS (SELECT parameter, CASE WHEN refusal_code IS NULL THEN (value - median) / robust_sigma END AS z FROM l)
+      SELECT parameter, CASE WHEN abs(z) >= 6 THEN 'SEVERE' WHEN abs(z) >= 4.5 THEN 'ANOMALOUS' WHEN abs(z) >= 3 THEN 'ELEVATED'
+      ELSE 'NOMINAL' END AS severity, count(*) AS n_readings FROM every GROUP BY ALL""",
     "counterfactuals": f"""WITH {SCORED} SELECT component_id, parameter, {r6('abs(z)')} AS k_star,
       {r6('CASE WHEN value >= median THEN limit_high ELSE limit_low END')} AS clearing_value FROM sc WHERE verdict = 'FAIL'""",
 }
