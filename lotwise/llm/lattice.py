@@ -26,10 +26,14 @@ from lotwise.llm.common import stage, whole_text
 SPACE = "▁"
 HOT_WORDS = 200_000
 SLICE = 256
+# An edge over a character outside the vocabulary has this less its place as id.
+OUTSIDE = -2
 # Distinct words segmented in one task: the edges of their lattices are grouped there and fit into its memory.
 WORDS_PER_TASK = 20_000
 PIECES = "id int, piece string, score double, kind string, hex string"
 _WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+# For vocabularies without a piece that goes on after letters with anything else: a word ends with its letters.
+_LETTERS = f"\n|{SPACE}*[^{SPACE}\n\\p{{L}}]*\\p{{L}}+|{SPACE}*[^{SPACE}\n\\p{{L}}]+|{SPACE}+"
 
 
 def load_pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +54,15 @@ def load_pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, PIECES)
 
 
-def words_in(text: Column) -> Column:
+def word_pattern(pieces: DataFrame) -> str:
+    """The finest cut into words that no piece of the vocabulary crosses."""
+    return _WORD if pieces.where("kind = 'normal'").where(F.rlike("piece", F.lit("\\p{L}[^\\p{L}]"))).head(1) else _LETTERS
+
+
+def words_in(text: Column, pattern: str = _WORD) -> Column:
     """The words of a text in the model's alphabet: spaces are marked, one is put in front; an empty text has none."""
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(_WORD), F.lit(0)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
 
 
 def _merge(text: str, score: dict[str, float]) -> list[str]:
@@ -100,8 +109,8 @@ def _steps(score: dict[str, float]):
                     piece = word[s:e]
                     if i >= 0 and not stays(piece):
                         continue
-                    # -1 is the beginning, -2 a character outside the vocabulary: nothing merges with either.
-                    prior = [-1] if s == 0 else [k for p, k in by_end.get(s, ()) if k == -2 or i == -2 or fits(p, piece)]
+                    # -1 is the beginning, less a character outside the vocabulary: nothing merges with either.
+                    prior = [-1] if s == 0 else [k for p, k in by_end.get(s, ()) if k < -1 or i < -1 or fits(p, piece)]
                     if prior:
                         kept.append(j)
                         allowed.append(prior)
@@ -114,7 +123,7 @@ def _steps(score: dict[str, float]):
 
 
 def _best_path(edges: Column, length: Column) -> Column:
-    """Ids of the best path over edges (start, end, id, ids, score, before) sorted by start; ties to smaller ids."""
+    """Ids of the best path over edges (start, end, id, score, before) sorted by start; ties to smaller ids."""
     begin = F.array(
         F.struct(F.lit(0).alias("end"), F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path"))
     )
@@ -124,7 +133,7 @@ def _best_path(edges: Column, length: Column) -> Column:
         fit = F.filter(acc, lambda a: (a["end"] == e["start"]) & (e["before"].isNull() | F.array_contains(e["before"], a["id"])))
         best = F.array_max(F.transform(fit, lambda a: F.struct(a["score"].alias("score"), a["path"].alias("path"))))
         more = F.struct(
-            e["end"].alias("end"), e["id"].alias("id"), (best["score"] + e["score"]).alias("score"), F.concat(best["path"], e["ids"]).alias("path")
+            e["end"].alias("end"), e["id"].alias("id"), (best["score"] + e["score"]).alias("score"), F.concat(best["path"], F.array(e["id"])).alias("path")
         )
         return F.when(best.isNotNull(), F.concat(live, F.array(more))).otherwise(live)
 
@@ -140,7 +149,7 @@ def dictionary(words: DataFrame, pieces: DataFrame, merges: bool = True) -> Data
     longest = pieces.where("kind = 'normal'").agg(F.max(F.length("piece"))).first()[0] or 1
     normal = F.broadcast(pieces.where("kind = 'normal'").select(F.col("piece").alias("part"), "id", "score"))
     low = float(pieces.agg(F.min("score")).first()[0] or 0.0) - 10.0
-    has_bytes = not pieces.where("kind = 'byte'").isEmpty()
+    first_byte = pieces.where("kind = 'byte'").agg(F.min("id")).first()[0]
     # Slices that overlap by the longest piece, so that a substring is not searched from the beginning of a long word.
     begins = F.sequence(F.lit(0), F.length("word") - 1, F.lit(SLICE))
     tasks = -(-words.count() // WORDS_PER_TASK) or 1
@@ -151,19 +160,9 @@ def dictionary(words: DataFrame, pieces: DataFrame, merges: bool = True) -> Data
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("slice") - F.col("s")))
     parts = places.select("word", "base", "s", F.explode(F.transform(sizes, lambda n: F.substr(F.col("slice"), F.col("s") + 1, n))).alias("part"))
     found = parts.join(normal, "part", "left").where("id IS NOT NULL OR length(part) = 1")
-    utf8 = F.hex(F.encode("part", "UTF-8"))
-    octets = F.transform(
-        F.sequence(F.lit(1), F.length(utf8), F.lit(2)), lambda i: F.conv(F.substr(utf8, i, F.lit(2)), 16, 10).cast("int")
-    )
-    if has_bytes:
-        first_byte = pieces.where("kind = 'byte'").agg(F.min("id")).first()[0]
-        unknown = F.transform(octets, lambda o: o + first_byte)
-    else:
-        unknown = F.array(F.lit(pieces.where("kind = 'special'").agg(F.min("id")).first()[0]))
     edge = F.struct(
         (F.col("base") + F.col("s")).alias("start"), (F.col("base") + F.col("s") + F.length("part")).alias("end"),
-        F.coalesce("id", F.lit(-2)).alias("id"), F.coalesce("score", F.lit(low)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(unknown).alias("ids"),
+        F.coalesce(F.col("id"), OUTSIDE - F.col("base") - F.col("s")).alias("id"), F.coalesce("score", F.lit(low)).alias("score"),
     )
     grouped = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     if merges:
@@ -175,7 +174,20 @@ def dictionary(words: DataFrame, pieces: DataFrame, merges: bool = True) -> Data
     else:
         none = F.lit(None).cast("array<int>")
         grouped = grouped.select("word", F.transform("edges", lambda e: e.withField("before", none)).alias("edges"))
-    return grouped.select("word", _best_path(F.col("edges"), F.length("word")).alias("ids"))
+    found = grouped.select("word", _best_path(F.col("edges"), F.length("word")).alias("path"))
+    if first_byte is None:
+        instead = pieces.where("kind = 'special'").agg(F.min("id")).first()[0]
+        other = lambda x: F.array(F.lit(instead))
+    else:
+
+        def other(x: Column) -> Column:
+            utf8 = F.hex(F.encode(F.substr("word", OUTSIDE - x + 1, F.lit(1)), "UTF-8"))
+            places = F.sequence(F.lit(1), F.length(utf8), F.lit(2))
+            return F.transform(places, lambda i: F.conv(F.substr(utf8, i, F.lit(2)), 16, 10).cast("int") + first_byte)
+
+    whole = F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(other(x))))
+    plain = F.forall("path", lambda x: x >= 0)
+    return found.select("word", F.when(plain, F.col("path")).otherwise(whole).alias("ids"))
 
 
 def hex_table(pieces: DataFrame) -> DataFrame:
@@ -195,7 +207,7 @@ def encode(docs: DataFrame, pieces: DataFrame, merges: bool = True, hot: int = H
     that repeated ones are encoded each. A row of a null or empty text has one row with a null word. An empty table
     gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_in(whole_text(F.col("text"))).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_in(whole_text(F.col("text")), word_pattern(pieces)).alias("words"))
     rows = rows.select("row", "doc_id", F.posexplode_outer("words").alias("at", "word"))
     counts = stage(rows.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")))
     table = hex_table(pieces).scalar()
