@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import calibrate as C
 from lotwise.operators import labels as L
+from lotwise.operators import metrics as Q
 from lotwise.operators import multivariate as M
 from lotwise.operators import profiling as P
 from lotwise.operators import splits as X
@@ -130,7 +131,35 @@ def truth_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.join(b, keys, "full").join(truth, ["component_id", "lot_id"], "left"))
 
 
+def cohort_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cohort_view(spark, sf_dir).filter("status = 'OK'")
+    return rounded(Q.cohort_positions(rows, ["lot_id", "parameter"], "value"))
+
+
+def readings_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested readings of every part, as text."""
+    nested = Q.readings_map(trajectory_rows(spark, sf_dir), ["component_id", "lot_id"])
+    hour = lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.format_string("%.3f", e["value"]["value"]))
+    each = lambda p: F.concat(p["key"], F.lit(":"), F.array_join(F.transform(F.map_entries(p["value"]), hour), ","))
+    return nested.select("component_id", "lot_id", F.array_join(F.transform(F.map_entries("readings"), each), ";").alias("readings"))
+
+
+def zonal_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cohort_view(spark, sf_dir).filter("status = 'OK'")
+    return rounded(Q.zonal_limits(rows, ["lot_id", "parameter"], "thermal_zone", "value", 3.0))
+
+
+def screening_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the 24 h outlier screen finds the parts that fail later, per stratum and over all."""
+    parts = _labels(spark, sf_dir)
+    return rounded(Q.screening_metrics(parts, F.col("is_24h_outlier"), F.col("failure_label") != "HEALTHY", "stratum"))
+
+
 QUERIES = {
+    "cohort_positions": cohort_positions,
+    "readings_map": readings_map,
+    "zonal_limits": zonal_limits,
+    "screening_metrics": screening_metrics,
     "drift_metrics": drift_metrics,
     "limit_violations": limit_violations,
     "labels": labels,

@@ -1,6 +1,7 @@
 """Oracles for labels, splits, profiles and joint distances."""
 
-from oracles.base import COHORT, TRAJ, fin, r6
+from oracles.base import CN, COHORT, TRAJ, fin, r6
+from oracles.cohort import stats_sql
 from oracles.drift import PIVOT
 from oracles.ingest import UPLOAD
 
@@ -56,6 +57,20 @@ mc AS (SELECT *, x * ((1 - c * c) * x + (b * c - a) * y + (a * c - b) * z) / det
 md AS (SELECT *, greatest(0, cx + cy + cz) AS d2 FROM mc)"""
 
 ORACLES = {
+    "cohort_positions": f"""WITH {COHORT}, r AS (SELECT lot_id, parameter, value, rank() OVER w AS place, count(*) OVER (PARTITION BY lot_id, parameter) AS n,
+      count(*) OVER (PARTITION BY lot_id, parameter, value) AS same FROM cohort WHERE status = 'OK' WINDOW w AS (PARTITION BY lot_id, parameter ORDER BY value))
+      SELECT DISTINCT lot_id, parameter, {fin('value', 'value')}, place AS position, same AS members, {fin('CASE WHEN n > 1 THEN (place - 1) / (n - 1) END', 'share_below')} FROM r""",
+    "readings_map": f"""WITH {TRAJ}, h AS (SELECT component_id, lot_id, parameter, string_agg(elapsed_hours || '=' || printf('%.3f', value), ',' ORDER BY elapsed_hours) AS t
+      FROM traj GROUP BY ALL) SELECT component_id, lot_id, string_agg(parameter || ':' || t, ';' ORDER BY parameter) AS readings FROM h GROUP BY ALL""",
+    "zonal_limits": f"""WITH {COHORT}, {CN}, {stats_sql('cohort', 'lot_id, parameter, thermal_zone', "status = 'OK'")}
+      SELECT lot_id, parameter, thermal_zone, n, {fin('CASE WHEN n >= 20 AND refusal_code IS NULL THEN median - 3.0 * robust_sigma END', 'zone_low')},
+        {fin('CASE WHEN n >= 20 AND refusal_code IS NULL THEN median + 3.0 * robust_sigma END', 'zone_high')} FROM st""",
+    "screening_metrics": f"""WITH {LABELS}, c AS (SELECT stratum AS "group", count(*) AS n, count(*) FILTER (is_24h_outlier) AS n_flagged,
+      count(*) FILTER (failure_label <> 'HEALTHY') AS n_defect, count(*) FILTER (is_24h_outlier AND failure_label <> 'HEALTHY') AS tp FROM lb GROUP BY ROLLUP (stratum)),
+      m AS (SELECT *, tp / nullif(n_defect, 0) AS recall, (n_flagged - tp) / nullif(n - n_defect, 0) AS false_positive_rate, n_flagged / n AS flag_rate,
+      tp / nullif(n_flagged, 0) AS precision FROM c)
+      SELECT "group", n, n_flagged, n_defect, tp, {fin('recall', 'recall')}, {fin('false_positive_rate', 'false_positive_rate')}, {fin('flag_rate', 'flag_rate')},
+      {fin('precision', 'precision')}, {fin('5 * precision * recall / nullif(4 * precision + recall, 0)', 'f2')} FROM m""",
     "drift_metrics": f"""WITH {METRICS} SELECT component_id, parameter, {fin('v0', 'v0')}, {fin('v24', 'v24')}, {fin('v168', 'v168')}, {fin('margin', 'margin')},
       {fin('drift_ratio', 'drift_ratio')}, step_jump, breach, early_breach FROM dm""",
     "limit_violations": f"""WITH {TRAJ} SELECT component_id, lot_id, parameter, elapsed_hours, {fin('value', 'value')}, '>= absolute_max' AS violation
