@@ -273,9 +273,9 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     n = asked.count()
     buckets = -(-max(n, 1) // 256)
     entries = index.codes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(ENTRIES)
-    entries = F.broadcast(entries.select(F.col("node").alias("other"), "code").withColumn("_j", F.lit(1)))
+    entries = entries.agg(F.collect_list(F.struct(F.col("node").alias("other"), "code")).alias("entries"))
     asked = stage(asked.withColumnRenamed("id", "query"))
-    found = asked.select("query").withColumn("_j", F.lit(1)).join(entries, "_j").select("query", "other", "code")
+    found = asked.select("query", F.explode(entries.scalar()).alias("e")).select("query", "e.other", "e.code")
     if starts is not None:
         own = starts.join(index.codes, F.col("start") == F.col("node")).select(F.col("id").alias("query"), F.col("start").alias("other"), "code")
         found = found.unionByName(own)
