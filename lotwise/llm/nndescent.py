@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import broadcast_if_small, stage
 
-NEIGHBOURS = 24
+NEIGHBOURS = 32
 BLOCK = 256
 TREES = 3
-DELTA = 0.02
+DELTA = 0.005
 MAX_ROUNDS = 12
-CHUNK = 48  # reverse edges met at once
+CHUNK = 64  # reverse edges met at once
 BUCKET = 2048  # nodes in one task's group
-BEAM = 96
-EXPAND = 16
+BEAM = 256
+EXPAND = 32
 ENTRIES = 16
 RESCORED = 48
 SEED = 11
