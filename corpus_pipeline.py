@@ -18,7 +18,10 @@ from lotwise.llm.queries import sentence_pieces
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the log-likelihood ratio keep."""
     trusted = quality.trusted_documents(read(spark, sf_dir, "labels"))
-    return quality.judge(docs, trusted).where("quality.kept").select(*docs.columns)
+    judged = quality.judge(docs, trusted)
+    # Written before the filter: pushed down, the filter would work the verdict out again for each of its parts.
+    judged = stage(judged.select(*docs.columns, judged.quality.kept.alias("_kept")))
+    return judged.where("_kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
