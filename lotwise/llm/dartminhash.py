@@ -9,16 +9,17 @@ a dart; the earliest is its value. Large texts fill up in the first thin slabs,
 and not one hash per element and coordinate. Two texts agree in a coordinate with probability equal to their similarity.
 
 Classes: exact copies are one node. Nodes that share a band meet in a bucket, where each is compared, by its whole
-shingles, with one leader; those not joined to the leader's component are then compared among themselves: in one task,
-each with the leaders before it, or under another common leader while they are many. No pair but (member, leader) is
-emitted. Texts move once per round, dealt by leader and salt; a
-leader with thousands of members is sent to each salt. Components are contracted by minima and pointer jumps on tables.
+shingles, with one leader, the node that meets most others. That joins most of a group of near copies, and nothing is
+taken for settled by it: at last, in every bucket that still holds two components, each row outside the largest one is
+compared with all rows of other components, joined ones too. A large bucket is dealt in blocks of rows against rows.
+Only pairs with a leader and pairs that join are emitted. A leader with thousands of members is sent to each salt.
+Components are contracted by minima and pointer jumps on tables.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,10 @@ BANDS, ROWS = 25, 5
 CHUNK_WORDS = 200_000
 REMEMBERED = 1_000_000
 PER_SALT = 500
-# Members that one task compares under as many leaders as it takes; larger rests of buckets get another common leader.
+# Rows of a bucket compared in one group; larger buckets are dealt in blocks of half as many against half as many.
 REST = 1000
+# Further leaders that buckets with more rows than that outside their leaders' components get before the blocks.
+LEADERS = 3
 # Upper ends of the first slabs of rank; then one per unit.
 SLABS = [2.0**-i for i in range(6, -1, -1)]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -129,29 +132,31 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
     return out
 
 
-def _chunks(texts: list[list[str]]) -> Iterator[tuple[int, int]]:
-    begin = total = 0
-    for i, t in enumerate(texts):
+def _chunks(texts: Iterable[list[str]]) -> Iterator[list[list[str]]]:
+    held: list[list[str]] = []
+    total = 0
+    for t in texts:
         if total and total + len(t) > CHUNK_WORDS:
-            yield begin, i
-            begin, total = i, 0
+            yield held
+            held, total = [], 0
+        held.append(t)
         total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+    if held:
+        yield held
 
 
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for batch in batches:
-            texts = [split_words(t) for t in batch["text"]]
             found: list = []
-            for a, b in _chunks(texts):
-                signs = signatures(*shingles(texts[a:b], words), b - a, bands * rows).reshape(b - a, bands, rows)
-                value = np.zeros((b - a, bands), np.uint64)
+            # Words of a chunk at a time: those of a whole batch take hundreds of MB.
+            for texts in _chunks(split_words(t) for t in batch["text"]):
+                signs = signatures(*shingles(texts, words), len(texts), bands * rows).reshape(len(texts), bands, rows)
+                value = np.zeros((len(texts), bands), np.uint64)
                 for r in range(rows):
                     value = _mix(value ^ signs[:, :, r])
-                found += [v if t else [] for v, t in zip(value.view(np.int64), texts[a:b])]
+                found += [v if t else [] for v, t in zip(value.view(np.int64), texts)]
             yield batch[["doc_id", "node"]].assign(bands=found)
 
     return run
@@ -205,44 +210,97 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) ->
     return dealt.select("leader", "node", "text").mapInPandas(_compare(threshold), "node string, leader string, similarity double")
 
 
-def _cluster(threshold: float):
-    """Links of each bucket's rows, which come together: every row with the first earlier one that it reaches, if any.
+def join_block(nodes: list[str], component: list, asks: np.ndarray, answers: np.ndarray, outer: np.ndarray, texts: list, threshold: float) -> list:
+    """(node, leader, similarity) that join the components of rows met in one group, whose texts are (shingles, counts).
 
-    Rows that reach none lead from then on, so all that aren't similar to a leader are compared with each other.
+    Each row that asks is compared with every answering row of another component; of two outer rows the larger node asks.
+    Components joined here count as one from then on, so that a group of near copies isn't compared pair by pair.
     """
+    group = np.unique(np.array(component, object), return_inverse=True)[1]
+    name = np.array(nodes, object)
+    weight = np.array([c.sum() for _, c in texts])
+    there = np.flatnonzero(answers)
+    flat = np.concatenate([texts[i][0] for i in there] or [np.zeros(0, np.uint64)])
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(there)), [len(texts[i][0]) for i in there])[order]
+    count = np.concatenate([texts[i][1] for i in there] or [np.zeros(0)])[order]
+    flat = flat[order]
+    links = []
+    for u in np.flatnonzero(asks):
+        fits = (group[there] != group[u]) & (np.minimum(weight[there], weight[u]) >= threshold * np.maximum(weight[there], weight[u]))
+        if outer[u]:
+            fits &= ~outer[there] | (name[there] < name[u])
+        if not fits.any():
+            continue
+        element, mine = texts[u]
+        low = np.searchsorted(flat, element, "left")
+        n = np.searchsorted(flat, element, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], np.minimum(count[at], np.repeat(mine, n)), len(there))
+        near = both / (weight[there] + weight[u] - both)
+        for m in np.flatnonzero(fits & (near >= threshold)):
+            if group[there[m]] != group[u]:
+                links.append((nodes[u], nodes[there[m]], float(near[m])))
+                group[group == group[there[m]]] = group[u]
+    return links
+
+
+def _join(threshold: float):
+    """Links of the groups (bucket, i, j) of rows, which come together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, bucket, leaders = _Words(), None, []
+        words, held, key = _Words(), [], None
+
+        def links() -> list:
+            if not held:
+                return []
+            nodes, component, asks, answers, outer, texts = zip(*held)
+            held.clear()
+            return join_block(list(nodes), list(component), np.array(asks), np.array(answers), np.array(outer), list(texts), threshold)
+
         for batch in batches:
             rows = []
-            for name, node, text in zip(batch["bucket"], batch["node"], batch["text"]):
-                if name != bucket:
-                    bucket, leaders = name, []
-                own = shingles([split_words(text)], words)[1:]
-                weight = own[1].sum()
-                for leader, other, size in leaders:
-                    if min(weight, size) >= threshold * max(weight, size):
-                        near = weighted_jaccard(own, other)
-                        if near >= threshold:
-                            rows.append((node, leader, near))
-                            break
-                else:
-                    leaders.append((node, own, weight))
+            each = (batch[c] for c in ("bucket", "i", "j", "node", "component", "asks", "answers", "outer", "text"))
+            for bucket, i, j, node, component, asks, answers, outer, text in zip(*each):
+                if (bucket, i, j) != key:
+                    rows += links()
+                    key = (bucket, i, j)
+                held.append((node, component, asks, answers, outer, shingles([split_words(text)], words)[1:]))
             yield pd.DataFrame(rows, columns=["node", "leader", "similarity"])
+        yield pd.DataFrame(links(), columns=["node", "leader", "similarity"])
 
     return run
 
 
-def settle(places: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(node, leader, similarity) within the buckets of ``places`` (bucket, node), at most ``REST`` rows each.
+def settle(places: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, labels: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(node, leader, similarity) that join all rows of a bucket of ``places`` (bucket, node) that reach the threshold.
 
-    Buckets with the same nodes are compared once.
+    ``labels`` are the components known so far; a bucket within one component is done, and one with fewer rows than
+    ``least`` is left out. Buckets with the same nodes are compared once.
     """
-    each = places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
-    once = each.where("n > 1").groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = places.join(once, "bucket").join(texts, "node").select("bucket", "node", "text")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInPandas(_cluster(threshold), "node string, leader string, similarity double")
+    known = places.withColumn("component", F.col("node"))
+    if labels is not None:
+        known = places.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = stage(known.select("bucket", "node", "component"))
+    parts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    each = parts.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("base")
+    )
+    each = each.where((F.col("parts") > 1) & (F.col("n") >= least))
+    once = each.groupBy("n", "s").agg(F.min(F.struct("bucket", "base")).alias("b")).select("b.bucket", "b.base", "n")
+    blocks = lambda n: F.when(F.col("n") <= REST, 1).otherwise(F.ceil(n / (REST // 2))).cast("int")
+    once = stage(once.select("bucket", F.col("base.component").alias("base"), blocks(F.col("n") - F.col("base.n")).alias("us"), blocks(F.col("n")).alias("ms")))
+    rows = known.join(broadcast_if_small(once), "bucket").withColumn("outer", F.col("component") != F.col("base"))
+    whole = F.col("ms") == 1
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(SHINGLE)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["bucket", "i", "j", "node", "component", "asks", "answers", "outer"]
+    answer = rows.withColumn("j", dealt("ms")).withColumn("i", every("us")).withColumn("asks", whole & F.col("outer")).withColumn("answers", F.lit(True))
+    ask = rows.where(~whole & F.col("outer")).withColumn("i", dealt("us")).withColumn("j", every("ms"))
+    ask = ask.withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
+    met = answer.select(*columns).unionByName(ask.select(*columns)).join(texts, "node").select(*columns, "text")
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return met.mapInPandas(_join(threshold), "node string, leader string, similarity double")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -286,8 +344,11 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
     places = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     places = places.select("node", F.xxhash64("band", "value").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader")
-    places = stage(places.join(shared, "bucket").select("bucket", "node"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    places = places.join(shared, "bucket").select("bucket", "node", "n")
+    # Leaders are taken in one order everywhere: first the nodes that meet most others.
+    central = places.groupBy("node").agg(F.struct(-F.sum("n"), "node").alias("order"))
+    places = stage(places.drop("n").join(central, "node").select("bucket", "node", "order"))
     wanted = broadcast_if_small(stage(places.select("node").distinct()))
     texts = stage(
         docs.select(F.md5(text).alias("node"), text.alias("text")).join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
@@ -295,37 +356,38 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     labels: DataFrame | None = None
 
     def beside(places: DataFrame) -> DataFrame:
-        """(bucket, node, component, leader, lead): rows outside the component of their bucket's leader, its smallest."""
+        """(bucket, node, order, leader, first): rows outside the component of their bucket's leader."""
         known = places.withColumn("component", F.col("node"))
         if labels is not None:
             known = places.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        leaders = known.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("l"))
+        leaders = known.groupBy("bucket").agg(F.min(F.struct("order", "node", "component")).alias("l"))
         rows = known.join(leaders, "bucket").where("component <> l.component")
-        return stage(rows.select("bucket", "node", "component", F.col("l.node").alias("leader"), F.col("l.component").alias("lead")))
+        return stage(rows.select("bucket", "node", "order", F.col("l.node").alias("leader"), F.col("l.order").alias("first")))
 
-    # First each node with the smallest of its leaders: that mostly settles the others.
-    pairs = stage(beside(places).groupBy("node").agg(F.min("leader").alias("leader")))
+    # First each node with the first of its leaders: that mostly settles the others.
+    pairs = stage(beside(places).groupBy("node").agg(F.min(F.struct("first", "leader")).alias("l")).select("node", "l.leader"))
     tried = pairs
     if not pairs.isEmpty():
         labels = components(verify(pairs, texts, threshold))
-    while True:
-        rows = beside(places)
+    left = places
+    for _ in range(1 + LEADERS):
+        rows = beside(left)
         pairs = stage(rows.select("node", "leader").distinct().join(tried, ["node", "leader"], "left_anti"))
         if not pairs.isEmpty():
             labels = components(verify(pairs, texts, threshold), labels)
             tried = tried.unionByName(pairs)
-        # Rows whose leader's component took them in are done; the rest meet among themselves.
+        # Where many rows stay outside, these get another leader, so that fewer are left for the blocks.
         if labels is not None:
             rows = rows.join(labels.withColumnRenamed("component", "now"), "node", "left")
             rows = rows.join(labels.select(F.col("node").alias("leader"), F.col("component").alias("lead_now")), "leader", "left")
             rows = rows.where("coalesce(now, node) <> coalesce(lead_now, leader)")
-        places = stage(rows.select("bucket", "node"))
-        sizes = stage(places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-        small = places.join(sizes.where(F.col("n") <= REST), "bucket", "left_semi")
-        labels = components(settle(small, texts, threshold), labels)
-        places = stage(places.join(sizes.where(F.col("n") > REST), "bucket", "left_semi"))
-        if places.isEmpty():
+        left = rows.select("bucket", "node", "order")
+        many = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > REST)
+        left = stage(left.join(many, "bucket", "left_semi"))
+        if left.isEmpty():
             break
+    # Buckets of two have been compared with their leader.
+    labels = components(settle(places.select("bucket", "node"), texts, threshold, labels, least=3), labels)
     named = signed.select("doc_id", "node").join(labels, "node", "left")
     named = stage(named.select("doc_id", "node", F.coalesce("component", "node").alias("component")))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))

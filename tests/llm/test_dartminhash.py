@@ -76,6 +76,37 @@ def test_empty_table_and_settling(spark):
     assert {r.component for r in D.components(rows).collect()} == {"0"}
 
 
+def test_family_of_variants_against_brute_force(spark, prose):
+    rng = random.Random(21)
+    base = prose(5, 200).split(" ")
+
+    def edited(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"new{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(0, " ".join(base))] + [(i, edited(1 + i % 4)) for i in range(1, 401)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id) for r in D.classes(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_rows_like_a_joined_row_only(spark, monkeypatch):
+    # b is like a and c like b, but c isn't like a; also where the bucket is dealt in blocks.
+    words = [f"w{i}" for i in range(100)]
+    texts = [("a", words), ("b", [*words[:90], *(f"b{i}" for i in range(10))]), ("c", [*(f"c{i}" for i in range(10)), *words[10:90], *(f"b{i}" for i in range(10))])]
+    texts += [(f"d{i}", [f"d{i}x{k}" for k in range(100)]) for i in range(20)]
+    frame = spark.createDataFrame([(n, " ".join(t)) for n, t in texts], "node string, text string")
+    places = spark.createDataFrame([("1", n) for n, _ in texts], "bucket string, node string")
+    labels = spark.createDataFrame([("a", "a"), ("b", "a")], "node string, component string")
+    for rest in (1000, 8):
+        monkeypatch.setattr(D, "REST", rest)
+        assert {(r.node, r.leader) for r in D.settle(places, frame, 0.8, labels).collect()} == {("c", "b")}
+        joined = D.components(D.settle(places, frame)).collect()
+        assert {(r.node, r.component) for r in joined} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
 def test_jaccard():
     a, b = (np.array([1, 2, 3], np.uint64), np.array([2.0, 1, 1])), (np.array([2, 3, 9], np.uint64), np.array([1.0, 3, 1]))
     assert D.weighted_jaccard(a, b) == 2 / 7
