@@ -5,7 +5,8 @@ are the sequences of child elements it has been seen with, and its *contents* ar
 scored by entropy over the pages, to the base of the number of pages: 0 if every page has the same, 1 if no two agree.
 A path is unimportant when ``GAMMA * contents + (1 - GAMMA) * presentations of its parent`` is below the threshold; the
 pages are then read again without those branches. A path seen on fewer than ``min_pages`` pages of its host is never
-judged, and a text repeated within a varied path stays.
+judged, and a text repeated within a varied path stays. Copies of a page count as one page of their host, and what is
+inside an article element is never removed by entropy: near copies would make an article look like a frame.
 
 Entropy cannot tell an advert that differs on every page from an article. Elements whose tag, class, id or role names
 them as menu, header, footer, sidebar, notice, advert, form, script, style or comments are therefore cut beforehand, and
@@ -64,11 +65,15 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 PART = re.compile(r"[^a-z0-9]+")
 
 
-def read_page(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """Blocks (path, text, inside an article) in page order, and (path, children) of every block element; what is cut is left out."""
-    blocks: list[tuple[str, str, bool]] = []
+# Where a block is: an article element may be inside a main one, not only the other way round.
+OUTSIDE, MAIN, ARTICLE = 0, 1, 2
+
+
+def read_page(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
+    """Blocks (path, text, where) in page order, and (path, children) of every block element; what is cut is left out."""
+    blocks: list[tuple[str, str, int]] = []
     shapes: list[tuple[str, str]] = []
-    stack: list[list] = [["", "", False, False, []]]  # tag, path, cut, inside, children
+    stack: list[list] = [["", "", False, OUTSIDE, []]]  # tag, path, cut, inside, children
     text: list[str] = []
 
     def flush() -> None:
@@ -117,7 +122,7 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, s
         sign = tag + "".join(f".{found[k]}" for k in ("class", "id") if k in found)
         children.append(sign)
         own = tag in CUT or bool(names & NAMED) or tag == "header" and not inside
-        inside = inside or tag in ("article", "main") or found.get("role", "").lower() == "main"
+        inside = max(inside, ARTICLE if tag == "article" else MAIN if tag == "main" or found.get("role", "").lower() == "main" else OUTSIDE)
         stack.append([tag, f"{path}>{sign}", cut or own, inside, []])
     if at < len(page):
         text.append(entities.unescape(page[at:]))
@@ -147,8 +152,11 @@ def hash_text(text: str) -> int:
 
 
 def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, path, pages, content, shape): the merged tree with both normalised entropies; paths on few pages have null ones."""
-    seen = pages.mapInPandas(_observe, "host string, path string, kind string, value long, n long")
+    """(host, path, pages, content, shape): the merged tree with both normalised entropies; paths on few pages have null ones.
+
+    Equal pages of a host count once.
+    """
+    seen = pages.select("host", "html").distinct().mapInPandas(_observe, "host string, path string, kind string, value long, n long")
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     # sum(n ln n) and sum(n) give the entropy without a second pass over the values.
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlog"))
@@ -181,15 +189,15 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             low = frozenset(low) if low is not None else frozenset()
             blocks, _ = read_page(page)
             inner = [b for b in blocks if b[2]]
-            texts.append(" ".join(t for p, t, _ in inner or blocks if p not in low))
+            texts.append(" ".join(t for p, t, where in inner or blocks if where == ARTICLE or p not in low))
         yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    A null html is empty and has the text ''; a null URL belongs to the host ''. Repeated rows are read each and count
-    as pages each. Hosts with few pages keep all that their element names don't rule out. An empty table gives no rows.
+    A null html is empty and has the text ''; a null URL belongs to the host ''. Repeated rows are read each, but
+    pages of a host with one html count once. Hosts with few pages keep all that their element names don't rule out. An empty table gives no rows.
     """
     host = host_and_path(F.col("url"))[0]
     page = F.coalesce("html", F.lit(""))

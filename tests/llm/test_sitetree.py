@@ -35,6 +35,20 @@ def test_a_passage_that_repeats_in_varied_articles_stays(spark):
     assert all(got[i][1] == "Text number %d The same passage" % i for i in range(20))
 
 
+def test_copies_do_not_make_an_article_a_frame(spark):
+    page = "<body><article><h1>Title %d</h1><p>Story %d</p></article><div>Note %d</div></body>"
+    bare = "<body><div><h1>Title %d</h1><div>Story %d</div></div></body>"
+    rows = [(i, "http://same.org/%d" % i, page % (1, 1, 1)) for i in range(12)]  # a host made of copies
+    rows += [(100 + i, "http://near.org/%d" % i, page % (2, 2, i)) for i in range(12)]  # copies but for a note
+    rows += [(200 + i, "http://main.org/%d" % i, (page % (i // 120, i // 120, 0) if i < 480 else page % (i, i, i))) for i in range(500)]
+    rows += [(1000 + i, "http://bare.org/%d" % i, bare % (max(i, 180), max(i, 180))) for i in range(200)]  # no article element
+    got = run(spark, rows)
+    assert all(got[i][1] == "Title 1 Story 1" for i in range(12))
+    assert all(got[100 + i][1] == "Title 2 Story 2" for i in range(12))
+    assert all(got[200 + i][1] == "Title %d Story %d" % ((i // 120,) * 2 if i < 480 else (i, i)) for i in range(500))
+    assert all(got[1000 + i][1] == "Title %d Story %d" % ((max(i, 180),) * 2) for i in range(200))
+
+
 def test_edges(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "http://x", "plain text & no tags"), (4, "http://x", "<p>unclosed <b>bold"), (5, "http://x", "<script>only"),
