@@ -8,9 +8,11 @@ pages are then read again without those branches. A path seen on fewer than ``mi
 judged, and a text repeated within a varied path stays. Copies of a page count as one page of their host, and what is
 inside an article element is never removed by entropy: near copies would make an article look like a frame.
 
-Entropy cannot tell an advert that differs on every page from an article. Elements whose tag, class, id or role names
-them as menu, header, footer, sidebar, notice, advert, form, script, style or comments are therefore cut beforehand, and
-if a page has an article or main element, the text is taken from inside it.
+Entropy cannot tell an advert that differs on every page from an article. Elements whose tag, or a whole word of whose
+class, id or role, names them as menu, header, footer, sidebar, notice, advert, form, script, style or comments are
+therefore cut beforehand; words never cut html, body, main, article or, outside an article, an element that contains
+main or article, and header words cut nothing inside them. If a page has an article or main element, the text is taken
+from inside it.
 
 Statistics are counts per (host, path, content): they are combined before the shuffle and keyed finely, so a host with
 a third of all pages is no hot key. Low paths go back to the pages by host: broadcast when counted small, else joined.
@@ -50,6 +52,9 @@ NAMED = frozenset(
     " popup modal overlay comment comments disqus respond reply replies share sharing social related recommended newsletter"
     " subscribe signup login search pagination pager skip toolbar widget form".split()
 )
+# Names that cut nothing inside an article or main element, and elements that no name cuts
+HEADERS = frozenset("header masthead".split())
+KEPT = frozenset("html body main article".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr main menu nav ol p pre section table ul".split()
@@ -62,7 +67,6 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-PART = re.compile(r"[^a-z0-9]+")
 
 
 # Where a block is: an article element may be inside a main one, not only the other way round.
@@ -73,7 +77,8 @@ def read_page(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, st
     """Blocks (path, text, where) in page order, and (path, children) of every block element; what is cut is left out."""
     blocks: list[tuple[str, str, int]] = []
     shapes: list[tuple[str, str]] = []
-    stack: list[list] = [["", "", False, OUTSIDE, []]]  # tag, path, cut, inside, children
+    stack: list[list] = [["", "", False, OUTSIDE, [], None]]  # tag, path, cut, inside, children, sizes
+    named: list[list] = []  # open elements to be cut by their name unless main or article comes within
     text: list[str] = []
 
     def flush() -> None:
@@ -85,8 +90,11 @@ def read_page(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, st
 
     def pop() -> None:
         flush()
-        _, path, cut, _, children = stack.pop()
-        if not cut:
+        _, path, cut, _, children, sizes = stack.pop()
+        if sizes is not None:  # cut by name: what came since it was opened
+            named.pop()
+            del blocks[sizes[0] :], shapes[sizes[1] :]
+        elif not cut:
             shapes.append((path, " ".join(children)))
 
     at = 0
@@ -116,14 +124,25 @@ def read_page(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, st
         flush()
         if tag in CLOSES_P and stack[-1][0] == "p" or stack[-1][0] in SAME.get(tag, ()):
             pop()
-        _, path, cut, inside, children = stack[-1]
+        _, path, cut, inside, children, _ = stack[-1]
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["attrs"])}
-        names = {x for v in found.values() for x in PART.split(v.lower())}
+        names = {x for v in found.values() for x in v.lower().split()}
         sign = tag + "".join(f".{found[k]}" for k in ("class", "id") if k in found)
         children.append(sign)
-        own = tag in CUT or bool(names & NAMED) or tag == "header" and not inside
-        inside = max(inside, ARTICLE if tag == "article" else MAIN if tag == "main" or found.get("role", "").lower() == "main" else OUTSIDE)
-        stack.append([tag, f"{path}>{sign}", cut or own, inside, []])
+        heart = tag in ("article", "main") or "main" in found.get("role", "").lower().split()
+        own = tag in CUT or tag == "header" and not inside
+        called = tag not in KEPT and not heart and bool(names & (NAMED - HEADERS if inside else NAMED))
+        if called and inside == ARTICLE:
+            own = True
+        if heart and not cut and not own:
+            for element in named:
+                element[5] = None
+            named.clear()
+        inside = max(inside, ARTICLE if tag == "article" else MAIN if heart else OUTSIDE)
+        stack.append([tag, f"{path}>{sign}", cut or own, inside, [], None])
+        if called and not cut and not own:
+            stack[-1][5] = (len(blocks), len(shapes))
+            named.append(stack[-1])
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     while len(stack) > 1:

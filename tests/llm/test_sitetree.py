@@ -49,6 +49,21 @@ def test_copies_do_not_make_an_article_a_frame(spark):
     assert all(got[1000 + i][1] == "Title %d Story %d" % ((max(i, 180),) * 2) for i in range(200))
 
 
+def test_names_cut_no_main_text():
+    texts = lambda page: " ".join(t for _, t, _ in S.read_page(page)[0])
+    for page in (
+        '<body class="has-sidebar"><p>text</p></body>', '<body class="sidebar"><p>text</p></body>', '<div id="main" class="with-sidebar"><p>text</p></div>',
+        '<body><article class="post related"><p>text</p></article></body>', '<main class="search"><p>text</p></main>',
+        '<article><div class="entry-header"><h1>text</h1></div></article>', '<article><div class="header"><h1>text</h1></div></article>',
+        '<div class="widget"><div class="form"><article><p>text</p></article></div></div>', '<div class="widget"><div role="main"><p>text</p></div></div>',
+        '<div class="widget"><div class="ad">Buy</div><main><p>text</p></main></div><div class="ad"><p>Buy</p></div>',
+        '<div class="sponsored">Buy<p>more</p></div><p>text</p><div class="x menu"><div id="ad">Home', '<article><p>text</p><ol class="comments"><article><p>nice</p></article></ol></article>',
+        '<p>text</p><div class="ad"><nav><article>Buy</article></nav>Buy</div>',
+    ):
+        assert texts(page) == "text", page
+    assert S.read_page('<body><div class="ad"><div><p>Buy</p></div></div><p>text</p></body>')[1] == [(">body>p", ""), (">body", "div.ad p"), ]
+
+
 def test_edges(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "http://x", "plain text & no tags"), (4, "http://x", "<p>unclosed <b>bold"), (5, "http://x", "<script>only"),
