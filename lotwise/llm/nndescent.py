@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: a neighbour graph from NN-descent, searched greedily.
 
 Equal vectors are one node (their smallest ids are kept, as many as an answer can name). The graph is built on one-byte
-codes of the vectors, with a component added that makes all norms equal, so that the nearest by angle are meant. It
+codes of the vectors, each with its own scale, so that a long vector doesn't flatten the others. A component is added
+that makes all norms equal, so that the nearest by angle are meant; it is kept apart from the codes as its distance from
+that of the zero vector, and compared by distance, which stays precise for short vectors beside long ones. The graph
 starts from blocks of nodes that are neighbours along random projections. A round joins each node with those it points
 to and those that point to it, and compares the nodes met there with each other (neighbours of neighbours): pairs with a
 new edge among them, and only what improves a list is passed on. Rounds end when fewer than ``DELTA`` of the edges change.
@@ -46,7 +48,6 @@ class Index:
     codes: DataFrame  # node, code
     graph: DataFrame  # node, other, code of other; edges of both directions
     dim: int
-    scale: float
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,20 +58,39 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col(name).isNotNull() & x.isNotNull() & fine).select(F.col(name).cast("long").alias("id"), x.alias("vector"))
 
 
-def _encode(limit: float, scale: float):
+def _code(dim: int) -> np.dtype:
+    """Components in steps of ``step``, what the norm lacks below ``sqrt(limit)``, half the square of both together."""
+    return np.dtype([("x", np.int8, (dim,)), ("step", np.float32), ("lack", np.float32), ("half", np.float32)])
+
+
+def _encode(limit: float):
+    root = np.sqrt(limit)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["vector"].to_numpy())
-                more = np.sqrt(np.maximum(limit - (x * x).sum(axis=1), 0.0))
-                codes = np.rint(np.column_stack([x, more]) * scale).clip(-127, 127).astype(np.int8)
+                square = (x * x).sum(axis=1)
+                codes = np.zeros(len(x), _code(x.shape[1]))
+                step = np.abs(x).max(axis=1) / 127.0
+                codes["x"] = np.rint(x / step[:, None]).clip(-127, 127)
+                codes["step"] = step
+                codes["lack"] = lack = square / (root + np.sqrt(np.maximum(limit - square, 0.0)))
+                codes["half"] = root * lack
                 yield pd.DataFrame({"node": batch["node"], "code": [c.tobytes() for c in codes]})
 
     return run
 
 
 def _matrix(codes) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+    """Components, lack and half of each code."""
+    rows = np.frombuffer(b"".join(codes), _code(len(codes[0]) - 12))
+    return np.column_stack([rows["x"] * rows["step"][:, None], rows["lack"], rows["half"]])
+
+
+def _near(x: np.ndarray) -> np.ndarray:
+    """Minus half the squared distances between vectors of equal norm: their products less the square of the norm."""
+    return x[:, :-1] @ x[:, :-1].T - x[:, -1:] - x[:, -1]
 
 
 def _top(rows: np.ndarray, other: np.ndarray, near: np.ndarray, fresh: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +117,7 @@ def _blocks(k: int):
 
         def edges() -> pd.DataFrame:
             x, ids = _matrix(codes), np.array(nodes, np.int64)
-            near = x @ x.T
+            near = _near(x)
             np.fill_diagonal(near, -np.inf)
             best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
@@ -126,7 +146,7 @@ def _project(seed: int, dim: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at = _matrix(batch["code"].tolist()) @ way
+                at = _matrix(batch["code"].tolist())[:, :dim] @ way
                 signs = (at[:, :10] > 0) @ (1 << np.arange(10))
                 yield batch[["node", "code"]].assign(key=signs * 1e9 + at[:, 10])
 
@@ -156,7 +176,7 @@ def _meet(k: int):
             new = fresh[a:b]
             if b - a < 2 or not new.any():
                 continue
-            near = codes[a:b] @ codes[a:b].T
+            near = _near(codes[a:b])
             ids = nodes[a:b]
             better = (near > least[a:b, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
             i, j = np.nonzero(better)
@@ -182,15 +202,13 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, same: int = 21) -> Index:
     members = salted.groupBy("vector").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
     members = stage(members.select(F.col("ids")[0].alias("node"), "ids", "vector"))
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    facts = members.agg(F.count("*"), F.max(square), F.max(F.array_max(F.transform("vector", F.abs))), F.max(F.size("vector"))).first()
-    n, limit, most, dim = facts[0], facts[1] or 1.0, facts[2] or 1.0, facts[3] or 1
-    least = members.agg(F.min(square)).first()[0] or 0.0
-    scale = 127.0 / max(most, float(np.sqrt(max(limit - least, 0.0))))
-    codes = stage(members.select("node", "vector").mapInPandas(_encode(limit, scale), "node long, code binary"))
-    edges = _descend(codes, n, k, dim + 1)
+    facts = members.agg(F.count("*"), F.max(square), F.max(F.size("vector"))).first()
+    n, limit, dim = facts[0], facts[1] or 1.0, facts[2] or 1
+    codes = stage(members.select("node", "vector").mapInPandas(_encode(limit), "node long, code binary"))
+    edges = _descend(codes, n, k, dim)
     both = edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     graph = both.join(codes.select(F.col("node").alias("other"), "code"), "other").select("node", "other", "code")
-    return Index(members, codes, stage(graph), dim, scale)
+    return Index(members, codes, stage(graph), dim)
 
 
 def _descend(codes: DataFrame, n: int, k: int, width: int) -> DataFrame:
@@ -265,7 +283,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (id, vector, optionally start).
 
     ``start``: a node to begin at (a query that is itself in the index begins at its own node); all begin at ``ENTRIES``
-    fixed nodes besides. A query never finds its own id. Scores are inner products of the original vectors in double
+    fixed nodes besides and at as many of the longest, which may be the best of a query that is near none of them. A query never finds its own id. Scores are inner products of the original vectors in double
     precision, added in order; ties go to the smaller vec_id. Unusable queries are left out, a repeated id is asked once.
     """
     asked = usable(queries.select("id", "vector")).groupBy("id").agg(F.min("vector").alias("vector"))
@@ -273,6 +291,9 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     n = asked.count()
     buckets = -(-max(n, 1) // 256)
     entries = index.codes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(ENTRIES)
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    longest = index.members.orderBy(square.desc(), "node").limit(ENTRIES).select("node").join(index.codes, "node")
+    entries = entries.select("node", "code").unionByName(longest.select("node", "code")).distinct()
     entries = entries.agg(F.collect_list(F.struct(F.col("node").alias("other"), "code")).alias("entries"))
     asked = stage(asked.withColumnRenamed("id", "query"))
     found = asked.select("query", F.explode(entries.scalar()).alias("e")).select("query", "e.other", "e.code")

@@ -48,6 +48,18 @@ def test_recall_and_ties(spark):
             assert (-s, i) < (-got[q, r + 1][1], got[q, r + 1][0])
 
 
+def test_recall_beside_a_few_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((2000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[[7, 400, 1203]] *= [[100.0], [100.0], [1000.0]]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v.astype(np.float32))]
+    asked = list(range(0, 2000, 40)) + [7, 1203]
+    got, _ = run(spark, rows, asked)
+    want = brute([(i, x) for i, x, _ in rows], set(asked), 20)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95, recall(got, want)
+
+
 def test_few_rows_and_none(spark):
     rows = [(i, [float(i + 1), 1.0], 0) for i in range(5)]
     got, _ = run(spark, rows, [0, 4])
