@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lotwise.llm import importance
 from lotwise.llm.cascade import LISTED_PARTS, RULES
 from lotwise.llm.mixing import BLOCK_TOKENS, REPETITION_LIMIT, SEED, STEPS, TARGET_ENTROPY
 from lotwise.llm.secret_scan import RULES as SECRET_RULES
@@ -151,5 +152,53 @@ def _warc_sql() -> str:
     """
 
 
+def _importance_sql() -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT kind, row, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM texts, unnest(range(1, CAST(len(w) AS BIGINT) - {n} + 2)) AS t(i)"
+        for n in range(1, importance.LONGEST + 1)
+    )
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    one, size, percent = "'0123456789ABCDEF'", importance.BUCKETS, importance.PERCENT
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+    texts AS (
+        SELECT kind, row, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM (SELECT 'd' AS kind, row, text FROM docs UNION ALL SELECT 'b', 0, text FROM benchmark)
+    ), grams AS ({grams}),
+    steps AS (
+        SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+        FROM range(256) AS r(n)
+    ), each AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM grams)),
+    buckets AS (
+        SELECT g, xor(list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: 16 * instr({one}, h[i]) + instr({one}, h[i + 1]) - 17)),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {size} AS bucket
+        FROM each, steps
+    ), counts AS (
+        SELECT n AS bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t
+        FROM range({size}) AS r(n) LEFT JOIN (SELECT kind, bucket FROM grams JOIN buckets USING (g)) ON bucket = n GROUP BY n
+    ), gains AS (
+        SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (all_s + {size})) / ((s + 1)::DOUBLE * (all_t + {size})))) AS BIGINT) AS gain
+        FROM counts, (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts)
+    ), sums AS (
+        SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM grams JOIN buckets USING (g) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row
+    ), scored AS (
+        SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) AS n_words,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM docs d JOIN texts x ON x.kind = 'd' AND x.row = d.row LEFT JOIN sums z ON z.row = d.row
+    ), placed AS (
+        SELECT *, n_words >= {importance.LEAST_WORDS} AS fit, row_number() OVER (ORDER BY n_words < {importance.LEAST_WORDS}, score DESC, doc_id) AS place FROM scored
+    )
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN fit AND place <= (SELECT count(*) FROM placed WHERE fit) * {percent} // 100 THEN place END AS rank
+    FROM placed
+    """
+
+
 ORACLES = {
-    "op1_warc_revisits": _warc_sql(), "op4_secret_trigrams": _secret_sql(), "op5_url_cascade": _url_sql(), "op9_temperature_mix": _mix_sql()}
+    "op1_warc_revisits": _warc_sql(),
+    "op4_secret_trigrams": _secret_sql(),
+    "op5_url_cascade": _url_sql(),
+    "op9_temperature_mix": _mix_sql(),
+    "op12_crc_importance": _importance_sql(),
+}

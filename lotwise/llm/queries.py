@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import cascade, dartminhash, lattice, mixing, nndescent, quality, secret_scan, sitetree, tokenfiles, warc
+from lotwise.llm import (
+    alignment, cascade, dartminhash, importance, lattice, mixing, nndescent, quality, secret_scan, simhash_vp, sitetree, tokenfiles, warc,
+)
 from lotwise.llm.common import read, stage
 
 
@@ -131,6 +133,27 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[judged.quality[n].alias(n) for n in names])
 
 
+def op11_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document linked to it."""
+    found = simhash_vp.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score and, if drawn, its rank."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = importance.score(docs, read(spark, sf_dir, "benchmark")).drop("text")
+    return importance.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's aligned tokens of two tokenizers, as figures and the digest of its groups."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_nn_descent": op2_nn_descent,
@@ -142,4 +165,7 @@ QUERIES = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_quality_ratio": op10_quality_ratio,
+    "op11_simhash_vp": op11_simhash_vp,
+    "op12_crc_importance": op12_crc_importance,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
