@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from lotwise.llm import sitetree as S
 
@@ -64,6 +65,51 @@ def test_names_cut_no_main_text():
     assert S.read_page('<body><div class="ad"><div><p>Buy</p></div></div><p>text</p></body>')[1] == [(">body>p", ""), (">body", "div.ad p"), ]
 
 
+def test_forms_teasers_and_hyphens():
+    def text(page):
+        blocks = S.read_page(page)[0]
+        inner = [b for b in blocks if b[2]]
+        return " ".join(t for _, t, _ in inner or blocks)
+
+    story = "A long story. " * 20
+    told = story.strip()
+    assert text(f'<body><div id="content"><p>{story}</p></div><article class="teaser">Read this too</article><article>And this</article></body>') == told
+    assert text(f"<body><form action=x><div><p>{story}</p></div><input></form></body>") == told
+    assert text(f"<body><form><article><p>{story}</p><form>Mail me</form></article></form></body>") == told
+    assert text(f"<body><p>{story}</p><form><label>Mail</label> Send</form></body>") == told
+    assert text(f"<body><article><p>{story}</p></article><article><p>Other</p></article></body>") == told
+    assert text(f"<body><article><p>{story}</p></article><article><p>{story}</p></article></body>") == f"{told} {told}"
+    for name in ("comment-list", "user-comments", "ad-slot", "side-bar", "sponsored_box", "sidebar-left"):
+        assert text(f'<article><p>{story}</p><div class="{name}"><p>Noise</p></div></article>') == told, name
+    for name in ("has-ads", "entry-header", "with-comments", "head-line", "read-adverbs"):
+        assert text(f'<article><p>{story}</p><div class="{name}"><p>More</p></div></article>') == f"{told} More", name
+    assert text(f'<body><div class="content-ad"><p>{story}</p></div><p>End</p></body>') == f"{told} End"
+
+
+def test_broken_markup():
+    texts = lambda page: " ".join(t for _, t, _ in S.read_page(page)[0])
+    assert texts('<p>one</p><a href="x>two</a><p class="y">three</p>') == "one two three"
+    assert texts("<p title='a > b'>ok</p>") == "ok"
+    assert texts('<p data-x="<b>bold</b>">ok</p>') == "ok"
+    assert texts('<p title="never closed>ok</p>') == "ok"
+    assert texts("a < b and <c") == "a < b and <c"
+    assert texts("<p>a<!-- open") == "a"
+    assert texts("<SCRIPT src='x'>if (a</b>1)</Script >after") == "after"
+
+
+def test_broken_pages_take_linear_time():
+    for unit in ('<a "', "<a '", '<a ">', "<a \"'", "<p ", "<!--", "<script>", "</", "<a b='", '">', "<div>", '<p class="x', "<form>", "<a \"><b '>"):
+        page = unit * (1_000_000 // len(unit))
+        for tail in ("", '">', "'>\"", ">"):
+            start = time.time()
+            list(S.tokens(page + tail))
+            assert time.time() - start < 4, (unit, tail)
+    start = time.time()
+    S.read_page('<a "' * 250_000)
+    S.read_page('<p class="x' * 90_000)
+    assert time.time() - start < 8
+
+
 def test_edges(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "http://x", "plain text & no tags"), (4, "http://x", "<p>unclosed <b>bold"), (5, "http://x", "<script>only"),
