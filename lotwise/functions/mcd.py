@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -44,35 +45,46 @@ def chi2_isf(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-def chi2_tail(df: int):
-    """Column function: upper chi-square tail at ``df`` degrees of freedom."""
+def chi2_tail(x: Column | str, df: int) -> Column:
+    """Upper chi-square tail of a column: a finite sum for an even number of degrees of freedom, else an Arrow batch."""
+    if df % 2 == 0:
+        x = F.col(x) if isinstance(x, str) else x
+        half, factorial, total = x / 2, 1.0, F.lit(1.0)
+        for j in range(1, df // 2):
+            factorial *= j
+            total = total + F.pow(half, F.lit(float(j))) / F.lit(factorial)
+        return F.when(x.isNull() | F.isnan(x), None).when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(-half) * total))
 
     @F.pandas_udf(DoubleType())
-    def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: chi2_sf(v, df) if v == v else None)
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: chi2_sf(v, df) if v == v else None)
 
-    return tail
+    return tail(x)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def inverse(flat: pd.Series) -> pd.Series:
+def inverse(flat: Column | str) -> Column:
     """Symmetric inverse of a row-major covariance; NULL when singular or ill-conditioned."""
 
-    def one(values):
-        a = np.asarray(values, dtype=np.float64)
-        p = math.isqrt(a.size)
-        a = a.reshape(p, p)
-        scale = np.sqrt(np.diag(a))
-        if not np.all(np.isfinite(a)) or np.any(scale == 0):
-            return None
-        r = a / np.outer(scale, scale)
-        if not np.linalg.cond(r) <= K.MCD_CONDITION:
-            return None
-        inv = np.linalg.inv(r)
-        inv = (inv + inv.T) / 2 / np.outer(scale, scale)
-        return inv.ravel()
-
-    return flat.map(lambda v: None if v is None else one(v))
+    # Made here, not at module level: a used UDF holds a handle of the driver's JVM and can't travel with its module.
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def every(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else invert(v))
+
+    return every(flat)
+
+
+def invert(values) -> np.ndarray | None:
+    a = np.asarray(values, dtype=np.float64)
+    p = math.isqrt(a.size)
+    a = a.reshape(p, p)
+    scale = np.sqrt(np.diag(a))
+    if not np.all(np.isfinite(a)) or np.any(scale == 0):
+        return None
+    r = a / np.outer(scale, scale)
+    if not np.linalg.cond(r) <= K.MCD_CONDITION:
+        return None
+    inv = np.linalg.inv(r)
+    return ((inv + inv.T) / 2 / np.outer(scale, scale)).ravel()
 
 
 def _distances(x: np.ndarray, centre: np.ndarray, cov: np.ndarray) -> np.ndarray:

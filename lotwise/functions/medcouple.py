@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -71,20 +72,27 @@ def _count_at_most(up: np.ndarray, down: np.ndarray, strict: bool) -> int:
     return int((down.size - np.searchsorted(down, up, side=side)).sum())
 
 
-@F.pandas_udf(DoubleType())
-def medcouple_of_sorted(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: medcouple(np.asarray(v, dtype=np.float64)))
+def medcouple_of_sorted(values: Column | str) -> Column:
+    @F.pandas_udf(DoubleType())
+    def every(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda v: medcouple(np.asarray(v, dtype=np.float64)))
 
+    return every(values)
 
-@F.pandas_udf(DoubleType())
-def medcouple_without(values: pd.Series, own: pd.Series) -> pd.Series:
+
+def medcouple_without(values: Column | str, own: Column | str) -> Column:
     """Medcouple of a sorted sample with one copy of ``own`` removed (NULL removes nothing)."""
-    out = []
-    for v, x in zip(values, own):
-        a = np.asarray(v, dtype=np.float64)
-        if x == x:
-            at = int(np.searchsorted(a, x))
-            if at < a.size and a[at] == x:
-                a = np.delete(a, at)
-        out.append(medcouple(a))
-    return pd.Series(out)
+
+    @F.pandas_udf(DoubleType())
+    def every(arrays: pd.Series, owns: pd.Series) -> pd.Series:
+        out = []
+        for v, x in zip(arrays, owns):
+            a = np.asarray(v, dtype=np.float64)
+            if x == x:
+                at = int(np.searchsorted(a, x))
+                if at < a.size and a[at] == x:
+                    a = np.delete(a, at)
+            out.append(medcouple(a))
+        return pd.Series(out)
+
+    return every(values, own)

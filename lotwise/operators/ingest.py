@@ -7,7 +7,7 @@ read-point check, so a row rejected later (unit, value) still makes the next one
 from __future__ import annotations
 
 from dataclasses import dataclass
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,8 +75,11 @@ def _optional_number(df: DataFrame, name: str) -> Column:
     return as_number(df, name) if name in df.columns else F.lit(None).cast("double")
 
 
-def structural_checks(df: DataFrame, profile: Profile, spark: SparkSession) -> DataFrame:
-    """Coerced columns plus ``finding_code``/``finding_column`` of the checks before the key is claimed."""
+def structural_checks(df: DataFrame, profile: Profile, spark: SparkSession, also: Mapping[str, Column] | None = None) -> DataFrame:
+    """Coerced columns plus ``finding_code``/``finding_column`` of the checks before the key is claimed.
+
+    ``also`` names further columns to keep.
+    """
     hours = as_number(df, "elapsed_hours")
     rows = df.select(
         F.col("source_row").cast("long").alias("source_row"),
@@ -86,6 +89,7 @@ def structural_checks(df: DataFrame, profile: Profile, spark: SparkSession) -> D
         as_number(df, "measurement_value").alias("value"),
         *[_optional_number(df, c).alias(c) for c in ("temperature_c", "voltage_v")],
         *[_optional_text(df, c).alias(c) for c in ("read_timestamp", "board_id", "socket_id", "thermal_zone", "tester_id", "data_provenance")],
+        *[c.alias(name) for name, c in (also or {}).items()],
     )
     missing = F.coalesce(
         *[
@@ -124,15 +128,19 @@ def validate(df: DataFrame, profile: Profile) -> DataFrame:
     The first row of a key is found by a minimum combined before the shuffle, so a key that fills the file is no
     hot spot, and rows are matched to it by (key, row).
     """
-    spark = df.sparkSession
-    rows = structural_checks(df, profile, spark)
-    claims = (
-        rows.filter("finding_code IS NULL")
-        .groupBy(*KEY)
-        .agg(F.min("source_row").alias("source_row"))
-        .withColumn("_first", F.lit(True))
-    )
-    rows = rows.join(claims, [*KEY, "source_row"], "left")
+    rows = structural_checks(df, profile, df.sparkSession)
+    return judge(rows, first_claims(rows), profile)
+
+
+def first_claims(rows: DataFrame) -> DataFrame:
+    """The row that claims each key: the first without a structural finding."""
+    return rows.filter("finding_code IS NULL").groupBy(*KEY).agg(F.min("source_row").alias("source_row"))
+
+
+def judge(rows: DataFrame, claims: DataFrame, profile: Profile) -> DataFrame:
+    """Structurally checked rows with the findings that come after the key is claimed; ``claims`` holds KEY, source_row."""
+    spark = rows.sparkSession
+    rows = rows.join(claims.select(*KEY, "source_row").withColumn("_first", F.lit(True)), [*KEY, "source_row"], "left")
     rows = rows.join(F.broadcast(profile.table(spark)), "parameter", "left")
     value, status = F.col("value"), F.col("status")
     open_ = F.col("finding_code").isNull()

@@ -189,3 +189,12 @@ def stratum_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("stratum", "failure_label").agg(
         F.count(F.lit(1)).alias("n_parts"), F.count_if(F.col("is_escape")).alias("n_escapes")
     )
+
+
+def decoy_check(labelled: DataFrame) -> DataFrame:
+    """Per decoy stratum: parts, those not healthy, those marked as escapes; clean when both are none."""
+    decoys = labelled.filter(F.col("stratum").startswith("S3") | F.col("stratum").startswith("S4") | F.col("stratum").startswith("S5"))
+    counts = decoys.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.count_if(F.col("failure_label") != "HEALTHY").alias("n_unhealthy"), F.count_if("is_escape").alias("n_escapes")
+    )
+    return counts.withColumn("clean", (F.col("n_unhealthy") == 0) & (F.col("n_escapes") == 0))

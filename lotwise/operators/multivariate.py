@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as K
 from lotwise.functions import mcd
+from lotwise.functions.loo import against_others
 from lotwise.functions.robust import d, finite
+from lotwise.operators import joint_hot
 from lotwise.operators.ordered import (
     GroupSizes,
     _hot_limit,
@@ -19,16 +21,11 @@ from lotwise.operators.ordered import (
     group_sizes,
     hot_keys,
     lookup_join,
-    order_statistics,
-    quantile_picks,
-    quantiles,
-    type7,
 )
 from lotwise.session import pin
 
 # Rows of one lot that one task may fit in memory.
 FIT_ROWS = 200_000
-STEPS = 12
 
 
 def complete_vectors(rows: DataFrame, part_keys: Sequence[str], parameters: Sequence[str]) -> DataFrame:
@@ -77,7 +74,7 @@ def _score(rows: DataFrame, fits: DataFrame, keys: Sequence[str], columns: Seque
     out = lookup_join(rows, fits, keys, sizes)
     d2, parts = _algebra(columns)
     out = out.withColumn("d2", F.greatest(d(0.0), d2)).withColumns({f"c_{c}": part for c, part in zip(columns, parts)})
-    return out.withColumn("p_value", mcd.chi2_tail(len(columns))(F.col("d2"))).drop("_mean", "_prec")
+    return out.withColumn("p_value", mcd.chi2_tail("d2", len(columns))).drop("_mean", "_prec")
 
 
 def classical(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -103,26 +100,26 @@ def robust(
 ) -> DataFrame:
     """Robust distance d2, p_value and contributions c_<column> of every complete row.
 
-    ``shared`` fits each lot once and scores all its parts; ``exact`` refits the lot without the part it scores, at any
-    size that one task can hold (``limit``; a larger lot is an error, since the refits are quadratic). Hot lots of the
-    shared form are fitted by distributed concentration steps.
+    ``shared`` fits each lot once and scores all its parts; ``exact`` compares each part with the fit of all others of
+    its lot, concentrated on from the lot's own fit. Lots of more than ``limit`` rows are concentrated over the cluster,
+    by the same steps to the same end. Refusals (``refusal_code``) leave d2 empty.
     """
     keys, columns = list(keys), list(columns)
     rows = _finite_rows(df, columns)
     limit = min(FIT_ROWS, _hot_limit(df, limit))
     sizes = sizes or group_sizes(rows, keys)
+    n_hot = max(1, sizes.rows // limit)
+    hot = bounded_broadcast(pin(hot_keys(rows, keys, limit).select(*keys)), n_hot) if sizes.is_hot(limit) else None
+    small = rows if hot is None else rows.join(hot, keys, "left_anti")
+    big = None if hot is None else rows.join(hot, keys, "left_semi")
     if mode == "exact":
-        if sizes.is_hot(limit):
-            raise ValueError(f"a lot has {sizes.largest} parts; mode='exact' takes at most {limit}")
-        return _refit_each(rows, keys, columns)
-    if sizes.is_hot(limit):
-        n_hot = max(1, sizes.rows // limit)
-        hot = bounded_broadcast(pin(hot_keys(rows, keys, limit).select(*keys)), n_hot)
-        fits = _fit_small(rows.join(hot, keys, "left_anti"), keys, columns).unionByName(
-            _fit_hot(rows.join(hot, keys, "left_semi"), keys, columns, limit, n_hot)
-        )
-    else:
-        fits = _fit_small(rows, keys, columns)
+        out = _leave_one_out(small, keys, columns)
+        if big is not None:
+            out = out.unionByName(joint_hot.leave_one_out(big, keys, columns, limit, n_hot))
+        return out.withColumn("p_value", mcd.chi2_tail("d2", len(columns))).withColumn("fit_mode", F.lit("exact"))
+    fits = _fit_small(small, keys, columns)
+    if big is not None:
+        fits = fits.unionByName(joint_hot.fit_hot(big, keys, columns, limit, n_hot))
     return _score(rows, fits, keys, columns, sizes).withColumn("fit_mode", F.lit("shared"))
 
 
@@ -134,8 +131,10 @@ def _fit_schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def _fit_small(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    fit_rows = mcd.fit
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        code, centre, cov = mcd.fit(pdf[columns].to_numpy(dtype=np.float64))
+        code, centre, cov = fit_rows(pdf[columns].to_numpy(dtype=np.float64))
         prec = None if code else np.linalg.inv(cov)
         out = {k: [pdf[k].iloc[0]] for k in keys}
         out["n"] = [len(pdf)]
@@ -147,88 +146,21 @@ def _fit_small(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return rows.select(*keys, *columns).groupBy(*keys).applyInPandas(fit, _fit_schema(rows, keys))
 
 
-def _refit_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Leave-one-out fits of small lots."""
-    p = len(columns)
-    added = ", n bigint, d2 double, p_value double, refusal_code string, fit_mode string"
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + "".join(f", `c_{c}` double" for c in columns) + added
+def _leave_one_out(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of lots that fit in a task, each against the fit of the others."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + "".join(f", `c_{c}` double" for c in columns)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(dtype=np.float64)
         out = pdf.copy()
-        parts = np.full((len(x), p), np.nan)
-        codes: list[str | None] = []
-        for i in range(len(x)):
-            code, centre, cov = mcd.fit(np.delete(x, i, axis=0))
-            codes.append(code)
-            if code is None:
-                delta = x[i] - centre
-                parts[i] = delta * np.linalg.solve(cov, delta)
+        parts, codes = against_others(pdf[columns].to_numpy(dtype=np.float64))
         for j, c in enumerate(columns):
             out[f"c_{c}"] = parts[:, j]
-        out["n"] = len(x) - 1
+        out["n"] = len(pdf) - 1
         out["d2"] = np.maximum(0.0, parts.sum(axis=1))
-        out["p_value"] = [mcd.chi2_sf(v, p) if v == v else None for v in out["d2"]]
         out["refusal_code"] = codes
-        out["fit_mode"] = "exact"
         return out
 
-    return rows.groupBy(*keys).applyInPandas(score, kinds)
-
-
-def _fit_hot(rows: DataFrame, keys: list[str], columns: list[str], limit: int, n_hot: int) -> DataFrame:
-    """Concentration steps over the whole cluster; between steps only one small row per lot is kept."""
-    p = len(columns)
-    std = {c: F.stddev_pop(c).alias(f"_s_{c}") for c in columns}
-    shape = pin(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *std.values()))
-    scaled = rows.join(bounded_broadcast(shape, n_hot), keys)
-    flat = F.lit(False)
-    for c in columns:
-        flat = flat | (F.col(f"_s_{c}") == 0)
-    for c in columns:
-        scaled = scaled.withColumn(c, F.col(c) / F.nullif(F.col(f"_s_{c}"), d(0.0)))
-    scaled = scaled.select(*keys, "_size", *columns)
-    start = d(0.0)
-    near = scaled
-    for c in columns:
-        med = quantiles(scaled, keys, c, {"_m": 0.5}, limit=limit).select(*keys, F.col("_m").alias(f"_m_{c}"))
-        near = near.join(bounded_broadcast(pin(med), n_hot), keys)
-        dev = near.select(*keys, F.abs(F.col(c) - F.col(f"_m_{c}")).alias("_dev"))
-        mad = quantiles(dev, keys, "_dev", {"_d": 0.5}, limit=limit).select(*keys, F.col("_d").alias(f"_d_{c}"))
-        near = near.join(bounded_broadcast(pin(mad), n_hot), keys)
-        unit = F.when(F.col(f"_d_{c}") == 0, d(1.0)).otherwise(F.col(f"_d_{c}"))
-        start = start + F.pow((F.col(c) - F.col(f"_m_{c}")) / unit, 2)
-    dist = near.withColumn("_dist", start).select(*keys, "_size", *columns, "_dist")
-    h = lambda n: F.ceil(n * d(K.MCD_SUPPORT)) - 1
-    for _ in range(STEPS):
-        cut = order_statistics(dist, keys, "_dist", {"_cut": h}, limit=limit).select(*keys, "_cut")
-        kept = dist.join(bounded_broadcast(pin(cut), n_hot), keys).filter("_dist <= _cut")
-        state = _moments(kept, keys, columns, sample=False)
-        state = pin(state.select(*keys, "_mean", mcd.inverse("_cov").alias("_prec")))
-        d2, _ = _algebra(columns)
-        dist = scaled.join(bounded_broadcast(state, n_hot), keys).withColumn("_dist", d2).drop("_mean", "_prec")
-    half = order_statistics(dist, keys, "_dist", quantile_picks({"m": 0.5}), limit=limit)
-    half = half.select(*keys, type7(F.col("n"), 0.5, F.col("m_lo"), F.col("m_hi")).alias("_half"))
-    factor = F.col("_half") / d(mcd.chi2_isf(0.5, p))
-    inside = dist.join(bounded_broadcast(pin(half), n_hot), keys).filter(F.col("_dist") < factor * d(mcd.chi2_isf(0.025, p)))
-    final = _moments(inside, keys, columns, sample=False).select(*keys, "_mean", mcd.inverse("_cov").alias("_prec"))
-    back = final.join(bounded_broadcast(shape, n_hot), keys, "right")
-    mean = F.array(*[F.get("_mean", F.lit(i)) * F.col(f"_s_{c}") for i, c in enumerate(columns)])
-    prec = F.array(
-        *[
-            F.get("_prec", F.lit(i * p + j)) / F.nullif(F.col(f"_s_{a}") * F.col(f"_s_{b}"), d(0.0))
-            for i, a in enumerate(columns)
-            for j, b in enumerate(columns)
-        ]
-    )
-    code = F.when(flat | F.col("_prec").isNull(), "SINGULAR_COVARIANCE")
-    return back.withColumn("refusal_code", code).select(
-        *keys,
-        F.col("_size").cast("long").alias("n"),
-        F.when(F.col("refusal_code").isNull(), mean).alias("_mean"),
-        F.when(F.col("refusal_code").isNull(), prec).alias("_prec"),
-        "refusal_code",
-    )
+    return rows.groupBy(*keys).applyInPandas(score, kinds + ", n bigint, d2 double, refusal_code string")
 
 
 def top_contributions(scored: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:

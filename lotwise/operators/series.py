@@ -16,10 +16,10 @@ from lotwise.functions import robust as R
 from lotwise.operators.ordered import GroupSizes, _hot_limit, bucketed, group_sizes, lookup_join, quantiles
 
 
-class _Chunks:
+class Chunks:
     """Rows of many series with the windows that walk them in order."""
 
-    def __init__(self, df, keys, order, limit, sizes):
+    def __init__(self, df, keys, order, limit=None, sizes=None):
         self.keys, self.order = list(keys), list(order)
         self.df, self.split = bucketed(df, self.keys, self.order[0], limit, sizes)
         self.part = [*self.keys, "_bucket"] if self.split else self.keys
@@ -99,7 +99,7 @@ def cusum(
     rows = rows.withColumn("_up", F.coalesce(F.col("_z") - k, R.d(0.0))).withColumn(
         "_down", F.coalesce(-F.col("_z") - k, R.d(0.0))
     )
-    walk = _Chunks(rows, keys, order, limit, sizes)
+    walk = Chunks(rows, keys, order, limit, sizes)
     walk.position("_pos")
     walk.reflected_sum("_up", "_high")
     walk.reflected_sum("_down", "_low")
@@ -221,7 +221,7 @@ def series_quality(
         (censored if censored is not None else F.lit(False)).alias("_cens"),
     )
     sizes = sizes or group_sizes(rows, keys)
-    walk = _Chunks(rows, keys, order, limit, sizes)
+    walk = Chunks(rows, keys, order, limit, sizes)
     if scale:
         walk.position("_pos")
         walk.last_before("_v", "_pv")

@@ -279,6 +279,13 @@ def worklist(worst: DataFrame) -> DataFrame:
     return worst.withColumn("severity_rank", rank).orderBy(F.desc("severity_rank"), "component_id")
 
 
+def refuse_small_lots(worst: DataFrame, least: int = K.MIN_COHORT) -> tuple[DataFrame, DataFrame]:
+    """(worst blocks of lots with enough parts to screen, refused lots with their number of parts)."""
+    sizes = worst.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    small = sizes.filter(F.col("n_parts") < least).withColumn("refusal_code", F.lit("INSUFFICIENT_COHORT"))
+    return worst.join(small.select("lot_id"), "lot_id", "left_anti"), small
+
+
 def drift_queue(worst: DataFrame) -> DataFrame:
     rank = R.ranked(F.col("band"), K.BAND_RANK)
     return worst.withColumn("band_rank", rank).orderBy(F.desc("band_rank"), "component_id")

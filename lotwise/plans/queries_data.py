@@ -45,10 +45,13 @@ def escape_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as lots, some of them special."""
     item = table(spark, sf_dir, "lineitem")
+    lot = F.col("lot_id")
+    special = F.when(lot % 23 == 3, "zero_iqr").when(lot % 29 == 4, "lot_shift").when(lot % 31 == 5, "unit_inconsistent")
     return item.groupBy(F.col("l_suppkey").alias("lot_id")).agg(F.count(F.lit(1)).alias("n_parts")).withColumn(
         "component_type", F.concat(F.lit("T"), (F.col("lot_id") % 5).cast("string"))
-    )
+    ).withColumn("special_type", special)
 
 
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.overlaps(X.assign_splits(_lots(spark, sf_dir)))
 
 
+def split_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.type_counts(X.assign_splits(_lots(spark, sf_dir)))
+
+
+def decoy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoy strata of parts of which some carry the mark of a faulty sensor or a shifted lot."""
+    rows = trajectory_rows(spark, sf_dir)
+    parts = rows.select("component_id", "lot_id").distinct()
+    flags = parts.withColumn("is_lot_shifted", F.col("lot_id") == 3).withColumn("has_sensor_artefact", F.col("component_id") % 9 == 1)
+    return L.decoy_check(L.labels(rows, LIMITS, flags))
+
+
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.split_counts(trajectory_rows(spark, sf_dir))
 
@@ -168,6 +183,8 @@ QUERIES = {
     "split_assignment": split_assignment,
     "split_audit": split_audit,
     "split_counts": split_counts,
+    "split_types": split_types,
+    "decoy_check": decoy_check,
     "marginals": marginals,
     "variance_components": variance_components,
     "correlations": correlations,

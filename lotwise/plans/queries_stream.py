@@ -6,39 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import cohort as C
-from lotwise.operators import ingest as I
 from lotwise.plans.queries_ingest import PROFILE
 from lotwise.plans.queries_series import HIGH, LOW
 from lotwise.plans.reports import rounded
-from lotwise.plans.views import SERIES_KEYS, series_view, shape_upload
+from lotwise.plans.views import SERIES_KEYS, series_view, upload_view
 from lotwise.streaming import jobs as J
 
 
+# Rows with such an id arrive a slice later than their date says; hours that rows may lag behind
+LAGGARDS, LAG_HOURS = (97, 5), 48.0
+EVENT_LAGGARDS, EVENT_LAG_HOURS = (50, 7), 6.0
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per finding after the key claim: structural findings, and one claim per key."""
-    items = J.read_files(spark, sf_dir, "lineitem.parquet").withColumn(
-        "source_row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    """Rows per finding and side after a stream of four slices by date, some rows of each arriving with the next."""
+    rows = upload_view(spark, sf_dir)
+    year = F.year(F.to_timestamp("read_timestamp"))
+    behind = (F.col("source_row") % LAGGARDS[0] == LAGGARDS[1]).cast("int")
+    slice_of = F.least(F.lit(3), F.floor((year - 1995) / 2).cast("int")) + behind
+    base = J.new_base(spark)
+    for stream in J.arrivals(rows, slice_of, 5):
+        J.ingest_stream(stream, PROFILE, F.to_timestamp("read_timestamp"), LAG_HOURS, base)
+    out = spark.read.parquet(f"{base}/out")
+    return out.groupBy(F.coalesce("finding_code", F.lit("ACCEPTED")).alias("outcome"), "side").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("censored").alias("n_censored"), F.sum("source_row").alias("row_sum")
     )
-    rows = I.structural_checks(shape_upload(items), PROFILE, spark)
-    rows = rows.withColumn("event_time", F.to_timestamp("read_timestamp"))
-    folder = J.run(J.claim_stream(rows, I.KEY, "event_time", "36500 days"), "append", J.split_sinks)
-    accepted = spark.read.parquet(f"{folder}/accepted")
-    quarantine = spark.read.parquet(f"{folder}/quarantine")
-    both = accepted.select("finding_code").unionByName(quarantine.select("finding_code"))
-    return both.groupBy(F.coalesce("finding_code", F.lit("CLAIMED")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def stream_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CUSUM of all events from a stream of four slices, in which some events arrive a slice late."""
     stats = C.lot_statistics(series_view(spark, sf_dir), ["parameter"], "value").select(
-        F.col("parameter").alias("event_type"), F.col("median").alias("reference"), F.col("robust_sigma").alias("scale")
-    )
-    events = J.read_files(spark, sf_dir, "events.parquet").join(F.broadcast(stats), "event_type")
-    rows = events.select(
-        F.col("user_id").alias("component_id"), F.col("event_type").alias("parameter"), "ts", F.col("event_id").alias("seq"),
-        "value", "reference", "scale",
+        "parameter", F.col("median").alias("reference"), F.col("robust_sigma").alias("scale")
     )
-    folder = J.run(J.cusum_stream(rows, SERIES_KEYS, ["ts", "seq"]), "update")
-    return rounded(J.cusum_result(J.latest(spark, folder, SERIES_KEYS), SERIES_KEYS))
+    rows = series_view(spark, sf_dir).select(*SERIES_KEYS, F.col("read_timestamp").cast("timestamp").alias("ts"), "seq", "value")
+    rows = rows.join(F.broadcast(stats), "parameter")
+    behind = (F.col("seq") % EVENT_LAGGARDS[0] == EVENT_LAGGARDS[1]).cast("int")
+    slice_of = F.floor((F.dayofmonth("ts") - 1) / 8).cast("int") + behind
+    base, stream = J.new_base(spark), None
+    for stream in J.arrivals(rows, slice_of, 5):
+        J.cusum_stream(stream, SERIES_KEYS, F.col("ts"), "seq", EVENT_LAG_HOURS, base)
+    return rounded(J.cusum_close(stream, base, SERIES_KEYS, "seq"))
 
 
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from lotwise.plans import queries_cohort, queries_data, queries_drift, queries_ingest, queries_series, queries_stream, queries_trace
+from lotwise.plans import (
+    queries_cohort, queries_data, queries_drift, queries_ingest, queries_scoring, queries_series, queries_store, queries_stream, queries_trace,
+)
 
 QUERIES = {
     **queries_cohort.QUERIES,
@@ -9,5 +11,7 @@ QUERIES = {
     **queries_drift.QUERIES,
     **queries_data.QUERIES,
     **queries_trace.QUERIES,
+    **queries_scoring.QUERIES,
+    **queries_store.QUERIES,
     **queries_stream.QUERIES,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.operators.ingest import dataset_digest
+from lotwise.session import stage
+
+ARTIFACT_ORDER = ["component_id", "parameter", "elapsed_hours"]
+DIGEST_PRIME = (1 << 61) - 1
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -88,15 +94,49 @@ def lot_dispositions(stored: DataFrame, components: DataFrame, lot_id: str) -> D
     return stored.join(lot, "component_id").orderBy("created_at", "component_id")
 
 
-def write_run(results: DataFrame, path: str, run_id: str) -> None:
-    """Results of one analysis run; a repeated run replaces its own partition only."""
-    (
-        results.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists; False if it did. The file system's exclusive create decides between writers."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = system.create(target, False)
+    except Exception as error:
+        if system.exists(target):
+            return False
+        raise error
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
+def commit_run(results: DataFrame, base: str, run_id: str, keys: Sequence[str], about: dict[str, str] | None = None) -> bool:
+    """Store one analysis run: a JSON row per part and parameter, and a run row. False if the run id was taken.
+
+    Results go to a folder of this attempt first; the run is the manifest that names it, created exclusively. A second
+    writer of the same id, or a replay, loses and its folder is never read.
+    """
+    spark = results.sparkSession
+    attempt = uuid.uuid4().hex
+    seen = Observation()
+    rows = results.select(*keys, F.to_json(F.struct(*results.columns)).alias("result_json")).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows.write.parquet(f"{base}/results/{run_id}/{attempt}")
+    manifest = {"run_id": run_id, "attempt": attempt, "n_results": int(seen.get["rows"]), **(about or {})}
+    return put_if_absent(spark, f"{base}/runs/{run_id}.json", json.dumps(manifest))
+
+
+def read_runs(spark: SparkSession, base: str) -> DataFrame:
+    """The run rows."""
+    return spark.read.json(f"{base}/runs")
+
+
+def read_run(spark: SparkSession, base: str, run_id: str, schema: str | None = None) -> DataFrame:
+    """Result rows of a committed run; with the schema of a result, its fields beside the JSON."""
+    run = read_runs(spark, base).filter(F.col("run_id") == run_id).first()
+    if run is None:
+        raise KeyError(f"no run {run_id}")
+    rows = spark.read.parquet(f"{base}/results/{run_id}/{run.attempt}")
+    return rows if schema is None else rows.withColumn("result", F.from_json("result_json", schema))
 
 
 def next_profile_version(profiles: DataFrame | None, document: DataFrame) -> DataFrame:
@@ -117,13 +157,66 @@ def referenced_profiles(profiles: DataFrame, used: DataFrame) -> DataFrame:
     return profiles.join(used.select("profile_id", "version").distinct(), ["profile_id", "version"], "left_semi")
 
 
+def profile_version(profiles: DataFrame, profile_id: str, version: int) -> DataFrame:
+    """Exactly that version; empty if there is none."""
+    return profiles.filter((F.col("profile_id") == profile_id) & (F.col("version") == version))
+
+
+def rewrite_profiles(profiles: DataFrame, documents: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles after the rewrite, refused documents). A version that a run or disposition names stays as it is."""
+    keys = ["profile_id", "version"]
+    known = documents.join(profiles.select(*keys), keys, "left_semi")
+    bound = referenced_profiles(known, used)
+    error = F.when(F.col("_bound"), "PROFILE_REFERENCED").otherwise("UNKNOWN_VERSION")
+    refused = documents.join(known.join(bound.select(*keys), keys, "left_anti").select(*keys), keys, "left_anti")
+    refused = refused.join(bound.select(*keys).withColumn("_bound", F.lit(True)), keys, "left").withColumn("error", error).drop("_bound")
+    allowed = known.join(bound.select(*keys), keys, "left_anti")
+    return upsert(profiles, allowed.select(*profiles.columns), keys), refused
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows sorted over all: by ranges of the keys, then within each range; a range is one file, in the order of names."""
+    parts = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
+def write_ordered(rows: DataFrame, path: str, keys: Sequence[str], partitions: int | None = None) -> None:
+    in_order(rows, keys, partitions).write.mode("overwrite").parquet(path)
+
+
+def ordered_digest(rows: DataFrame, keys: Sequence[str], digest: Column, partitions: int | None = None) -> DataFrame:
+    """One row: count and a digest that depends on the order of the rows, the same for any number of partitions.
+
+    A row counts with its position, which is its place in its range and the rows of the ranges before; equal keys go by
+    digest. Sums of position times digest lane, kept below a prime, combine in any order.
+    """
+    lane_keys = [*[F.col(k) for k in keys], F.col("_h")]
+    parts = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select(*keys, digest.alias("_h")).repartitionByRange(parts, *lane_keys).sortWithinPartitions(*lane_keys)
+    placed = stage(placed.select("_h", F.monotonically_increasing_id().alias("_at")))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    at = placed.withColumn("_part", part).join(offsets, "_part")
+    position = (F.col("_offset") + place + 1).cast("decimal(20,0)")
+    prime = F.lit(str(DIGEST_PRIME)).cast("decimal(20,0)")
+    lanes = [
+        F.sum(F.pmod(F.conv(F.substring("_h", 1 + 12 * i, 12), 16, 10).cast("decimal(18,0)") * position, prime).cast("decimal(20,0)")).alias(f"_l{i}")
+        for i in range(4)
+    ]
+    one = at.agg(F.count(F.lit(1)).alias("row_count"), *lanes)
+    text = F.concat_ws("|", F.col("row_count").cast("string"), *[F.col(f"_l{i}").cast("string") for i in range(4)])
+    return one.select("row_count", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("order_digest"))
+
+
 def write_artifacts(rows: DataFrame, truth: DataFrame, base: str, split_column: str = "split") -> None:
-    """Full, truth, screening and split tables; single sorted files are left to the exporter."""
-    rows.drop(split_column).write.mode("overwrite").parquet(f"{base}/full")
-    truth.write.mode("overwrite").parquet(f"{base}/truth")
-    rows.filter(F.col("elapsed_hours").isin(0, 24)).drop(split_column).write.mode("overwrite").parquet(f"{base}/screening")
+    """Full, truth, screening and split tables, each in the order of part, parameter and hour."""
+    write_ordered(rows.drop(split_column), f"{base}/full", ARTIFACT_ORDER)
+    write_ordered(truth, f"{base}/truth", [c for c in ARTIFACT_ORDER if c in truth.columns])
+    write_ordered(rows.filter(F.col("elapsed_hours").isin(0, 24)).drop(split_column), f"{base}/screening", ARTIFACT_ORDER)
     for split in ("train", "calib", "test"):
-        rows.filter(F.col(split_column) == split).drop(split_column).write.mode("overwrite").parquet(f"{base}/{split}")
+        write_ordered(rows.filter(F.col(split_column) == split).drop(split_column), f"{base}/{split}", ARTIFACT_ORDER)
 
 
 def manifest(tables: dict[str, DataFrame], digest: Column | None = None) -> DataFrame:

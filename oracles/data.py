@@ -32,10 +32,20 @@ lb AS (SELECT *, CASE WHEN breach THEN 'S0_CLEAR_FAIL' WHEN failure_label = 'HEA
    WHEN is_24h_outlier THEN 'early_latent_defect' WHEN max_drift_ratio >= 0.55 THEN 'accelerated_drift' WHEN max_drift_ratio >= 0.1 THEN 'gradual_drift'
    ELSE 'healthy_stable' END AS degradation_mode FROM lb1)"""
 
-SPLIT = """lots AS (SELECT l_suppkey AS lot_id, 'T' || (l_suppkey % 5) AS component_type, count(*) AS n_parts FROM lineitem GROUP BY ALL),
-sp0 AS (SELECT *, row_number() OVER (PARTITION BY component_type ORDER BY n_parts < 50, CAST('0x' || substr(md5(lot_id || ':20260930'), 1, 12) AS BIGINT)) - 1 AS r,
-  dense_rank() OVER (ORDER BY component_type) - 1 AS i FROM lots),
-sp AS (SELECT lot_id, component_type, CASE (r + i) % 5 WHEN 3 THEN 'calib' WHEN 4 THEN 'test' ELSE 'train' END AS split FROM sp0)"""
+# Lots numbered type by type; every split takes its even part of the numbers, then lots of a type are ranked.
+SPLIT = """lots AS (SELECT l_suppkey AS lot_id, 'T' || (l_suppkey % 5) AS component_type, count(*) AS n_parts,
+    CASE WHEN l_suppkey % 23 = 3 THEN 'zero_iqr' WHEN l_suppkey % 29 = 4 THEN 'lot_shift' WHEN l_suppkey % 31 = 5 THEN 'unit_inconsistent' END AS special_type,
+    CAST('0x' || substr(md5(l_suppkey || ':20260930'), 1, 12) AS BIGINT) AS h FROM lineitem GROUP BY ALL),
+sp0 AS (SELECT *, CASE special_type WHEN 'zero_iqr' THEN 'test' WHEN 'unit_inconsistent' THEN 'train' WHEN 'lot_shift'
+    THEN CASE WHEN row_number() OVER (PARTITION BY special_type ORDER BY h) = 1 THEN 'train' ELSE 'test' END END AS fixed FROM lots),
+tgt AS (SELECT count(*) FILTER (fixed IS NULL) AS m, round(count(*) * 0.2::DOUBLE) AS c,
+    count(*) - round(count(*) * 0.6::DOUBLE) - round(count(*) * 0.2::DOUBLE) - count(*) FILTER (fixed = 'test') AS t FROM sp0),
+sp1 AS (SELECT *, row_number() OVER (ORDER BY component_type, n_parts < 50, h) - 1 AS j,
+    row_number() OVER (PARTITION BY component_type ORDER BY n_parts < 50, h) AS r FROM sp0 WHERE fixed IS NULL),
+sp2 AS (SELECT sp1.*, floor((j + 1) * c / m) > floor(j * c / m) AS is_c, j - floor(j * c / m) AS k, m, c, t FROM sp1, tgt),
+sp3 AS (SELECT component_type, count(*) FILTER (is_c) AS nc, count(*) FILTER (NOT is_c AND floor((k + 1) * t / (m - c)) > floor(k * t / (m - c))) AS nt FROM sp2 GROUP BY 1),
+sp AS (SELECT lot_id, component_type, n_parts, special_type, CASE WHEN r <= nc THEN 'calib' WHEN r <= nc + nt THEN 'test' ELSE 'train' END AS split FROM sp1 JOIN sp3 USING (component_type)
+  UNION ALL SELECT lot_id, component_type, n_parts, special_type, fixed FROM sp0 WHERE fixed IS NOT NULL)"""
 
 
 def _ranks(source: str, cols: list[str]) -> str:
@@ -80,7 +90,14 @@ ORACLES = {
       {fin('max_drift_ratio', 'max_drift_ratio')}, is_24h_outlier, step_jump, NOT breach AS inside_limits FROM lb""",
     "strata_counts": f"WITH {LABELS} SELECT stratum, failure_label, count(*) AS n_parts, count(*) FILTER (is_escape) AS n_escapes FROM lb GROUP BY ALL",
     "escape_breaches": f"WITH {LABELS} SELECT count(*) AS breaches FROM traj WHERE value >= 150 AND component_id IN (SELECT component_id FROM lb WHERE is_escape)",
-    "split_assignment": f"WITH {SPLIT} SELECT * FROM sp",
+    "split_assignment": f"WITH {SPLIT} SELECT lot_id, component_type, split FROM sp",
+    "split_types": f"""WITH {SPLIT} SELECT component_type, split, count(*) AS n_lots, CAST(sum(n_parts) AS BIGINT) AS n_parts, count(special_type) AS n_special,
+      count(*) FILTER (n_parts < 50) AS n_small FROM sp GROUP BY ALL""",
+    "decoy_check": f"""WITH {LABELS}, x AS (SELECT *, lot_id = 3 AS sh, component_id % 9 = 1 AS art FROM lb0),
+      y AS (SELECT *, CASE WHEN step_jump THEN 'FAILED' WHEN breach THEN 'BAD' WHEN art OR sh THEN 'HEALTHY' WHEN is_24h_outlier OR max_drift_ratio >= 0.55 THEN 'BAD' ELSE 'HEALTHY' END AS l FROM x),
+      z AS (SELECT *, CASE WHEN breach THEN 'S0' WHEN l = 'HEALTHY' AND sh THEN 'S5_LOT_SHIFT' WHEN l = 'HEALTHY' AND art THEN 'S4_DECOY_SENSOR' WHEN l = 'HEALTHY' THEN 'S3_DECOY_HEALTHY' ELSE 'S1' END AS stratum FROM y)
+      SELECT stratum, count(*) AS n_parts, count(*) FILTER (l <> 'HEALTHY') AS n_unhealthy, count(*) FILTER (l <> 'HEALTHY' AND NOT breach) AS n_escapes,
+        count(*) FILTER (l <> 'HEALTHY') = 0 AS clean FROM z WHERE substr(stratum, 1, 2) IN ('S3', 'S4', 'S5') GROUP BY 1""",
     "split_audit": f"""WITH {SPLIT} SELECT pair, CAST(0 AS BIGINT) + (SELECT count(*) FROM (SELECT lot_id FROM sp WHERE split = a INTERSECT SELECT lot_id FROM sp WHERE split = b)) AS shared_lots
       FROM (VALUES ('train/calib', 'train', 'calib'), ('train/test', 'train', 'test'), ('calib/test', 'calib', 'test')) v(pair, a, b)""",
     "split_counts": f"""WITH {TRAJ} SELECT split, count(DISTINCT lot_id) AS n_lots, count(DISTINCT (lot_id, component_id)) AS n_parts, count(*) AS n_rows FROM traj GROUP BY split""",

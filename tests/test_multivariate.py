@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lotwise.functions import mcd
+from lotwise.functions import loo, mcd
+from lotwise.operators import joint_hot
 from lotwise.operators import multivariate as M
 
 
@@ -39,17 +41,90 @@ def test_scale_and_order_do_not_matter(spark):
         assert r["d2"] == pytest.approx(base[r["id"]], rel=1e-5)
 
 
-def test_hot_lot_matches_local_fit(spark):
+def by_id(df):
+    return {r["id"]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("mode", ["shared", "exact"])
+def test_hot_lot_equals_local_fit(spark, mode):
+    _, df = sample(spark, n=150)
+    base = by_id(M.robust(df, ["lot"], ["x", "y", "w"], mode))
+    hot = by_id(M.robust(df.repartition(5), ["lot"], ["x", "y", "w"], mode, limit=100))
+    assert hot.keys() == base.keys() and len(hot) == 300
+    for k, r in base.items():
+        assert hot[k]["n"] == r["n"] and hot[k]["refusal_code"] is None and hot[k]["fit_mode"] == mode
+        for c in ("d2", "p_value", "c_x", "c_y", "c_w"):
+            assert hot[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-12)
+
+
+def test_hot_lot_with_ties(spark):
+    """Rounded values: many equal rows, and many at the distance that cuts."""
+    rows, _ = sample(spark, n=160, lots=("a",))
+    rows = [(i, lot, round(x), round(y), round(w * 3)) for i, lot, x, y, w in rows]
+    df = spark.createDataFrame(rows + [(f"c{i}", "flat", i, 2, 3) for i in range(130)], "id string, lot string, x double, y double, w double")
+    for mode in ("shared", "exact"):
+        base, hot = (by_id(M.robust(df, ["lot"], ["x", "y", "w"], mode, limit=limit)) for limit in (None, 100))
+        for k, r in base.items():
+            assert hot[k]["refusal_code"] == r["refusal_code"] == ("SINGULAR_COVARIANCE" if k.startswith("c") else None)
+            if r["d2"] is not None and r["d2"] == r["d2"]:
+                assert hot[k]["d2"] == pytest.approx(r["d2"], rel=1e-9, abs=1e-12)
+
+
+def test_narrow_windows_widen(spark, monkeypatch):
     _, df = sample(spark, n=150, lots=("a",))
-    base = {r["id"]: r["d2"] for r in M.robust(df, ["lot"], ["x", "y", "w"]).collect()}
-    M_STEPS, M.STEPS = M.STEPS, 4
-    try:
-        hot = {r["id"]: r["d2"] for r in M.robust(df, ["lot"], ["x", "y", "w"], limit=100).collect()}
-    finally:
-        M.STEPS = M_STEPS
-    assert hot.keys() == base.keys()
-    np.testing.assert_allclose([hot[k] for k in sorted(hot)], [base[k] for k in sorted(hot)], rtol=0.15)
-    assert max(hot, key=hot.get) == "a0"
+    base = by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact"))
+    monkeypatch.setattr(joint_hot, "WINDOW", 2)
+    monkeypatch.setattr(loo, "WINDOW", 2)
+    for limit in (None, 100):
+        got = by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact", limit=limit))
+        assert all(got[k]["d2"] == pytest.approx(r["d2"], rel=1e-9) for k, r in base.items())
+
+
+@pytest.mark.parametrize("n,p,kind", [(22, 2, 0), (31, 3, 1), (60, 3, 2), (121, 4, 0), (302, 3, 1), (302, 3, 2)])
+def test_downdating_equals_refits(n, p, kind):
+    rng = np.random.default_rng(n + kind)
+    x = rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) + 3
+    if kind == 1:
+        x[: n // 8] += rng.normal(size=p) * 9
+    if kind == 2:
+        x = np.round(x * 2) / 2
+    x = x[np.lexsort(x.T[::-1])] / x.std(axis=0)
+    parts, means, spreads = loo.score(x)
+    keep, _, _ = loo.concentrate(x)
+    for i in range(n):
+        left = np.delete(np.arange(n), i)
+        mean, spread = loo.refit(x[left], np.flatnonzero(np.isin(left, keep)))
+        np.testing.assert_allclose(means[i], mean, rtol=1e-9, atol=1e-11)
+        np.testing.assert_allclose(spreads[i], spread, rtol=1e-9, atol=1e-11)
+        delta = x[i] - mean
+        np.testing.assert_allclose(parts[i], delta * np.linalg.solve(spread, delta), rtol=1e-8, atol=1e-10)
+
+
+def test_leave_one_out_refusals(spark):
+    rows = [("a", float(i), 1.0) for i in range(30)] + [("a", 3.0, 2.0)] + [("b", 1.0, 2.0)] + [("c", float(i), float(i * i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "lot string, x double, y double")
+    got = {(r["lot"], r["y"]): r["refusal_code"] for r in M.robust(df, ["lot"], ["x", "y"], "exact").collect()}
+    assert got["a", 2.0] == "SINGULAR_COVARIANCE" and got["b", 2.0] == "INSUFFICIENT_COHORT" and got["c", 4.0] == "INSUFFICIENT_SAMPLE_RATIO"
+    with_gap = M.robust(df.withColumn("x", F.when(F.col("x") == 1, None).otherwise(F.col("x"))), ["lot"], ["x", "y"], "exact")
+    assert with_gap.count() == df.filter("x <> 1").count()
+
+
+def test_classical_then_robust_in_one_session(spark):
+    """A used inverse must not keep later fits from travelling to the workers."""
+    _, df = sample(spark, n=60, lots=("a",))
+    assert M.classical(df, ["lot"], ["x", "y", "w"]).filter("d2 IS NULL").count() == 0
+    assert M.robust(df, ["lot"], ["x", "y", "w"]).filter("d2 IS NULL").count() == 0
+    assert M.robust(df, ["lot"], ["x", "y", "w"], "exact").filter("d2 IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 6, 7])
+def test_chi2_column(spark, df):
+    rows = spark.createDataFrame([(x,) for x in (0.0, -1.0, 0.3, 5.0, 80.0, None, float("nan"))], "x double")
+    for r in rows.withColumn("p", mcd.chi2_tail("x", df)).collect():
+        if r["x"] is None or r["x"] != r["x"]:
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(mcd.chi2_sf(r["x"], df), rel=1e-12)
 
 
 def test_refusals(spark):
