@@ -6,6 +6,7 @@ it as many as are needed, in lexical order; the steps end when the kept rows, to
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -207,7 +208,7 @@ def _score(rows: DataFrame, found: Concentrated, lots: DataFrame, keys: list[str
     kinds = dict(rows.dtypes)
     figures = F.struct(
         "_n", "_mean", "_cov", F.array(*[f"_m_{c}" for c in columns]).alias("m"), F.array(*[f"_s_{c}" for c in columns]).alias("s"),
-        *[F.struct(f"_points_{w}", f"_before_{w}", f"_low_{w}", f"_high_{w}").alias(w) for w in "sme"],
+        *[F.struct(f"_points_{w}", f"_before_{w}", f"_low_{w}", f"_high_{w}").alias(f"at_{w}") for w in "sme"],
     )
     salts = F.ceil(F.col("_n") / limit).cast("int")
     state = lots.select(*keys, salts.alias("_salts"), F.to_json(F.struct(figures.alias("f"))).alias("_lot"))
@@ -239,13 +240,12 @@ def _score(rows: DataFrame, found: Concentrated, lots: DataFrame, keys: list[str
 
 def _lot(text: str):
     """(size, the lot, places, medians, scales), or None for a lot with a constant column."""
-    import json
-
     if not text:
         return None
     f = json.loads(text)["f"]
     windows = [
-        (np.array(f[w][f"_points_{w}"], float), np.array(f[w][f"_before_{w}"], float), f[w].get(f"_low_{w}"), f[w].get(f"_high_{w}")) for w in "sme"
+        (np.array(f[f"at_{w}"][f"_points_{w}"], float), np.array(f[f"at_{w}"][f"_before_{w}"], float), f[f"at_{w}"].get(f"_low_{w}"), f[f"at_{w}"].get(f"_high_{w}"))
+        for w in "sme"
     ]
     p = len(f["m"])
     try:

@@ -25,7 +25,7 @@ def _text_digest(*columns: str) -> Column:
 def stored_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of the first half of the upload, overwritten by that of the whole upload where a part is in both."""
     rows = _validated(spark, sf_dir)
-    keys = ["component_id", "parameter"]
+    keys = ["component_id", "lot_id", "component_type", "parameter"]
     quality = lambda df: I.grid_quality(df, PROFILE).select(*keys, "n_missing", "n_valid", "score")
     old = quality(rows.filter("source_row % 2 = 0"))
     return rounded(sinks.upsert(old, quality(rows.filter("source_row % 3 > 0")), keys))

@@ -9,7 +9,7 @@ from oracles.ingest import QUALITY, UPLOAD
 def _half(name: str, where: str) -> str:
     """Quality of some of the rows, as one CTE."""
     inner = QUALITY.replace("FROM ok GROUP BY ALL", f"FROM ok WHERE {where} GROUP BY ALL")
-    return f"{name} AS (WITH {inner} SELECT component_id, parameter, n_missing, n_valid, score FROM qs)"
+    return f"{name} AS (WITH {inner} SELECT component_id, lot_id, component_type, parameter, n_missing, n_valid, score FROM qs)"
 
 
 def _digest(lanes: int, width: int, source: str) -> str:
@@ -23,7 +23,8 @@ _ORDERED = f"""WITH {TRAJ}, h AS (SELECT *, sha256(component_id || '|' || parame
 
 ORACLES = {
     "stored_quality": f"""WITH {UPLOAD}, {_half('a', 'source_row % 2 = 0')}, {_half('b', 'source_row % 3 > 0')}
-      SELECT component_id, parameter, n_missing, n_valid, {r6('score')} AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (component_id, parameter))""",
+      SELECT component_id, lot_id, component_type, parameter, n_missing, n_valid, {r6('score')} AS score FROM
+        (SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (component_id, lot_id, component_type, parameter))""",
     "stored_lots": f"""WITH {UPLOAD}, a AS (SELECT lot_id, min(component_type) AS component_type, count(DISTINCT component_id) AS n_parts FROM ok WHERE source_row % 2 = 1 AND lot_id < 'L3' GROUP BY 1),
       b AS (SELECT lot_id, min(component_type) AS component_type, count(DISTINCT (component_type, component_id)) AS n_parts FROM ok GROUP BY 1)
       SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (lot_id)""",

@@ -3,7 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import loo, mcd
-from lotwise.operators import joint_hot
 from lotwise.operators import multivariate as M
 
 
@@ -60,24 +59,21 @@ def test_hot_lot_equals_local_fit(spark, mode):
 def test_hot_lot_with_ties(spark):
     """Rounded values: many equal rows, and many at the distance that cuts."""
     rows, _ = sample(spark, n=160, lots=("a",))
-    rows = [(i, lot, round(x), round(y), round(w * 3)) for i, lot, x, y, w in rows]
-    df = spark.createDataFrame(rows + [(f"c{i}", "flat", i, 2, 3) for i in range(130)], "id string, lot string, x double, y double, w double")
-    for mode in ("shared", "exact"):
-        base, hot = (by_id(M.robust(df, ["lot"], ["x", "y", "w"], mode, limit=limit)) for limit in (None, 100))
-        for k, r in base.items():
-            assert hot[k]["refusal_code"] == r["refusal_code"] == ("SINGULAR_COVARIANCE" if k.startswith("c") else None)
-            if r["d2"] is not None and r["d2"] == r["d2"]:
-                assert hot[k]["d2"] == pytest.approx(r["d2"], rel=1e-9, abs=1e-12)
+    rows = [(i, lot, float(round(x)), float(round(y)), float(round(w * 3))) for i, lot, x, y, w in rows]
+    df = spark.createDataFrame(rows + [(f"c{i}", "flat", float(i), 2.0, 3.0) for i in range(130)], "id string, lot string, x double, y double, w double")
+    base, hot = (by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact", limit=limit)) for limit in (None, 100))
+    for k, r in base.items():
+        assert hot[k]["refusal_code"] == r["refusal_code"] == ("SINGULAR_COVARIANCE" if k.startswith("c") else None)
+        if r["d2"] is not None and r["d2"] == r["d2"]:
+            assert hot[k]["d2"] == pytest.approx(r["d2"], rel=1e-9, abs=1e-12)
 
 
 def test_narrow_windows_widen(spark, monkeypatch):
     _, df = sample(spark, n=150, lots=("a",))
     base = by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact"))
-    monkeypatch.setattr(joint_hot, "WINDOW", 2)
     monkeypatch.setattr(loo, "WINDOW", 2)
-    for limit in (None, 100):
-        got = by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact", limit=limit))
-        assert all(got[k]["d2"] == pytest.approx(r["d2"], rel=1e-9) for k, r in base.items())
+    got = by_id(M.robust(df, ["lot"], ["x", "y", "w"], "exact"))
+    assert all(got[k]["d2"] == pytest.approx(r["d2"], rel=1e-9) for k, r in base.items())
 
 
 @pytest.mark.parametrize("n,p,kind", [(22, 2, 0), (31, 3, 1), (60, 3, 2), (121, 4, 0), (302, 3, 1), (302, 3, 2)])

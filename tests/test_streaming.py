@@ -81,14 +81,14 @@ def test_cusum_of_shuffled_batches(spark, delay):
     df = spark.createDataFrame(rows, "k string, at long, seq long, value double, slice int")
     df = df.withColumn("ts", F.timestamp_seconds("at")).withColumns({"reference": F.lit(0.0), "scale": F.lit(1.0)})
     base = J.new_base(spark)
-    for s in J.arrivals(df.drop("slice").withColumn("slice", df.slice), F.col("slice"), 3):
+    for s in J.arrivals(df, F.col("slice"), 3):
         J.cusum_stream(s, ["k"], F.col("ts"), "seq", delay, base)
     got = {r.k: r.asDict() for r in J.cusum_close(s, base, ["k"], "seq").collect()}
     # Late by hand: before the latest time of the earlier slices less the delay.
     latest = [max((r[1] for r in rows if r[4] < n), default=None) for n in range(3)]
     late = [r for r in rows if latest[r[4]] is not None and r[1] / 3600 < latest[r[4]] / 3600 - delay]
     assert bool(late) == (delay < 100)
-    kept = spark.createDataFrame([r for r in rows if r not in late], df.schema.names[:5] and "k string, at long, seq long, value double, slice int")
+    kept = spark.createDataFrame([r for r in rows if r not in late], "k string, at long, seq long, value double, slice int")
     kept = kept.withColumns({"reference": F.lit(0.0), "scale": F.lit(1.0)}).withColumn("t", F.col("at") / 3600)
     want = {r.k: r.asDict() for r in S.cusum(kept, ["k"], ["t", "seq"], "value", "reference", "scale").collect()}
     assert got.keys() == {r[0] for r in rows} and sum(r["n_late"] for r in got.values()) == len(late)
