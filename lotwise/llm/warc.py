@@ -93,16 +93,21 @@ def resolve(records: DataFrame, hot: int = HOT) -> DataFrame:
     (map), body; other columns are ignored. Full responses have status 200 and a body. Entity tags are compared weakly;
     where either side has none, Last-Modified is compared. Resolutions: ``resolved``, ``unchecked`` (nothing to compare;
     resolved too), ``etag_differs``, ``last_modified_differs``, ``no_response``. A repeated record_id is taken as one
-    record. Null headers are empty. Empty tables give no rows.
+    record; revisits without a record_id keep a row each, and a response without one resolves others under a null
+    response_id. Null headers are empty. Empty tables give no rows.
     """
     kind = F.col("record_type")
     full = (kind == "response") & (F.col("status") == 200) & F.col("body").isNotNull()
-    keys = records.select(F.col("record_id").alias("id"), canonical_url(F.col("target_uri")).alias("uri"), F.col("record_date").alias("at"), F.coalesce(full, F.lit(False)).alias("full"), kind.alias("kind"))
+    # Records without an id are told apart by URL and time, on which alone the latest earlier response depends.
+    note = F.when(F.col("record_id").isNull(), F.xxhash64("target_uri", "record_date", kind))
+    name = F.struct("record_id", note.alias("note"))
+    keys = records.select(name.alias("id"), canonical_url(F.col("target_uri")).alias("uri"), F.col("record_date").alias("at"), F.coalesce(full, F.lit(False)).alias("full"), kind.alias("kind"))
     keys = keys.where("full OR kind = 'revisit'").dropDuplicates(["id"])
     pairs = as_of(keys.drop("kind"), hot)
-    revisits = records.where(kind == "revisit").select("record_id", canonical_url(F.col("target_uri")).alias("uri"), F.col("headers").alias("fresh")).dropDuplicates(["record_id"])
-    revisits = stage(revisits.join(pairs.withColumnRenamed("revisit", "record_id"), "record_id"))
-    stored = records.where(full).select(F.col("record_id").alias("response"), F.col("headers").alias("old"), "body").dropDuplicates(["response"])
+    asks = records.where(kind == "revisit").select(name.alias("revisit"), canonical_url(F.col("target_uri")).alias("uri"), F.col("headers").alias("fresh"))
+    asks = asks.where("revisit.record_id IS NOT NULL").dropDuplicates(["revisit"]).unionByName(asks.where("revisit.record_id IS NULL"))
+    revisits = stage(asks.join(pairs, "revisit").select(F.col("revisit.record_id").alias("record_id"), "uri", "fresh", "response"))
+    stored = records.where(full).select(name.alias("response"), F.col("headers").alias("old"), "body").dropDuplicates(["response"])
     # Revisits without a response would all meet under the null key; they need no join.
     alone = revisits.where("response IS NULL").withColumn("old", F.lit(None).cast(records.schema["headers"].dataType))
     alone = alone.withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
@@ -122,6 +127,6 @@ def resolve(records: DataFrame, hot: int = HOT) -> DataFrame:
     rows = rows.withColumn("resolution", resolution)
     good = F.col("resolution").isin("resolved", "unchecked")
     return rows.select(
-        "record_id", "uri", F.col("response").alias("response_id"), "resolution",
+        "record_id", "uri", F.col("response.record_id").alias("response_id"), "resolution",
         F.when(good, merged_headers(F.col("old"), F.col("fresh"))).alias("headers"), F.when(good, F.col("body")).alias("body"),
     )

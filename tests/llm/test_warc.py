@@ -66,3 +66,20 @@ def test_empty_and_repeated_header_names(spark):
     assert W.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.range(1).select(W.merged_headers(F.create_map(F.lit("A"), F.lit("1"), F.lit("a"), F.lit("2")), F.create_map(F.lit("Content-Type"), F.lit("x"), F.lit("B"), F.lit("3"))).alias("h"))
     assert df.first().h == {"a": "2", "b": "3"}
+
+
+def test_records_without_an_id(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [
+        (1, "response", "http://a.org/", at(1), 200, {"ETag": '"1"'}, "one", None, None), (None, "response", "http://a.org/", at(3), 200, {"ETag": '"2"'}, "two", None, None),
+        (None, "revisit", "http://a.org/", at(2), 304, {"ETag": '"1"'}, None, None, None), (None, "revisit", "http://a.org/", at(2), 304, {"ETag": '"9"'}, None, None, None),
+        (None, "revisit", "http://a.org/", at(4), 304, {"ETag": '"2"'}, None, None, None), (None, "revisit", "http://a.org/", at(4), 304, {"ETag": '"2"'}, None, None, None),
+        (None, "revisit", None, at(4), 304, {}, None, None, None), (7, "revisit", "http://a.org/", at(5), 304, {"ETag": '"2"'}, None, None, None),
+    ]
+    got = sorted((str(r.record_id), str(r.response_id), r.resolution, str(r.body)) for r in W.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(
+        [
+            ("None", "1", "resolved", "one"), ("None", "1", "etag_differs", "None"), ("None", "None", "resolved", "two"), ("None", "None", "resolved", "two"),
+            ("None", "None", "no_response", "None"), ("7", "None", "resolved", "two"),
+        ]
+    )
