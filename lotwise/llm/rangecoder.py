@@ -9,7 +9,8 @@ A block's work is sequential, but blocks are not bound to each other: position `
 once with array operations, one lane per block.
 
 Bytes of a block, little endian: magic ``LWCM``, crc32 of all that follows, then unsigned 32-bit numbers (vocabulary, ids,
-documents, 16-bit units), for each document its id (64 bit), its null mark (8 bit) and its number of ids (32 bit), the
+documents, 16-bit units), for each document or part of one its id (64 bit), marks (8 bit: null id, begun before, goes on)
+and its number of ids (32 bit), the
 crc32 of the ids (32 bit each), and the units of the range coder.
 """
 
@@ -25,6 +26,8 @@ LANES = 256
 TABLE = 1 << 13
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
+# Ids of a block: a lane's frequencies stay within its span, and a wave's lanes within memory.
+LONGEST = 1 << 17
 WEIGHT = 24  # of a seen id against one for every id of the vocabulary
 RATE = 5
 
@@ -73,7 +76,7 @@ class _Model:
         self.sure = [np.zeros(n * TABLE, np.uint8) for _ in range(2)]
         self.hits = [np.full(n * 128, 1 << 13, np.int64) for _ in range(2)]
         self.seen = np.zeros((n, vocabulary), np.int32)
-        self.span = (vocabulary + WEIGHT * (1 << 17)) * 2
+        self.span = (vocabulary + WEIGHT * LONGEST) * 2
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def rebuild(self, k: int) -> None:
@@ -120,7 +123,9 @@ def _waves(sizes: np.ndarray):
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]:
-    """16-bit units of each block of ids (all below ``vocabulary``, at most 65,536)."""
+    """16-bit units of each block of at most ``LONGEST`` ids (all below ``vocabulary``, at most 65,536)."""
+    if max(map(len, blocks), default=0) > LONGEST:
+        raise ValueError(f"a block holds at most {LONGEST} ids")
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
     for wave in _waves(np.array([len(b) for b in blocks], np.int64)):
         sizes = np.array([len(blocks[i]) for i in wave], np.int64)
@@ -200,24 +205,34 @@ def decode_blocks(units: list[np.ndarray], sizes: list[int], vocabulary: int) ->
     return out
 
 
-def pack(keys: list[int | None], sizes: list[int], ids: np.ndarray, units: np.ndarray, vocabulary: int) -> bytes:
-    """The bytes of a block."""
+NULL, BEGUN, GOES_ON = 1, 2, 4
+
+
+def pack(
+    keys: list[int | None], sizes: list[int], ids: np.ndarray, units: np.ndarray, vocabulary: int, begun: bool = False, goes_on: bool = False
+) -> bytes:
+    """The bytes of a block; ``begun``: its first document began in an earlier block, ``goes_on``: its last one does."""
+    marks = np.array([NULL if k is None else 0 for k in keys], "u1")
+    if len(marks):
+        marks[0] |= BEGUN * begun
+        marks[-1] |= GOES_ON * goes_on
     body = struct.pack("<4I", vocabulary, len(ids), len(keys), len(units))
-    body += np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], "u1").tobytes()
+    body += np.array([0 if k is None else k for k in keys], "<i8").tobytes() + marks.tobytes()
     body += np.array(sizes, "<u4").tobytes() + struct.pack("<I", zlib.crc32(ids.astype("<u4").tobytes())) + units.astype("<u2").tobytes()
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
-def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int, int]:
-    """(document ids, their sizes, units, vocabulary, crc32 of the ids); raises if the bytes are not what was written."""
+def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int, int, np.ndarray]:
+    """(document ids, their sizes, units, vocabulary, crc32 of the ids, marks); raises if the bytes are not what was written."""
     if block[:4] != MAGIC or struct.unpack_from("<I", block, 4)[0] != zlib.crc32(block[8:]):
         raise ValueError("damaged block")
     vocabulary, n, docs, units = struct.unpack_from("<4I", block, 8)
     at = 24
     keys = np.frombuffer(block, "<i8", docs, at)
-    null = np.frombuffer(block, "u1", docs, at + 8 * docs)
+    marks = np.frombuffer(block, "u1", docs, at + 8 * docs)
     sizes = np.frombuffer(block, "<u4", docs, at + 9 * docs).astype(np.int64)
     (crc,) = struct.unpack_from("<I", block, at + 13 * docs)
     if int(sizes.sum()) != n:
         raise ValueError("damaged block")
-    return [None if z else int(k) for k, z in zip(keys, null)], sizes, np.frombuffer(block, "<u2", units, at + 13 * docs + 4), vocabulary, crc
+    names = [None if m & NULL else int(k) for m, k in zip(marks, keys)]
+    return names, sizes, np.frombuffer(block, "<u2", units, at + 13 * docs + 4), vocabulary, crc, marks

@@ -1,9 +1,9 @@
 """Token-id files: documents encoded, written as range-coded blocks in order of their ids, and read back.
 
 Documents are dealt by ranges of doc_id, so file after file holds them in ascending order. A task encodes its documents,
-closes a block with the document that brings it to ``BLOCK_IDS`` ids, and codes up to ``LANES`` blocks at once. Files are
-Spark's: rows of (file, block, first id in the file, the block's bytes), written to the shared folder and retried as any
-other. Where a document starts overall follows from the sums of the files before, a table of one row per file.
+closes a block at ``BLOCK_IDS`` ids, in the middle of a document if need be, and codes up to ``LANES`` blocks at once: no
+array grows with the length of a text. Files are Spark's: rows of (file, block, first id and document in the file, the
+block's bytes), written to the shared folder and retried as any other. Parts of a document are put together when read. Where a document starts overall follows from the sums of the files before, a table of one row per file.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import stage, whole_text
-from lotwise.llm.rangecoder import LANES, decode_blocks, encode_blocks, pack, unpack
+from lotwise.llm.rangecoder import BEGUN, GOES_ON, LANES, decode_blocks, encode_blocks, pack, unpack
 
 BLOCK_IDS = 1 << 14
 END = 0
@@ -65,40 +65,43 @@ def _write(path: str, block_ids: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, file = _Encoder(path), TaskContext.get().partitionId()
         keys: list = []
-        docs: list[np.ndarray] = []
-        waiting: list[tuple[list, list[int], np.ndarray]] = []
-        number = first = held = 0
-
-        def close() -> None:
-            nonlocal held
-            if docs:
-                waiting.append((list(keys), [len(d) for d in docs], np.concatenate(docs)))
+        parts: list[np.ndarray] = []
+        waiting: list[tuple] = []
+        number = first = held = doc = 0
+        begun = False
+
+        def close(goes_on: bool) -> None:
+            nonlocal held, begun
+            if parts:
+                waiting.append((list(keys), [len(d) for d in parts], np.concatenate(parts), begun, goes_on))
                 keys.clear()
-                docs.clear()
-                held = 0
+                parts.clear()
+                held, begun = 0, goes_on
 
         def flush() -> pd.DataFrame:
-            nonlocal number, first
+            nonlocal number, first, doc
             rows = []
-            for (names, sizes, ids), units in zip(waiting, encode_blocks([w[2] for w in waiting], encoder.size)):
-                rows.append((file, number, first, len(ids), pack(names, sizes, ids, units, encoder.size)))
-                number, first = number + 1, first + len(ids)
+            for (names, sizes, ids, before, after), units in zip(waiting, encode_blocks([w[2] for w in waiting], encoder.size)):
+                rows.append((file, number, first, doc, len(ids), pack(names, sizes, ids, units, encoder.size, before, after)))
+                number, first, doc = number + 1, first + len(ids), doc + len(names) - after
             waiting.clear()
-            return pd.DataFrame(rows, columns=["file", "number", "first", "n_ids", "block"])
+            return pd.DataFrame(rows, columns=["file", "number", "first", "first_doc", "n_ids", "block"])
 
         for batch in batches:
             names = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
             texts = batch["text"].tolist()
             for a in range(0, len(texts), 256):
                 for key, ids in zip(names[a : a + 256], encoder(texts[a : a + 256])):
-                    keys.append(key)
-                    docs.append(ids)
-                    held += len(ids)
-                    if held >= block_ids:
-                        close()
-                if len(waiting) >= LANES:
-                    yield flush()
-        close()
+                    while len(ids):
+                        part, ids = ids[: block_ids - held], ids[block_ids - held :]
+                        keys.append(key)
+                        parts.append(part)
+                        held += len(part)
+                        if held >= block_ids:
+                            close(len(ids) > 0)
+                        if len(waiting) >= LANES:
+                            yield flush()
+        close(False)
         yield flush()
 
     return run
@@ -113,7 +116,7 @@ def write(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS) -> DataFr
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage(rows.mapInPandas(_write(tokenizer, block_ids), "file int, number int, first long, n_ids long, block binary"))
+    return stage(rows.mapInPandas(_write(tokenizer, block_ids), "file int, number int, first long, first_doc long, n_ids long, block binary"))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,23 +126,35 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             heads = [unpack(b) for b in part["block"]]
             every = decode_blocks([h[2] for h in heads], [int(h[1].sum()) for h in heads], heads[0][3])
             rows = []
-            for (keys, sizes, _, _, crc), ids, file, first in zip(heads, every, part["file"], part["first"]):
+            for (keys, sizes, _, _, crc, marks), ids, file, first, doc in zip(heads, every, part["file"], part["first"], part["first_doc"]):
                 data = ids.astype("<u4")
                 if zlib.crc32(data.tobytes()) != crc:
                     raise ValueError("a block decodes to other ids")
                 ends = np.cumsum(sizes)
-                for key, size, end in zip(keys, sizes.tolist(), ends.tolist()):
-                    rows.append((key, file, first + end - size, size, data[end - size : end].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "file", "at", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+                for i, (key, size, end, mark) in enumerate(zip(keys, sizes.tolist(), ends.tolist(), marks.tolist())):
+                    whole = not mark & (BEGUN | GOES_ON)
+                    rows.append((key, file, doc + i, whole, first + end - size, size, data[end - size : end].tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "file", "doc", "whole", "at", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
 
 
 def read_back(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the blocks; ids are bytes, 32 bits little endian each, the end id included."""
+    """(doc_id, start, n_tokens, ids) from the blocks; ids are bytes, 32 bits little endian each, the end id included.
+
+    A document of several blocks is put together by its place in the file; its own ids must fit into a task.
+    """
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("file")) - F.col("n")
     files = F.broadcast(files.select("file", before.alias("before")))
     # As many tasks as full sets of lanes, whatever the sizes of the files.
     tasks = -(-(blocks.agg(F.count("*")).first()[0] or 1) // LANES)
-    dealt = blocks.select("file", "first", "block", "n_ids").repartition(tasks, F.xxhash64("file", "number"))
-    rows = dealt.mapInPandas(_read, "doc_id long, file int, at long, n_tokens long, ids binary")
+    dealt = blocks.select("file", "first", "first_doc", "block", "n_ids").repartition(tasks, F.xxhash64("file", "number"))
+    # Written once: whole documents and parts are both read from it.
+    rows = stage(dealt.mapInPandas(_read, "doc_id long, file int, doc long, whole boolean, at long, n_tokens long, ids binary"))
+    pieces = F.array_sort(F.collect_list(F.struct("at", "ids")))
+    joined = rows.where("NOT whole").groupBy("file", "doc").agg(
+        F.any_value("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n_tokens").alias("n_tokens"),
+        F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+    )
+    names = ["doc_id", "file", "at", "n_tokens", "ids"]
+    rows = rows.where("whole").select(*names).unionByName(joined.select(*names))
     return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")

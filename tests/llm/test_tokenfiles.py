@@ -29,7 +29,8 @@ def test_coder_round_trip(vocabulary):
 def test_damage_is_noticed():
     ids = np.arange(100)
     block = R.pack([1, None], [40, 60], ids, R.encode_blocks([ids], 200)[0], 200)
-    keys, sizes, units, vocabulary, crc = R.unpack(block)
+    keys, sizes, units, vocabulary, crc, marks = R.unpack(block)
+    assert marks.tolist() == [0, R.NULL]
     assert keys == [1, None] and sizes.tolist() == [40, 60] and crc == zlib.crc32(ids.astype("<u4").tobytes())
     assert (R.decode_blocks([units], [100], vocabulary)[0] == ids).all()
     for at in (0, 9, 30, len(block) - 1):
@@ -61,6 +62,23 @@ def test_files_against_the_library(spark, prose, block):
     assert len(got) == len(rows)
 
 
+def test_texts_of_hundreds_of_thousands_of_ids(spark):
+    rng = random.Random(3)
+    rows = [(1, "short"), (2, " ".join(f"{rng.randrange(10**6)}" for _ in range(110_000))), (3, ""), (4, "ab " * 300_000), (5, "end")]
+    got = {r.doc_id: r for r in T.read_back(T.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).collect()}
+    tokenizer, start = Tokenizer.from_file(PATH), 0
+    for i, t in rows:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        assert (got[i].start, got[i].n_tokens) == (start, len(ids)) and bytes(got[i].ids) == np.array(ids, "<u4").tobytes()
+        start += len(ids)
+    assert got[2].n_tokens > 262_144 and len(got) == 5
+
+
+def test_a_block_has_a_size():
+    with pytest.raises(ValueError):
+        R.encode_blocks([np.zeros(R.LONGEST + 1, np.int64)], 10)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert T.read_back(T.write(spark.createDataFrame([], schema), PATH)).count() == 0
