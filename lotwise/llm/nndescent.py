@@ -39,7 +39,7 @@ ENTRIES = 16
 RESCORED = 48
 SEED = 11
 
-EDGE = "node long, other long, near float, fresh boolean"
+EDGE = "node long, other long, near double, fresh boolean"
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,7 @@ class Index:
     codes: DataFrame  # node, code
     graph: DataFrame  # node, other, code of other; edges of both directions
     dim: int
+    unit: float  # largest component of any vector
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -59,17 +60,20 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _code(dim: int) -> np.dtype:
-    """Components in steps of ``step``, what the norm lacks below ``sqrt(limit)``, half the square of both together."""
-    return np.dtype([("x", np.int8, (dim,)), ("step", np.float32), ("lack", np.float32), ("half", np.float32)])
+    """Components in steps of ``step``, what the norm lacks below ``sqrt(limit)``, half the square of both together.
+
+    All in units of the largest component of any vector, in double: one long vector neither overflows nor flattens the others.
+    """
+    return np.dtype([("x", np.int8, (dim,)), ("step", np.float64), ("lack", np.float64), ("half", np.float64)])
 
 
-def _encode(limit: float):
+def _encode(limit: float, unit: float):
     root = np.sqrt(limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["vector"].to_numpy())
+                x = np.stack(batch["vector"].to_numpy()) / unit
                 square = (x * x).sum(axis=1)
                 codes = np.zeros(len(x), _code(x.shape[1]))
                 step = np.abs(x).max(axis=1) / 127.0
@@ -84,7 +88,7 @@ def _encode(limit: float):
 
 def _matrix(codes) -> np.ndarray:
     """Components, lack and half of each code."""
-    rows = np.frombuffer(b"".join(codes), _code(len(codes[0]) - 12))
+    rows = np.frombuffer(b"".join(codes), _code(len(codes[0]) - 24))
     return np.column_stack([rows["x"] * rows["step"][:, None], rows["lack"], rows["half"]])
 
 
@@ -182,7 +186,7 @@ def _meet(k: int):
             i, j = np.nonzero(better)
             out.append((ids[i], ids[j], near[i, j]))
         if not out:
-            return pd.DataFrame({"node": [], "other": [], "near": [], "fresh": []}).astype({"node": "int64", "other": "int64", "near": "float32", "fresh": bool})
+            return pd.DataFrame({"node": [], "other": [], "near": [], "fresh": []}).astype({"node": "int64", "other": "int64", "near": "float64", "fresh": bool})
         node, other, near = (np.concatenate(x) for x in zip(*out))
         kept = _top(node, other, near, np.ones(len(node), bool), k)
         return pd.DataFrame({"node": node[kept], "other": other[kept], "near": near[kept], "fresh": True})
@@ -190,6 +194,10 @@ def _meet(k: int):
     return run
 
 
+def _square(unit: float):
+    return F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit))
+
+
 def build(vectors: DataFrame, k: int = NEIGHBOURS, same: int = 21) -> Index:
     """Index over the first two columns of ``vectors`` (id, array of numbers); every usable row is in it.
 
@@ -201,14 +209,15 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, same: int = 21) -> Index:
     salted = rows.groupBy("vector", "salt").agg(smallest(F.collect_list("id")).alias("ids"))
     members = salted.groupBy("vector").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
     members = stage(members.select(F.col("ids")[0].alias("node"), "ids", "vector"))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    facts = members.agg(F.count("*"), F.max(square), F.max(F.size("vector"))).first()
-    n, limit, dim = facts[0], facts[1] or 1.0, facts[2] or 1
-    codes = stage(members.select("node", "vector").mapInPandas(_encode(limit), "node long, code binary"))
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    facts = members.agg(F.count("*"), F.max(largest), F.max(F.size("vector"))).first()
+    n, unit, dim = facts[0], facts[1] or 1.0, facts[2] or 1
+    limit = members.agg(F.max(_square(unit))).first()[0] or 1.0
+    codes = stage(members.select("node", "vector").mapInPandas(_encode(limit, unit), "node long, code binary"))
     edges = _descend(codes, n, k, dim)
     both = edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     graph = both.join(codes.select(F.col("node").alias("other"), "code"), "other").select("node", "other", "code")
-    return Index(members, codes, stage(graph), dim)
+    return Index(members, codes, stage(graph), dim, unit)
 
 
 def _descend(codes: DataFrame, n: int, k: int, width: int) -> DataFrame:
@@ -225,8 +234,8 @@ def _descend(codes: DataFrame, n: int, k: int, width: int) -> DataFrame:
     edges = stage(start.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_best(k), EDGE))
     for _ in range(MAX_ROUNDS):
         # What a list must be beaten by: its last entry once it is full.
-        floors = edges.groupBy("node").agg(F.when(F.count("*") >= k, F.min("near")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        known = codes.join(floors, "node", "left").select("node", "code", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+        floors = edges.groupBy("node").agg(F.when(F.count("*") >= k, F.min("near")).otherwise(F.lit(float("-inf"))).alias("least"))
+        known = codes.join(floors, "node", "left").select("node", "code", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         back = edges.select(F.col("other").alias("via"), F.col("node"), "fresh")
         sizes = back.groupBy("via").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         back = back.join(sizes, "via").select("via", F.pmod(F.xxhash64("node", "via"), F.col("chunks")).cast("int").alias("chunk"), "node", "fresh")
@@ -252,7 +261,7 @@ def _walk(beam: int):
         out = []
         for row in state.itertuples(index=False):
             ids = np.asarray(row.ids, np.int64)
-            near, done = np.asarray(row.near, np.float32), np.asarray(row.done, bool)
+            near, done = np.asarray(row.near, np.float64), np.asarray(row.done, bool)
             visited = np.asarray(row.visited, np.int64)
             # What was handed out last time is expanded now.
             open_ = np.flatnonzero(~done)[:EXPAND]
@@ -265,7 +274,7 @@ def _walk(beam: int):
                 if len(other):
                     x = _matrix(group["code"].to_numpy()[at].tolist())[:, : len(row.vector)]
                     ids = np.concatenate([ids, other])
-                    near = np.concatenate([near, x @ np.asarray(row.vector, np.float32)])
+                    near = np.concatenate([near, x @ np.asarray(row.vector, np.float64)])
                     done = np.concatenate([done, np.zeros(len(other), bool)])
                     visited = np.concatenate([visited, other])
                     order = np.lexsort((ids, -near))[:beam]
@@ -276,7 +285,7 @@ def _walk(beam: int):
     return run
 
 
-STATE = "query long, vector array<float>, ids array<long>, near array<float>, done array<boolean>, visited array<long>"
+STATE = "query long, vector array<double>, ids array<long>, near array<double>, done array<boolean>, visited array<long>"
 
 
 def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
@@ -291,8 +300,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     n = asked.count()
     buckets = -(-max(n, 1) // 256)
     entries = index.codes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(ENTRIES)
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    longest = index.members.orderBy(square.desc(), "node").limit(ENTRIES).select("node").join(index.codes, "node")
+    longest = index.members.orderBy(_square(index.unit).desc(), "node").limit(ENTRIES).select("node").join(index.codes, "node")
     entries = entries.select("node", "code").unionByName(longest.select("node", "code")).distinct()
     entries = entries.agg(F.collect_list(F.struct(F.col("node").alias("other"), "code")).alias("entries"))
     asked = stage(asked.withColumnRenamed("id", "query"))
@@ -302,8 +310,10 @@ def search(index: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
         found = found.unionByName(own)
     found = stage(found)
     empty = lambda t: F.array().cast(f"array<{t}>")
-    state = asked.select(
-        "query", F.col("vector").cast("array<float>").alias("vector"), empty("long").alias("ids"), empty("float").alias("near"), empty("boolean").alias("done"), empty("long").alias("visited")
+    # In units of its own largest component: the order of its products stays.
+    own_unit = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    state = asked.withColumn("_unit", own_unit).select(
+        "query", F.transform("vector", lambda x: x / F.col("_unit")).alias("vector"), empty("long").alias("ids"), empty("double").alias("near"), empty("boolean").alias("done"), empty("long").alias("visited")
     )
     bucket = F.pmod(F.xxhash64("query"), F.lit(buckets)).alias("bucket")
     while True:

@@ -48,6 +48,21 @@ def test_recall_and_ties(spark):
             assert (-s, i) < (-got[q, r + 1][1], got[q, r + 1][0])
 
 
+def test_recall_beside_vectors_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((900, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[5] *= 1e25
+    v[77] *= 1e160
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = N.build(df)
+    queries = N.own_starts(index, df.where("vec_id % 30 = 0"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in N.search(index, queries).collect()}
+    want = brute(rows, set(range(0, 900, 30)), 20)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95
+
+
 def test_recall_beside_a_few_long_vectors(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((2000, 24))
