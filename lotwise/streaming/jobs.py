@@ -225,7 +225,7 @@ def cusum_add(
         F.max_by("_high", "_pos").alias("_s_high"), F.max_by("_low", "_pos").alias("_s_low"), F.count(F.lit(1)).alias("_n"),
         F.min(F.when(seen & (F.col("_high") > h), place)).alias("_first_high"),
         F.min(F.when(seen & (F.col("_low") > h), place)).alias("_first_low"),
-        F.count("_z").alias("_seen"), F.count_if("_gap").alias("_gaps"), F.max("_bad").alias("_any_bad"),
+        F.count_if(~F.col("_gap")).alias("_seen"), F.count_if("_gap").alias("_gaps"), F.max("_bad").alias("_any_bad"),
     )
     counted = late.groupBy(*keys).agg(F.count(F.lit(1)).alias("_late"))
     out = sums.join(added, keys, "full").join(counted, keys, "full")
