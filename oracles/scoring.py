@@ -34,6 +34,10 @@ _FEATURE = lambda c, n: f"CASE WHEN {n}.n >= 3 AND {n}.robust_sigma > 0 THEN (s.
 _VEC = "vec AS (SELECT vec_id, label AS lot_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 
 
+_ITEMS = """numbered AS (SELECT *, row_number() OVER () AS vec_id FROM lineitem),
+vec AS (SELECT vec_id, l_suppkey AS lot_id, l_quantity AS x, l_extendedprice AS y, l_discount AS z FROM numbered)"""
+
+
 def _shape(source: str, keys: str) -> str:
     """Means and inverse of the population covariance of each group of three columns, scaled by the lot's spread."""
     return f"""SELECT *, (c22 * c33 - c23 * c23) / det AS p11, (c13 * c23 - c12 * c33) / det AS p12, (c12 * c23 - c13 * c22) / det AS p13,
@@ -155,6 +159,11 @@ ORACLES = {
         CASE WHEN ceil((n + 1) * 0.9::DOUBLE) <= n THEN down[CAST(ceil((n + 1) * 0.9::DOUBLE) AS BIGINT)] END AS qd FROM s)
       SELECT k.g AS "group", k.n AS n_cal, {fin('k.q', 'q')}, {fin('a.q', 'q_marginal')}, {fin('k.qc', 'q_conservative')}, {r6('greatest(k.q, a.q, k.qc)')} AS q_void, {fin('k.qd', 'q_down')}
       FROM k, (SELECT q FROM k WHERE g = 'all') a WHERE k.g <> 'all'""",
+    "mahalanobis_mcd": f"""WITH {_MCD.replace(_VEC, _ITEMS)}, o AS (SELECT l.*, v.n, {_CX} AS cx, {_CY} AS cy, {_CZ} AS cz, greatest(0, {_CX} + {_CY} + {_CZ}) AS d2
+      FROM v JOIN ff USING (lot_id) JOIN numbered l ON l.vec_id = v.vec_id)
+      SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_suppkey AS lot_id, {fin('l_quantity', 'l_quantity')}, {fin('l_extendedprice', 'l_extendedprice')}, {fin('l_discount', 'l_discount')},
+        n, CAST(NULL AS VARCHAR) AS refusal_code, {fin('d2', 'd2')}, {fin('cx', 'c_l_quantity')}, {fin('cy', 'c_l_extendedprice')}, {fin('cz', 'c_l_discount')}, {r6(_TAIL)} AS p_value,
+        'shared' AS fit_mode, true AS adds_up, CASE WHEN abs(cx) >= abs(cy) AND abs(cx) >= abs(cz) THEN 'l_quantity' WHEN abs(cy) >= abs(cz) THEN 'l_extendedprice' ELSE 'l_discount' END AS top_parameter FROM o""",
     "joint_distance": f"""WITH {_MCD}, o AS (SELECT vec_id, lot_id, n, {_CX} AS cx, {_CY} AS cy, {_CZ} AS cz, greatest(0, {_CX} + {_CY} + {_CZ}) AS d2 FROM v JOIN ff USING (lot_id))
       SELECT vec_id, lot_id, n, {fin('d2', 'd2')}, {r6(_TAIL)} AS p_value, {fin('cx', 'c_e0')}, {fin('cy', 'c_e1')}, {fin('cz', 'c_e2')}, CAST(NULL AS VARCHAR) AS refusal_code FROM o""",
     "joint_distance_loo": f"""WITH {_LOO}, o AS (SELECT vec_id, v.lot_id, n - 1 AS n, {_CX} AS cx, {_CY} AS cy, {_CZ} AS cz, greatest(0, {_CX} + {_CY} + {_CZ}) AS d2 FROM v JOIN lf ON lf.i = vec_id)
