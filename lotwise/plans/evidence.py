@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from lotwise.functions import robust as R
 from lotwise.operators import attribute as A
 from lotwise.operators import calibrate as C
 from lotwise.operators import guard as G
+from lotwise.operators import multivariate as M
 from lotwise.operators import series as S
 from lotwise.operators.ordered import checked_broadcast, group_sizes, lookup_join
 from lotwise.session import stage
@@ -70,7 +72,7 @@ def readings(rows: DataFrame) -> DataFrame:
     aggs: list[Column] = [F.min_by(name, "source_row").alias(name) for name in SETUP]
     for hour in (0, 24):
         here = F.when(F.col("elapsed_hours") == hour, F.col("source_row"))
-        for name, source in (("v", "value"), ("status", "status"), ("temp", "temperature_c")):
+        for name, source in (("v", "value"), ("status", "status"), ("temp", "temperature_c"), ("row", "source_row")):
             aggs.append(F.min_by(source, here).alias(f"{name}{hour}"))
     return rows.filter(F.col("elapsed_hours").isin(0, 24)).groupBy(*PART, "parameter").agg(*aggs)
 
@@ -127,13 +129,49 @@ def guard_table(rows: DataFrame, calibration: Calibration, limit: int | None = N
     return G.exchangeability(pairs, heat, calibration.samples, calibration.phi, limit)
 
 
+JOINT = ["d2", "p_value", "joint_n", "joint_code", "top_parameter", "top_share", "parameter_share", "joint_adds_up"]
+
+
+def joint_evidence(parts: DataFrame, parameters: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Robust joint distance of each part's complete OK 24 h vector from the others of its lot and type.
+
+    One row per (part, parameter): the distance, the parameter that contributes most, and this parameter's share. Parts
+    that lack a parameter have no row; refused fits have a code only.
+    """
+    ok = parts.filter(F.col("status24") == "OK").select(*PART, "parameter", F.col("v24").alias("value"))
+    wide = M.complete_vectors(ok, PART, parameters)
+    out = M.top_contributions(M.robust(wide, ["lot_id", "component_type"], list(parameters), "exact", limit), list(parameters))
+
+    def of_total(contribution: Column) -> Column:
+        return F.when(F.col("d2") > 0, contribution / F.col("d2")).otherwise(R.d(0.0))
+
+    share = {p: of_total(F.col(f"c_{p}")) for p in parameters}
+    blocks = F.array(*[F.struct(F.lit(p).alias("parameter"), share[p].alias("parameter_share")) for p in parameters])
+    sound = F.col("joint_code").isNull()
+    return (
+        out.withColumn("joint_code", F.col("refusal_code"))
+        .withColumn("_b", F.explode(blocks))
+        .select(
+            *PART, "_b.parameter", F.when(sound, F.col("d2")).alias("d2"), F.when(sound, F.col("p_value")).alias("p_value"),
+            F.col("n").alias("joint_n"), "joint_code", F.when(sound, F.col("top")[0]["parameter"]).alias("top_parameter"),
+            F.when(sound, of_total(F.col("top")[0]["contribution"])).alias("top_share"),
+            F.when(sound, F.col("_b.parameter_share")).alias("parameter_share"), F.when(sound, F.col("adds_up")).alias("joint_adds_up"),
+        )
+    )
+
+
 def evidence(
-    rows: DataFrame, calibration: Calibration, profile: ScreeningProfile, limit: int | None = None
+    rows: DataFrame,
+    calibration: Calibration,
+    profile: ScreeningProfile,
+    limit: int | None = None,
+    joint: Sequence[str] = (),
 ) -> DataFrame:
     """Evidence of every (part, parameter): statistics, bound, guard, attribution, risk and recommendation.
 
     ``rows`` are validated measurements with source_row. Filter the result to see one part; filter ``rows`` by lot
-    to keep whole lots out of the job.
+    to keep whole lots out of the job. With the names of the parameters in ``joint``, the joint distance is part of the
+    evidence, and a part whose contributions do not add up to it is not attributed.
     """
     spark = rows.sparkSession
     parts = readings(rows)
@@ -148,6 +186,11 @@ def evidence(
         limit,
     )
     scored = scored.withColumn("attribution", F.when(F.col("v24").isNull(), "INDETERMINATE").otherwise(F.col("attribution")))
+    if joint:
+        # Complete vectors are as many as parts: both sides are hashed by part and parameter.
+        scored = scored.join(stage(joint_evidence(parts, joint, limit)), [*PART, "parameter"], "left")
+        split = ~F.coalesce("joint_adds_up", F.lit(True))
+        scored = scored.withColumn("attribution", F.when(split, "INDETERMINATE").otherwise(F.col("attribution")))
     out = scored.join(F.broadcast(profile.table(spark)), "parameter", "left")
     code, med, sigma = F.col("lot_refusal_code"), F.col("lot_median"), F.col("lot_robust_sigma")
     window = code.isNull()
@@ -158,7 +201,7 @@ def evidence(
         .withColumn("dpat_verdict", R.dpat_verdict(F.col("v24"), code, med, sigma, R.d(profile.k)))
     )
     out = absolute_check(out).withColumn("quality_score", pair_quality())
-    out = out.join(checked_broadcast(calibration.phi.select(*C.GROUP, "phi_168")), C.GROUP, "left")
+    out = out.join(checked_broadcast(calibration.phi.select(*C.GROUP, "phi_168", F.col("n_used").alias("phi_n_used"))), C.GROUP, "left")
     out = out.withColumn("_f", D.forecast(F.col("v0"), F.col("v24"), F.col("phi_168"), status24=F.col("status24")))
     out = out.withColumn("point", F.col("_f.point")).withColumn("baseline_linear", F.col("_f.baseline_linear")).withColumn(
         "forecast_code", F.col("_f.refusal_code")
@@ -222,7 +265,8 @@ def evidence(
         F.col("lot_mad").alias("mad"), sigma.alias("robust_sigma"), F.col("lot_estimator").alias("estimator"),
         F.col("lot_reduced_power").alias("reduced_power"), "dpat_low", "dpat_high", "z", "dpat_verdict",
         "absolute_fail", "observed_margin", "observed_margin_pct", "quality_score", "n_censored",
-        "phi_168", "point", "baseline_linear", "upper", "q_hat", "n_cal", "mondrian_level", "mondrian_group",
+        F.col("row24").alias("source_row"), "delta_max", "phi_168", "phi_n_used", "point", "baseline_linear", "upper", "q_hat", "n_cal",
+        F.col("k").alias("conformal_k"), "mondrian_level", "mondrian_group",
         "guarantee_status", "signals_fired", "max_psi",
         F.col("_s.band").alias("band"), F.col("_s.headroom").alias("headroom"),
         F.col("_s.usable_margin").alias("usable_margin"), F.col("_s.safety_slope").alias("safety_slope"),
@@ -237,6 +281,7 @@ def evidence(
         F.col("_r.credit").alias("risk_credit"), F.col("_r.risk_index").alias("risk_index"),
         F.col("_r.refusal_code").alias("risk_code"), "evidence_weak",
         F.col("_a.action").alias("action"), F.col("_a.trigger").alias("trigger"), severity.alias("severity"),
+        *(JOINT if joint else []),
     )
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as K
 from lotwise.functions import formulas as T
+from lotwise.functions import narrative as N
 from lotwise.functions import robust as R
 from lotwise.operators import cohort as C
 from lotwise.operators import skewness as M
 from lotwise.operators.ordered import group_sizes, lookup_join
 from lotwise.plans.queries_cohort import VIEW_K
 from lotwise.plans.reports import rounded
-from lotwise.plans.views import COHORT_KEYS, cohort_view
+from lotwise.plans.views import COHORT_KEYS, COHORT_LIMITS, cohort_view
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,22 +86,31 @@ def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence and arithmetic line of every flagged reading."""
+    """Sentence and arithmetic line of every flagged reading; words and numbers that are missing are named."""
     rows = _scored(spark, sf_dir).filter("verdict = 'FAIL'")
-
-    def two(name: str):
-        return F.format_string("%.2f", name)
-
+    low, high, unit = (F.lit(None).cast(kind) for kind in ("double", "double", "string"))
+    for p, (a, b, u) in COHORT_LIMITS.items():
+        here = F.col("parameter") == p
+        low, high = F.when(here, F.lit(a).cast("double")).otherwise(low), F.when(here, F.lit(b).cast("double")).otherwise(high)
+        unit = F.when(here, u).otherwise(unit)
+    fail = F.coalesce(F.col("value") > high, F.lit(False)) | F.coalesce(F.col("value") < low, F.lit(False))
     slots = {
-        "component_id": F.col("component_id"), "observed": two("value"), "parameter": F.col("parameter"),
-        "cohort_n": F.col("n").cast("string"), "median": two("median"), "robust_sigma": two("robust_sigma"),
-        "dpat_limit_high": two("limit_high"), "dpat_k": F.lit(str(VIEW_K)), "z": two("z"),
+        "observed": (F.col("value"), 2), "median": (F.col("median"), 2), "robust_sigma": (F.col("robust_sigma"), 2),
+        "dpat_limit_high": (F.col("limit_high"), 2), "z": (F.col("z"), 2), "absolute_limit": (T.nearer_limit(F.col("value"), low, high), 2),
+    }
+    labels = {
+        "component_id": F.col("component_id"), "unit": unit, "parameter": F.col("parameter"), "read_point_h": F.col("elapsed_hours"),
+        "cohort_n": F.col("n") + 1, "dpat_k": F.lit(str(VIEW_K)), "absolute_verdict": F.when(fail, "violated").otherwise("not violated"),
     }
+    notes = N.clauses(F.col("reduced_power"), F.lit(0), F.lit("VALID"), F.col("status") == "OVERRANGE")
     line = T.arithmetic_line(
-        "dpat.limit_high_v1", {"median": two("median"), "k": F.lit(str(VIEW_K)), "robust_sigma": two("robust_sigma")}, F.col("limit_high")
+        "dpat.limit_high_v1",
+        {"median": N.number(F.col("median"), 2), "k": F.lit(str(VIEW_K)), "robust_sigma": N.number(F.col("robust_sigma"), 2)},
+        N.number(F.col("limit_high"), 2),
     )
-    out = rows.withColumn("told", T.fill(T.ANOMALY_TEXT, slots))
-    return out.select("component_id", "parameter", "told.text", F.size("told.unresolved").alias("n_unresolved"), line.alias("arithmetic"))
+    out = rows.withColumn("told", N.tell("anomaly", slots, labels, notes))
+    unresolved = F.size("told.unresolved_slots") + F.size("told.unresolved_labels")
+    return out.select("component_id", "parameter", "told.text", unresolved.alias("n_unresolved"), line.alias("arithmetic"))
 
 
 QUERIES = {

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from lotwise.plans import (
-    queries_cohort, queries_data, queries_drift, queries_ingest, queries_scoring, queries_series, queries_store, queries_stream, queries_trace,
+    queries_cohort, queries_data, queries_drift, queries_explain, queries_ingest, queries_scoring, queries_series, queries_store, queries_stream, queries_trace,
 )
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     **queries_drift.QUERIES,
     **queries_data.QUERIES,
     **queries_trace.QUERIES,
+    **queries_explain.QUERIES,
     **queries_scoring.QUERIES,
     **queries_store.QUERIES,
     **queries_stream.QUERIES,

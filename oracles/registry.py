@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import cohort, data, drift, ingest, scoring, series, store, stream, trace
+from oracles import cohort, data, drift, explain, ingest, scoring, series, store, stream, trace
 
-ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES, **drift.ORACLES, **data.ORACLES, **trace.ORACLES, **scoring.ORACLES, **store.ORACLES, **stream.ORACLES}
+ORACLES = {**cohort.ORACLES, **ingest.ORACLES, **series.ORACLES, **drift.ORACLES, **data.ORACLES, **trace.ORACLES, **explain.ORACLES, **scoring.ORACLES, **store.ORACLES, **stream.ORACLES}
