@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions import robust as R
-from lotwise.functions.medcouple import medcouple_of_sorted, medcouple_without
+from lotwise.functions.medcouple import medcouple_of_sorted, medcouples_of_runs
 from lotwise.operators.ordered import (
     GroupSizes,
     _hot_limit,
@@ -144,25 +144,35 @@ def medcouple_leave_one_out(
 ) -> DataFrame:
     """Every row with the medcouple of the other rows of its group.
 
-    One medcouple per row makes the work quadratic in the group. Rows of hot groups therefore get the whole-group
-    value, which ``medcouple_mode`` says ('cohort' instead of 'leave_one_out').
+    Equal readings are combined first, and a group's distinct readings are scored together in O(n log n). A row without a
+    finite reading is compared with the whole group. Groups of more than ``ARRAY_ROWS`` distinct readings don't travel as
+    one array: their rows get the whole-group value, which ``medcouple_mode`` says ('cohort' instead of 'leave_one_out').
     """
     keys = list(keys)
-    limit = min(2_000, _hot_limit(df, limit))
     sizes = sizes or group_sizes(df, keys)
-    rows = df
-    if sizes.is_hot(limit):
-        hot = bounded_broadcast(pin(hot_keys(df, keys, limit).select(*keys)), max(1, sizes.rows // limit))
-        big = df.join(hot, keys, "left_semi")
-        rows = df.join(hot, keys, "left_anti")
-        whole = medcouple(big, keys, value)
-        big = lookup_join(big, whole.select(*keys, "medcouple"), keys).withColumn("medcouple_mode", F.lit("cohort"))
-    arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
-    # Equal readings of a group share one evaluation.
-    each = rows.select(*keys, value).distinct().join(arrays, keys)
-    each = each.select(*keys, value, medcouple_without("_v", F.col(value)).alias("medcouple"))
-    small = rows.join(each, [*keys, value]).withColumn("medcouple_mode", F.lit("leave_one_out"))
-    return small if rows is df else small.unionByName(big)
+    limit = min(ARRAY_ROWS, _hot_limit(df, limit))
+    usable = df.filter(R.finite(F.col(value)))
+    runs = usable.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    distinct = group_sizes(runs, keys)
+    hot = None
+    if distinct.is_hot(limit):
+        hot = bounded_broadcast(pin(hot_keys(runs, keys, limit).select(*keys)), max(1, distinct.rows // limit))
+        runs = runs.join(hot, keys, "left_anti")
+    arrays = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_rows").alias("n")))).alias("_r"))
+    each = F.arrays_zip(F.col("_r.v").alias("v"), medcouples_of_runs(F.col("_r.v"), F.col("_r.n")).alias("m"))
+    scored = arrays.select(*keys, F.explode(each).alias("_e")).select(*keys, F.col("_e.v").alias(value), F.col("_e.m").alias("medcouple"))
+    out = usable if hot is None else usable.join(hot, keys, "left_anti")
+    # Rows and scores are both as many as the readings; a value that a third of the rows share is split by AQE.
+    out = out.join(scored, [*keys, value]).withColumn("medcouple_mode", F.lit("leave_one_out"))
+    # Rows without a reading, and those of groups too large for an array.
+    rest = df.filter(~R.finite(F.col(value)))
+    if hot is not None:
+        rest = rest.unionByName(usable.join(hot, keys, "left_semi"))
+    some = usable.join(rest.select(*keys).distinct(), keys, "left_semi")
+    whole = medcouple(some, keys, value, sizes=sizes).select(*keys, "medcouple")
+    rest = lookup_join(rest, whole, keys)
+    rest = rest.withColumn("medcouple", F.coalesce("medcouple", R.d(0.0))).withColumn("medcouple_mode", F.lit("cohort"))
+    return out.select(*df.columns, "medcouple", "medcouple_mode").unionByName(rest.select(*df.columns, "medcouple", "medcouple_mode"))
 
 
 def adjusted_boxplot(stats: DataFrame) -> DataFrame:

@@ -75,8 +75,25 @@ _SHOWN = (
     ("safety.predicted_margin_pct_v1", "e", "predicted_margin_pct", "safe"),
     ("safety.slope_ratio_v1", "e", "slope_ratio", "safe"),
 )
+# What the formula gives from its shown operands
+_AGAIN = {
+    "dpat.z_v1": "(v24 * f - median * f) / (robust_sigma * f)",
+    "robust.sigma_iqr_v1": "(lot_q3 * f - lot_q1 * f) / CAST(1.35 AS DOUBLE)",
+    "dpat.limit_low_v1": "median * f - 6 * (robust_sigma * f)",
+    "dpat.limit_high_v1": "median * f + 6 * (robust_sigma * f)",
+    "forecast.shape_point_v1": "v0 * f + (v24 * f - v0 * f) * phi_168",
+    "forecast.baseline_linear_v1": "v0 * f + (v24 * f - v0 * f) * 7",
+    "conformal.upper_v1": "point * f + q_hat * f",
+    "slope.early_v1": "(v24 * f - v0 * f) / 24",
+    "slope.long_v1": "(point * f - v0 * f) / 168",
+    "safety.usable_margin_v1": "(150::DOUBLE * f - v0 * f) * (1 - CAST(0.2 AS DOUBLE))",
+    "safety.safety_slope_v1": "usable_margin * f / 168",
+    "safety.predicted_margin_v1": "150::DOUBLE * f - upper * f",
+    "safety.predicted_margin_pct_v1": f"{_MARGIN} * f / (headroom * f)",
+    "safety.slope_ratio_v1": "long_slope * f / (safety_slope * f)",
+}
 _ROWS = " UNION ALL ".join(
-    f"SELECT component_id, lot_id, parameter, '{name}' AS formula_id, '{kind}' AS kind, CAST({value} AS DOUBLE) AS value FROM x WHERE ({value}) IS NOT NULL AND {condition}{shown}"
+    f"SELECT component_id, lot_id, parameter, '{name}' AS formula_id, '{kind}' AS kind, CAST({value} AS DOUBLE) AS value, CAST({_AGAIN.get(name, value)} AS DOUBLE) AS again FROM x WHERE ({value}) IS NOT NULL AND {condition}{shown}"
     for items, shown in ((_PLAIN, ""), (_SHOWN, " AND u IS NOT NULL"))
     for name, kind, value, condition in items
 )
@@ -119,9 +136,9 @@ ORACLES = {
         UNION ALL SELECT g, 'e' FROM lots, (SELECT unnest(['lot.pda_pct_v1', 'lot.pda_pct_ew_v1']) AS g) WHERE pda_pct IS NOT NULL)
       SELECT formula_id, count(*) AS n_values, count(*) FILTER (kind = 'e') AS n_expression, count(*) FILTER (kind = 'e') AS n_rederived,
         count(*) FILTER (kind = 'p') AS n_procedural, CASE WHEN kind = 'e' THEN CAST(1 AS DOUBLE) END AS rate FROM every GROUP BY formula_id, kind""",
-    "audit_failures": f"""WITH {VALUES} SELECT component_id, parameter, formula_id, {r6('value + 0.5::DOUBLE')} AS value, {fin('value', 'recomputed')}, 'DIFFERS' AS error
+    "audit_failures": f"""WITH {VALUES} SELECT component_id, parameter, formula_id, {r6('value + 0.5::DOUBLE')} AS value, {fin('again', 'recomputed')}, 'DIFFERS' AS error
       FROM tv WHERE kind = 'e' AND component_id % 97 = 5
-      UNION ALL SELECT component_id, parameter, formula_id, {fin('value', 'value')}, {fin('value', 'recomputed')}, 'UNKNOWN_UNIT' FROM tv
+      UNION ALL SELECT component_id, parameter, formula_id, {fin('value', 'value')}, {fin('again', 'recomputed')}, 'UNKNOWN_UNIT' FROM tv
       WHERE formula_id = 'dpat.z_v1' AND component_id % 97 = 11""",
     "lot_reports": f"""WITH {VALUES}, {rollup('ew', 'band').replace('FROM ew GROUP BY lot_id)', 'FROM ew GROUP BY lot_id), lots AS (', 1)}),
       nf AS (SELECT lot_id, count(DISTINCT formula_id) AS n_appendix FROM tv GROUP BY lot_id), nq AS (SELECT lot_id, count(*) AS n_queue FROM ew GROUP BY lot_id),

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lotwise.functions.medcouple import medcouple as mc_array
+from lotwise.functions.medcouple import medcouples_without_each
 from lotwise.operators import skewness
 
 
@@ -57,3 +58,29 @@ def test_leave_one_out(spark):
         rest = [v for i, k, v in rows if k == r["k"] and i != r["id"]]
         assert r["medcouple"] == pytest.approx(brute(rest), abs=1e-12)
         assert r["medcouple_mode"] == "leave_one_out"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_without_each(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 60))
+    kinds = (rng.exponential(2, n), rng.integers(0, 7, n).astype(float), rng.integers(-30, 30, n).astype(float), rng.integers(0, 2, n).astype(float))
+    values, rows = np.unique(kinds[seed % 4], return_counts=True)
+    every = np.repeat(values, rows)
+    for x, got in zip(values, medcouples_without_each(values, rows)):
+        rest = np.delete(every, np.searchsorted(every, x))
+        assert got == pytest.approx(brute(rest), abs=1e-12)
+
+
+def test_leave_one_out_of_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.exponential(1, 4000), np.full(2000, 0.5)])
+    rows = [(i, float(x)) for i, x in enumerate(values)] + [(9000, None)]
+    out = skewness.medcouple_leave_one_out(spark.createDataFrame(rows, "id long, v double").selectExpr("id", "'a' AS k", "v"), ["k"], "v")
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i in (0, 17, 3999, 4000, int(np.argmax(values)), int(np.argmin(values))):
+        assert got[i]["medcouple"] == pytest.approx(mc_array(np.sort(np.delete(values, i))), abs=1e-12)
+        assert got[i]["medcouple_mode"] == "leave_one_out"
+    assert got[9000]["medcouple_mode"] == "cohort"
+    assert got[9000]["medcouple"] == pytest.approx(mc_array(np.sort(values)), abs=1e-12)
