@@ -226,7 +226,14 @@ def _result(lot: Lot, x: np.ndarray, centre: np.ndarray, cov: np.ndarray) -> tup
     mean = lot.centre + centre @ lot.root.T
     spread = lot.root @ cov @ lot.root.T
     delta = x - mean
-    return delta * np.linalg.solve(spread, delta[:, :, None])[:, :, 0], mean, spread
+    try:
+        weight = np.linalg.solve(spread, delta[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        # The others of some rows lie on a plane; only those rows stay without a distance.
+        sound = np.linalg.cond(spread) <= K.MCD_CONDITION
+        weight = np.full(delta.shape, np.nan)
+        weight[sound] = np.linalg.solve(spread[sound], delta[sound][:, :, None])[:, :, 0]
+    return delta * weight, mean, spread
 
 
 def score(x: np.ndarray, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

@@ -128,3 +128,12 @@ def test_refusals(spark):
     df = spark.createDataFrame(rows, "lot string, x double, y double")
     got = {r["lot"]: r["refusal_code"] for r in M.robust(df, ["lot"], ["x", "y"]).collect()}
     assert got == {"a": "SINGULAR_COVARIANCE", "b": "INSUFFICIENT_COHORT", "c": "INSUFFICIENT_SAMPLE_RATIO"}
+
+
+def test_others_on_a_line():
+    """Most of the lot lies on one line, so the kept set of the others is singular; those rows are refused, none fails."""
+    line = np.array([[float((i * 7 + j * 3) % 11) + i / 10 + j for j in range(2)] for i in range(40) if i != 3])
+    parts, codes = loo.against_others(line)
+    assert set(codes) <= {None, "SINGULAR_COVARIANCE"}
+    assert "SINGULAR_COVARIANCE" in codes
+    assert all(np.isfinite(p).all() == (c is None) for p, c in zip(parts, codes))
