@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lotwise import constants as K
 from lotwise.functions.robust import d
-from lotwise.operators.ordered import average_ranks, quantiles
+from lotwise.operators.ordered import average_ranks, quantiles, with_rank
+from lotwise.session import stage
 
 
 def marginals(rows: DataFrame, keys: Sequence[str], value: str, limit: int | None = None) -> DataFrame:
@@ -41,10 +42,11 @@ def correlations(
     """Pearson and Spearman of every pair of columns over complete rows, long format."""
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    spec = ", ".join(f"'{c}', `{c}`" for c in columns)
-    long = wide.selectExpr(f"`{part}`", f"stack({len(columns)}, {spec}) AS (_column, _value)")
-    ranked = average_ranks(long, ["_column"], "_value", limit=limit)
-    ranks = ranked.groupBy(part).pivot("_column", columns).agg(F.max("avg_rank"))
+    wide = stage(wide.select(*columns))
+    ranks = wide.withColumn("_all", F.lit(0))
+    for c in columns:
+        ranks = with_rank(ranks, ["_all"], c, f"_rank_{c}", limit)
+    ranks = ranks.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
     def matrix(df: DataFrame, name: str) -> DataFrame:
         one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -70,10 +72,10 @@ def spearman(
     rows: DataFrame, part: Sequence[str], keys: Sequence[str], a: str, b: str, limit: int | None = None
 ) -> DataFrame:
     """Rank correlation of two columns inside each group (at least three rows)."""
-    ra = average_ranks(rows.select(*part, *keys, a, b), keys, a, "_ra", limit)
-    rb = average_ranks(ra, keys, b, "_rb", limit)
-    out = rb.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
-    return out.withColumn("rho", F.when(F.col("n") >= K.MIN_COHORT, F.col("rho")))
+    pairs = rows.select(F.struct(*keys).alias("_group"), a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = with_rank(with_rank(pairs, ["_group"], b, "_rb", limit), ["_group"], a, "_ra", limit)
+    out = ranked.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    return out.select("_group.*", "n", F.when(F.col("n") >= K.MIN_COHORT, F.col("rho")).alias("rho"))
 
 
 def imperfections(rows: DataFrame, status: str, unit_wrong: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lotwise.operators import cohort, ordered
+from lotwise.operators import cohort, ordered, profiling
 from lotwise.plans import views
 from tests.conftest import SF_DIR
 
@@ -36,3 +36,19 @@ def test_dealt_join_keeps_rows_without_a_match(spark):
     left = ordered.lookup_join(rows, table, ["lot", "k"], by=["lot"])
     assert {(r["x"], r["m"]) for r in left.collect()} == {(5, 1.5), (6, None), (7, None), (8, None)}
     assert [r["x"] for r in ordered.lookup_join(rows, table, ["lot", "k"], how="inner", by=["lot"]).collect()] == [5]
+
+
+def test_ranks_are_looked_up_in_tables_of_values(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("a")).alias("k"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 37 % 1009).cast("double").alias("y"),
+        F.col("id").cast("string").alias("part"),
+    )
+    got = {r["k"]: (r["n"], round(r["rho"], 9)) for r in profiling.spearman(rows, ["part"], ["k"], "x", "y", limit=100).collect()}
+    table = rows.toPandas()
+    for k, group in table.groupby("k", dropna=False):
+        k = k if isinstance(k, str) else None
+        assert got[k] == (len(group), round(group["x"].rank().corr(group["y"].rank()), 9))
+    out = profiling.correlations(rows, "part", ["x", "y"], limit=100)
+    assert abs(out.first()["spearman"] - table["x"].rank().corr(table["y"].rank())) < 1e-9
+    plan = profiling.spearman(rows, ["part"], ["k"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "part" not in plan.replace("partition", "").replace("Partition", "").replace("part-", "")
