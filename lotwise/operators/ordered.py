@@ -250,9 +250,9 @@ def average_ranks(
     limit = _hot_limit(df, limit)
     sizes = sizes or group_sizes(df, keys)
     if not sizes.is_hot(limit):
-        w = Window.partitionBy(*keys)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(rank, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
+        w = Window.partitionBy(*keys).orderBy(value)
+        ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        return df.withColumn(rank, F.rank().over(w) + (ties - 1) / 2)
     runs = sorted_runs(df, keys, value, limit=limit, sizes=sizes)
     ranks = runs.select(*keys, value, (F.col("run_start") + (F.col("run_rows") + 1) / 2).alias(rank))
     return df.join(ranks, [*keys, value])

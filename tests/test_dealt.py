@@ -52,3 +52,10 @@ def test_ranks_are_looked_up_in_tables_of_values(spark):
     assert abs(out.first()["spearman"] - table["x"].rank().corr(table["y"].rank())) < 1e-9
     plan = profiling.spearman(rows, ["part"], ["k"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "part" not in plan.replace("partition", "").replace("Partition", "").replace("part-", "")
+
+
+def test_average_ranks_shuffle_once(spark):
+    rows = spark.range(900).select((F.col("id") % 3).alias("k"), (F.col("id") % 10).cast("double").alias("v"))
+    out = ordered.average_ranks(rows, ["k"], "v")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["avg_rank"] for r in out.filter("k = 0").collect()} == {15.5 + 30 * i for i in range(10)}
