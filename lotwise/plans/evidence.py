@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise import constants as K
@@ -324,10 +324,16 @@ def worklist(worst: DataFrame) -> DataFrame:
     return worst.withColumn("severity_rank", rank).orderBy(F.desc("severity_rank"), "component_id")
 
 
-def refuse_small_lots(worst: DataFrame, least: int = K.MIN_COHORT) -> tuple[DataFrame, DataFrame]:
-    """(worst blocks of lots with enough parts to screen, refused lots with their number of parts)."""
+def refuse_small_lots(worst: DataFrame, least: int = K.MIN_COHORT, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(worst blocks of lots with enough parts to screen, refused lots with their number of parts).
+
+    Blocks dealt ``by`` lot are counted where they are; others are computed once more for the counts of their lots.
+    """
     sizes = worst.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_parts"))
     small = sizes.filter(F.col("n_parts") < least).withColumn("refusal_code", F.lit("INSUFFICIENT_COHORT"))
+    if by:
+        counted = worst.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy("lot_id")))
+        return counted.filter((F.col("_parts") >= least) | F.col("lot_id").isNull()).drop("_parts"), small
     return worst.join(small.select("lot_id"), "lot_id", "left_anti"), small
 
 

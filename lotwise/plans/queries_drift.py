@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,7 +227,10 @@ def pda_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _escape_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, dealt = dealt_cohorts(spark, sf_dir)
+    return _escapes(spark, *dealt_cohorts(spark, sf_dir))
+
+
+def _escapes(spark: SparkSession, rows: DataFrame, dealt: dict[str, Any]) -> DataFrame:
     scored = H.dpat(rows, COHORT_KEYS, "value", "status", VIEW_K, **dealt)
     limits = E.ScreeningProfile(limits={p: (*v, None, 0.7) for p, v in COHORT_LIMITS.items()}).table(spark)
     out = scored.join(F.broadcast(limits.select("parameter", "low", "high")), "parameter", "left")

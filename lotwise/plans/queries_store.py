@@ -10,10 +10,11 @@ from lotwise.operators import ingest as I
 from lotwise.operators import labels as L
 from lotwise.plans import evidence as E
 from lotwise.plans.queries_data import LIMITS
-from lotwise.plans.queries_drift import _escape_frame
+from lotwise.plans.queries_drift import _escapes
 from lotwise.plans.queries_ingest import PROFILE, _validated
 from lotwise.plans.reports import rounded
-from lotwise.plans.views import COHORT_LIMITS, COHORT_PARAMETERS, cohort_view, table, trajectory_rows
+from lotwise.plans.views import COHORT_LIMITS, COHORT_PARAMETERS, cohort_view, dealt_cohorts, table, trajectory_rows
+from lotwise.session import stage
 from lotwise.sources import sinks
 from lotwise.streaming.jobs import new_base
 
@@ -69,8 +70,9 @@ def stored_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of worst parameters, committed once although written twice, read back from its JSON."""
     base = new_base(spark)
-    worst = E.worst_parameter(_escape_frame(spark, sf_dir), COHORT_PARAMETERS)
-    good, small = E.refuse_small_lots(worst)
+    rows, dealt = dealt_cohorts(spark, sf_dir)
+    worst = E.worst_parameter(_escapes(spark, rows, dealt), COHORT_PARAMETERS)
+    good, _ = E.refuse_small_lots(worst, by=dealt.get("by", ()))
     kept = good.select("component_id", "lot_id", "parameter", "severity", "dpat_verdict", "absolute_fail")
     won = [sinks.commit_run(part, base, "run-1", ["component_id", "lot_id"], {"kind": "anomaly"}) for part in (kept, kept.filter("lot_id < 10"))]
     rows = sinks.read_run(spark, base, "run-1", "parameter string, severity string, dpat_verdict string, absolute_fail boolean")

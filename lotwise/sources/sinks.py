@@ -120,7 +120,7 @@ def commit_run(results: DataFrame, base: str, run_id: str, keys: Sequence[str],
     attempt = uuid.uuid4().hex
     seen = Observation()
     rows = results.select(*keys, F.to_json(F.struct(*results.columns)).alias("result_json")).observe(seen, F.count(F.lit(1)).alias("rows"))
-    rows.write.parquet(f"{base}/results/{run_id}/{attempt}")
+    rows.write.option("compression", "zstd").parquet(f"{base}/results/{run_id}/{attempt}")
     manifest = {"run_id": run_id, "attempt": attempt, "n_results": int(seen.get["rows"]), **(about or {})}
     return put_if_absent(spark, f"{base}/runs/{run_id}.json", json.dumps(manifest))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lotwise.operators import cohort, ordered, profiling
-from lotwise.plans import views
+from lotwise.plans import evidence, views
 from tests.conftest import SF_DIR
 
 
@@ -59,3 +59,12 @@ def test_average_ranks_shuffle_once(spark):
     out = ordered.average_ranks(rows, ["k"], "v")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r["avg_rank"] for r in out.filter("k = 0").collect()} == {15.5 + 30 * i for i in range(10)}
+
+
+def test_small_lots_are_counted_where_they_are(spark):
+    rows = spark.createDataFrame([(i, lot) for i, lot in enumerate([1, 1, 1, 2, 2, 3, None])], "component_id long, lot_id long").repartition("lot_id")
+    good, small = evidence.refuse_small_lots(rows, by=["lot_id"])
+    plain, refused = evidence.refuse_small_lots(rows)
+    assert sorted(good.collect(), key=str) == sorted(plain.collect(), key=str) and {r["component_id"] for r in good.collect()} == {0, 1, 2, 6}
+    assert sorted(small.collect(), key=str) == sorted(refused.collect(), key=str)
+    assert good._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
