@@ -45,7 +45,8 @@ def stored_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of the component directory and the row that tells of a third."""
-    parts = sinks.components_table(I.accepted(_validated(spark, sf_dir))).select("component_id", "lot_id")
+    # Both pages read the directory, so it is written once.
+    parts = stage(sinks.components_table(I.accepted(_validated(spark, sf_dir))).select("component_id", "lot_id"))
     first = sinks.component_page(parts, None, 50).agg(F.max("component_id")).first()[0]
     return sinks.component_page(parts, first, 50)
 

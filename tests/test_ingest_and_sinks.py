@@ -124,3 +124,22 @@ def test_manifest(spark):
     have = sinks.manifest({"a": a.repartition(3), "b": a.filter("i = 1"), "new": a})
     got = {r["table_name"]: r["status"] for r in sinks.compare_manifests(want, have).collect()}
     assert got == {"a": "SAME", "b": "ROWS_DIFFER", "gone": "MISSING", "new": "UNEXPECTED"}
+
+
+def test_checks_are_not_repeated_by_filters_on_their_code(spark):
+    from lotwise.plans.queries_ingest import PROFILE
+    from lotwise.plans.views import upload_view
+    from tests.conftest import SF_DIR
+
+    claims = I.first_claims(I.structural_checks(upload_view(spark, SF_DIR), PROFILE, spark))
+    plan = claims._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if "Filter" in line]
+    assert any("finding_code" in line for line in filters) and not any("trim(" in line for line in filters), filters
+
+
+def test_component_pages_read_a_stored_directory(spark):
+    from lotwise.plans.queries_store import component_pages
+    from tests.conftest import SF_DIR
+
+    page = component_pages(spark, SF_DIR)
+    assert "Join" not in page._jdf.queryExecution().optimizedPlan().toString() and page.count() == 51
