@@ -30,7 +30,7 @@ def ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = I.findings(stage(I.occurrences(stage(_validated(spark, sf_dir)), PROFILE)))
+    found = I.findings(stage(I.occurrences(stage(_validated(spark, sf_dir).select(*I.OCCURRING)), PROFILE)))
     return found.select(
         "code", "severity", "count", "column",
         F.concat_ws(",", F.col("sample_rows").cast("array<string>")).alias("sample_rows"),
