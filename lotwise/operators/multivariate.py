@@ -143,7 +143,12 @@ def _fit_small(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFram
         out["refusal_code"] = [code]
         return pd.DataFrame(out)
 
-    return rows.select(*keys, *columns).groupBy(*keys).applyInPandas(fit, _fit_schema(rows, keys))
+    return _by_lot(rows.select(*keys, *columns), keys).groupBy(*keys).applyInPandas(fit, _fit_schema(rows, keys))
+
+
+def _by_lot(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows hashed by lot to a fixed number of tasks: a lot's bytes are few but its fit is long, so tasks must not be merged by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _leave_one_out(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -160,7 +165,7 @@ def _leave_one_out(rows: DataFrame, keys: list[str], columns: list[str]) -> Data
         out["refusal_code"] = codes
         return out
 
-    return rows.groupBy(*keys).applyInPandas(score, kinds + ", n bigint, d2 double, refusal_code string")
+    return _by_lot(rows, keys).groupBy(*keys).applyInPandas(score, kinds + ", n bigint, d2 double, refusal_code string")
 
 
 def top_contributions(scored: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:

@@ -137,3 +137,9 @@ def test_others_on_a_line():
     assert set(codes) <= {None, "SINGULAR_COVARIANCE"}
     assert "SINGULAR_COVARIANCE" in codes
     assert all(np.isfinite(p).all() == (c is None) for p, c in zip(parts, codes))
+
+
+def test_lots_are_not_merged_into_one_task(spark):
+    rows = spark.range(400).select((F.col("id") % 8).alias("lot"), *[F.rand(i).alias(c) for i, c in enumerate("ab")])
+    plan = M._leave_one_out(rows, ["lot"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, plan
