@@ -76,15 +76,27 @@ class _Model:
         self.sure = [np.zeros(n * TABLE, np.uint8) for _ in range(2)]
         self.hits = [np.full(n * 128, 1 << 13, np.int64) for _ in range(2)]
         self.seen = np.zeros((n, vocabulary), np.int32)
-        self.span = (vocabulary + WEIGHT * LONGEST) * 2
+        self.span = (vocabulary + WEIGHT * LONGEST) * 2  # times LANES it stays below 2^31
+        self.sums = np.zeros((n, vocabulary + 1), np.int32)
+        self.total = np.zeros(n, np.uint64)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def rebuild(self, k: int) -> None:
-        """Cumulative frequencies of the first ``k`` lanes; each lane's start at a multiple of the span, so one search serves all."""
-        self.sums = np.zeros((k, self.v + 1), np.int64)
-        np.cumsum(1 + WEIGHT * self.seen[:k], axis=1, out=self.sums[:, 1:])
-        self.total = self.sums[:, -1].astype(np.uint64)
-        self.flat = (self.sums + (np.arange(k) * self.span)[:, None]).reshape(-1)
+        """Cumulative frequencies of the first ``k`` lanes; each lane's start at a multiple of the span, so one search serves all.
+
+        They are kept once, in place, and made a few lanes at a time: they are the largest arrays of a wave.
+        """
+        for a in range(0, k, 16):
+            b = min(a + 16, k)
+            np.cumsum(1 + WEIGHT * self.seen[a:b], axis=1, dtype=np.int32, out=self.sums[a:b, 1:])
+            self.sums[a:b, 0] = 0
+            self.total[a:b] = self.sums[a:b, -1]
+            self.sums[a:b] += (np.arange(a, b) * self.span).astype(np.int32)[:, None]
+        self.flat = self.sums[:k].reshape(-1)
+
+    def below(self, lanes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How much lies below ``x`` in each lane."""
+        return self.sums[lanes, x].astype(np.int64) - lanes * self.span
 
     def predict(self, k: int) -> None:
         lane = np.arange(k)
@@ -149,8 +161,8 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]
             coder.narrow(lanes, start, size, coder.range[:k] >> _16, coder.put)
             lanes = np.flatnonzero(rest)
             if len(lanes):
-                low = model.sums[lanes, x[lanes]]
-                size = (model.sums[lanes, x[lanes] + 1] - low).astype(np.uint64)
+                low = model.below(lanes, x[lanes])
+                size = (model.below(lanes, x[lanes] + 1) - low).astype(np.uint64)
                 coder.narrow(lanes, low.astype(np.uint64), size, coder.range[lanes] // model.total[lanes], coder.put)
             model.learn(k, x)
         every = np.arange(len(wave))
@@ -193,10 +205,10 @@ def decode_blocks(units: list[np.ndarray], sizes: list[int], vocabulary: int) ->
             if len(lanes):
                 step = coder.range[lanes] // model.total[lanes]
                 at = np.minimum((coder.code[lanes] - coder.low[lanes]) // step, model.total[lanes] - np.uint64(1)).astype(np.int64)
-                found = np.searchsorted(model.flat, at + lanes * model.span, side="right") - 1 - lanes * (vocabulary + 1)
+                found = np.searchsorted(model.flat, (at + lanes * model.span).astype(np.int32), side="right") - 1 - lanes * (vocabulary + 1)
                 x[lanes] = found
-                low = model.sums[lanes, found]
-                size = (model.sums[lanes, found + 1] - low).astype(np.uint64)
+                low = model.below(lanes, found)
+                size = (model.below(lanes, found + 1) - low).astype(np.uint64)
                 coder.narrow(lanes, low.astype(np.uint64), size, step, coder.take)
             ids[:k, t] = x
             model.learn(k, x)

@@ -23,7 +23,7 @@ from lotwise.llm.rangecoder import BEGUN, GOES_ON, LANES, decode_blocks, encode_
 
 BLOCK_IDS = 1 << 14
 END = 0
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # White space as the tokenizer's own splitting sees it
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+"

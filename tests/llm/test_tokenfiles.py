@@ -85,3 +85,17 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], schema)
     got = sorted((r.start, r.doc_id) for r in T.read_back(T.write(odd, PATH)).collect())
     assert got == [(0, None), (2, 1), (4, 1)]
+
+
+def test_frequencies_of_a_wave_are_kept_once(spark):
+    import numpy as np
+
+    from lotwise.llm import rangecoder as R
+
+    model = R._Model(40, 1000)
+    model.seen[37, 5] = 3
+    model.rebuild(40)
+    assert np.shares_memory(model.flat, model.sums) and model.sums.itemsize == 4
+    assert R._Model(1, 65_536).span * R.LANES < 1 << 31
+    lanes = np.array([0, 37])
+    assert model.below(lanes, np.array([6, 6])).tolist() == [6, 6 + 3 * R.WEIGHT] and model.total[37] == 1000 + 3 * R.WEIGHT
