@@ -79,8 +79,9 @@ def audit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ev = _evidence(spark, sf_dir)
-    worst = E.worst_parameter(ev, EVENT_TYPES)
-    used = P.appendix(P.traced_values(ev.drop(*E.JOINT), PROFILE), spark, ["lot_id"])
+    # Three of the tables hold worst blocks, and each is sampled before it is written in ranges.
+    worst = stage(E.worst_parameter(ev, EVENT_TYPES))
+    used = P.appendix(P.used_formulas(ev.drop(*E.JOINT), PROFILE, ["lot_id"]), spark, ["lot_id"])
     decided = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("component_id"), F.col("o_orderstatus").alias("action"), F.col("o_orderpriority").alias("reason"),
         F.col("o_custkey").cast("string").alias("actor"), F.col("o_orderdate").alias("created_at"),
