@@ -80,7 +80,10 @@ def _merge(text: str, score: dict[str, float]) -> list[str]:
 
 
 def _steps(score: dict[str, float]):
-    """Adds to the edges of a word the pieces that may stand before each; edges of pieces that merges never make go."""
+    """Adds to the edges of a word the pieces that may stand before each.
+
+    Edges of pieces that merges never make go, and so do those on no path from the beginning to the end of the word.
+    """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         alone: dict[str, bool] = {}
@@ -103,20 +106,28 @@ def _steps(score: dict[str, float]):
         for columns in batches:
             keep, before = [], []
             for word, starts, ends, ids in zip(*columns):
-                by_end: dict[int, list[tuple[str, int]]] = {}
-                kept, allowed = [], []
+                # (piece, id, number, numbers of the edges before it) of the edges that a path from the beginning reaches
+                by_end: dict[int, list[tuple[str, int, int, list]]] = {}
+                reached = []
                 for j, (s, e, i) in enumerate(zip(starts.tolist(), ends.tolist(), ids.tolist())):
                     piece = word[s:e]
                     if i >= 0 and not stays(piece):
                         continue
-                    # -1 is the beginning, less a character outside the vocabulary: nothing merges with either.
-                    prior = [-1] if s == 0 else [k for p, k in by_end.get(s, ()) if k < -1 or i < -1 or fits(p, piece)]
-                    if prior:
+                    # Nothing merges with the beginning or with a character outside the vocabulary.
+                    prior = [o for o in by_end.get(s, ()) if o[1] < -1 or i < -1 or fits(o[0], piece)]
+                    if prior or s == 0:
+                        edge = (piece, i, j, prior)
+                        by_end.setdefault(e, []).append(edge)
+                        reached.append(edge)
+                live = {o[2] for o in by_end.get(len(word), ())}
+                kept, allowed = [], []
+                for _, _, j, prior in reversed(reached):
+                    if j in live:
+                        live.update([o[2] for o in prior])
                         kept.append(j)
-                        allowed.append(prior)
-                        by_end.setdefault(e, []).append((piece, i))
-                keep.append(kept)
-                before.append(allowed)
+                        allowed.append([o[1] for o in prior] or [-1])
+                keep.append(kept[::-1])
+                before.append(allowed[::-1])
             yield pd.DataFrame({"keep": keep, "before": before})
 
     return F.pandas_udf(run, "keep array<int>, before array<array<int>>")

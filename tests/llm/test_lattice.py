@@ -71,3 +71,23 @@ def test_edges(spark):
 
 def test_merges_helper():
     assert L._merge("abc", {"ab": -2.0, "bc": -1.0}) == ["a", "bc"] and L._merge("aaa", {"aa": 0.0}) == ["aa", "a"]
+
+
+def test_edges_on_no_whole_path_go(spark):
+    """Merges leave one path through a word, so the fold gets its edges only."""
+    import pandas as pd
+
+    pieces = L.load_pieces(spark, PATH)
+    score = {r.piece: r.score for r in pieces.where("kind = 'normal'").collect()}
+    ids = {r.piece: r.id for r in pieces.where("kind = 'normal'").collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    words = [L.SPACE + w for w in ("thlyly", "ofthinorwh", "unbelievably", "Öwhining", "x" * 40)]
+    edges = [
+        sorted((s, e, ids[w[s:e]]) for s in range(len(w)) for e in range(s + 1, min(len(w), s + 16) + 1) if w[s:e] in ids) for w in words
+    ]
+    import numpy as np
+
+    columns = [pd.Series([np.array([x[k] for x in es]) for es in edges]) for k in range(3)]
+    (got,) = L._steps(score).func(iter([(pd.Series(words), *columns)]))
+    for w, es, keep in zip(words, edges, got["keep"]):
+        assert [es[j][2] for j in keep] == model.encode(w[1:]) and len(keep) < len(es)
