@@ -1,17 +1,21 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks in step.
 
 For each id two contexts predict: the two ids before it (order 2) and the one before (order 1), each with a
-confidence from 0 to 7 (both hashed into tables that stay in the processor's cache). How often a prediction with this pair of confidences has come true in the block so far gives its
+confidence from 0 to 7 (both hashed into tables that stay in the processor's cache). How often a prediction with this
+pair of confidences has come true in the block so far gives its
 share of the coding range; the rest is for the block's own id frequencies (order 0, every id possible). Shares, tables
 and frequencies start anew in each block, so a block is decoded by itself.
 
-A block's work is sequential, but blocks are not bound to each other: position ``t`` of up to ``LANES`` blocks is coded at
-once with array operations, one lane per block.
+Work on a sequence of ids is sequential. So a block is cut into up to ``STRANDS`` strands of equal length that share its
+tables and have their own coding range, and position ``t`` of all strands of up to ``LANES`` blocks is coded at once with
+array operations, one lane per strand. Where strands of a block would change the same entry in a step, the last one does.
+The range is an asymmetric numeral system's (a state of 63 bits, refilled by 32): shares are gathered forwards, and
+states run backwards over them.
 
-Bytes of a block, little endian: magic ``LWCM``, crc32 of all that follows, then unsigned 32-bit numbers (vocabulary, ids,
+Bytes of a block, little endian: magic ``LWC2``, crc32 of all that follows, then unsigned 32-bit numbers (vocabulary, ids,
 documents, 16-bit units), for each document or part of one its id (64 bit), marks (8 bit: null id, begun before, goes on)
 and its number of ids (32 bit), the
-crc32 of the ids (32 bit each), and the units of the range coder.
+crc32 of the ids (32 bit each), and the units of the coder: the number of 32-bit words of each strand, then their words.
 """
 
 from __future__ import annotations
@@ -21,117 +25,144 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LWCM"
+MAGIC = b"LWC2"
 LANES = 256
+STRANDS = 16
+# Ids of a strand, at least, before a block is cut into more of them.
+STRAND_IDS = 256
 TABLE = 1 << 13
-TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
 # Ids of a block: a lane's frequencies stay within its span, and a wave's lanes within memory.
 LONGEST = 1 << 17
 WEIGHT = 24  # of a seen id against one for every id of the vocabulary
 RATE = 5
+# Shares lie between LEAST and MOST of 2^16; what both leave over, of 2^BITS, is more than all frequencies of a block.
+LEAST, MOST = 64, 65536 - 2900
+BITS = 31
+LOW = 1 << 31  # a state is at least this
 
 
 def _rebuild_at(t: int) -> bool:
-    return t in (0, 64, 256, 1024) or t % 4096 == 0
-
-
-class _Coder:
-    """Carryless range coder with one 64-bit interval per lane."""
-
-    def __init__(self, n: int, units: int) -> None:
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.buffer, self.at = np.zeros((n, units), np.uint16), np.zeros(n, np.int64)
-
-    def narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.ndarray, shift) -> None:
-        """To ``size`` steps from ``start``; then the settled units are handed to ``shift``."""
-        low, wide = self.low[lanes] + start * step, size * step
-        while True:
-            settled = (low ^ (low + wide)) < TOP
-            small = ~settled & (wide < BOT)
-            if small.any():
-                wide = np.where(small, (~low + np.uint64(1)) & (BOT - np.uint64(1)), wide)
-                settled |= small
-            which = np.flatnonzero(settled)
-            if not len(which):
-                break
-            shift(lanes[which], low[which])
-            low[which] <<= _16
-            wide[which] <<= _16
-        self.low[lanes], self.range[lanes] = low, wide
-
-    def put(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.buffer[lanes, self.at[lanes]] = (low >> _48).astype(np.uint16)
-        self.at[lanes] += 1
-
-    def take(self, lanes: np.ndarray, _: np.ndarray) -> None:
-        self.code[lanes] = (self.code[lanes] << _16) | self.buffer[lanes, self.at[lanes]].astype(np.uint64)
-        self.at[lanes] += 1
+    return t in (0, 4, 16, 64) or t % 256 == 0
 
 
 class _Model:
     def __init__(self, n: int, vocabulary: int) -> None:
         self.v, self.n = vocabulary, n
-        self.ids = [np.zeros(n * TABLE, np.uint16) for _ in range(2)]
-        self.sure = [np.zeros(n * TABLE, np.uint8) for _ in range(2)]
-        self.hits = [np.full(n * 128, 1 << 13, np.int64) for _ in range(2)]
+        # An entry is a predicted id times 8 plus the confidence in it.
+        self.entries = [np.zeros(n * TABLE, np.int32) for _ in range(2)]
+        self.hits = [np.full(n * 128, 1 << 13, np.int32) for _ in range(2)]
         self.seen = np.zeros((n, vocabulary), np.int32)
         self.span = (vocabulary + WEIGHT * LONGEST) * 2  # times LANES it stays below 2^31
         self.sums = np.zeros((n, vocabulary + 1), np.int32)
-        self.total = np.zeros(n, np.uint64)
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.total = np.zeros(n, np.int64)
+
+    def lay(self, block: np.ndarray) -> None:
+        """``block``: the block of each lane."""
+        self.block, self.at, self.state_at = block, block * TABLE, (block * 128).astype(np.int32)
+        self.one, self.two = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+
+    def count(self, ids: np.ndarray, there: np.ndarray) -> None:
+        """Adds a stretch of ids (by step and lane) where they are ``there``."""
+        lanes = np.argsort(self.block, kind="stable")
+        ends = np.searchsorted(self.block[lanes], np.arange(self.n + 1))
+        for b in range(self.n):
+            mine = lanes[ends[b] : ends[b + 1]]
+            new = np.bincount(ids[:, mine][there[:, mine]])
+            self.seen[b, : len(new)] += new
 
     def rebuild(self, k: int) -> None:
-        """Cumulative frequencies of the first ``k`` lanes; each lane's start at a multiple of the span, so one search serves all.
+        """Cumulative frequencies of the first ``k`` blocks; each one's start at a multiple of the span, so one search serves all.
 
-        They are kept once, in place, and made a few lanes at a time: they are the largest arrays of a wave.
+        They are kept once, in place, and made block by block: they are the largest arrays of a wave.
         """
-        for a in range(0, k, 16):
-            b = min(a + 16, k)
-            np.cumsum(1 + WEIGHT * self.seen[a:b], axis=1, dtype=np.int32, out=self.sums[a:b, 1:])
-            self.sums[a:b, 0] = 0
-            self.total[a:b] = self.sums[a:b, -1]
-            self.sums[a:b] += (np.arange(a, b) * self.span).astype(np.int32)[:, None]
+        once = np.arange(self.v + 1, dtype=np.int32)
+        for a in range(k):
+            row = self.sums[a]
+            row[0] = 0
+            np.cumsum(self.seen[a], dtype=np.int32, out=row[1:])
+            row *= np.int32(WEIGHT)
+            row += once
+            self.total[a] = row[-1]
+            row += np.int32(a * self.span)
         self.flat = self.sums[:k].reshape(-1)
+        # Every 64th of them, which stay in the processor's cache: a search begins there.
+        self.coarse = np.ascontiguousarray(self.sums[:k, ::64])
 
     def below(self, lanes: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """How much lies below ``x`` in each lane."""
-        return self.sums[lanes, x].astype(np.int64) - lanes * self.span
-
-    def predict(self, k: int) -> None:
-        lane = np.arange(k)
-        one, two = self.one[:k], self.two[:k]
-        self.slot = [lane * TABLE + (one * 40503 >> 7) % TABLE, lane * TABLE + (one * 40503 + two * 60493 + (two >> 5)) % TABLE]
-        self.guess = [self.ids[j][s].astype(np.int64) for j, s in enumerate(self.slot)]
-        level = [self.sure[j][s].astype(np.int64) for j, s in enumerate(self.slot)]
+        """How much lies below ``x`` in each block."""
+        return self.flat.take(lanes * (self.v + 1) + x).astype(np.int64) - lanes * self.span
+
+    def parts(self, block: np.ndarray, x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of ids in the range from ``base`` up by the frequencies of their blocks."""
+        wide, total = (1 << BITS) - base, self.total[block]
+        start = self.below(block, x) * wide // total
+        return start + base, self.below(block, x + 1) * wide // total - start
+
+    def find(self, block: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The ids whose part holds ``at``."""
+        below = ((at - base + 1) * self.total[block] - 1) // ((1 << BITS) - base)
+        key = (below + block * self.span).astype(np.int32)
+        line = block * (self.v + 1)
+        at = line + (np.searchsorted(self.coarse.reshape(-1), key, side="right") - 1 - block * self.coarse.shape[1]) * 64
+        for step in (32, 16, 8, 4, 2, 1):  # a step past the block's end meets a larger sum
+            at += (self.flat.take(at + step, mode="clip") <= key) * step
+        return at - line
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted ids of the first ``k`` lanes and where their shares end: order 2, order 1, end of 2, end of 1."""
+        one, two, at = self.one[:k], self.two[:k], self.at[:k]
+        mixed = one * 40503
+        self.slot = [at + ((mixed >> 7) & (TABLE - 1)), at + ((mixed + two * 60493 + (two >> 5)) & (TABLE - 1))]
+        self.entry = [e.take(s) for e, s in zip(self.entries, self.slot)]
+        self.level = [e & 7 for e in self.entry]
+        self.guess = [e >> 3 for e in self.entry]
         self.agree = self.guess[0] == self.guess[1]
-        self.state = lane * 128 + level[1] * 8 + level[0] + 64 * self.agree
-        share2 = self.hits[1][self.state]
-        share1 = np.where(self.agree, 0, ((65536 - share2) * self.hits[0][self.state]) >> 16)
-        self.share = [share1, share2]
-        self.level = level
+        self.state = self.state_at[:k] + self.level[1] * 8 + self.level[0] + self.agree * np.int32(64)
+        self.old = [h.take(self.state) for h in self.hits]
+        share2 = self.old[1].astype(np.int64)
+        share1 = ((65536 - share2) * self.old[0]) >> 16
+        share1[self.agree] = 0
+        return self.guess[1], self.guess[0], share2 << (BITS - 16), (share2 + share1) << (BITS - 16)
 
     def learn(self, k: int, x: np.ndarray) -> None:
-        lane = np.arange(k)
+        right = [g == x for g in self.guess]
+        fresh = (x << 3) + np.int32(1)
         for j in (0, 1):
-            right = self.guess[j] == x
-            counted = slice(None) if j else ~self.agree & (self.guess[1] != x)
-            old = self.hits[j][self.state]
-            new = np.where(right, old + ((63488 - old) >> RATE), old - ((old - 64) >> RATE))
-            self.hits[j][self.state[counted]] = new[counted]
-            level = self.level[j]
-            self.sure[j][self.slot[j]] = np.where(right, np.minimum(level + 1, 7), level >> 1)
-            swap = ~right & (level == 0)
-            self.ids[j][self.slot[j][swap]] = x[swap]
-            self.sure[j][self.slot[j][swap]] = 1
-        self.seen[lane, x] += 1
+            old, level, entry = self.old[j], self.level[j], self.entry[j]
+            new = old + ((right[j] * np.int32(MOST - LEAST) + np.int32(LEAST) - old) >> RATE)
+            if j:
+                self.hits[1][self.state] = new
+            else:
+                counted = np.flatnonzero(~(self.agree | right[1]))
+                self.hits[0][self.state[counted]] = new[counted]
+            wrong = np.where(level == 0, fresh, entry - ((level + 1) >> 1))
+            self.entries[j][self.slot[j]] = np.where(right[j], entry + (level < 7), wrong)
         self.two[:k], self.one[:k] = self.one[:k], x
 
 
-def _waves(sizes: np.ndarray):
-    order = np.argsort(-sizes, kind="stable")
+def _strands(n: int) -> np.ndarray:
+    """Lengths of the strands of a block of ``n`` ids, longer ones first."""
+    s = min(STRANDS, max(1, n // STRAND_IDS))
+    return n // s + (np.arange(s) < n % s)
+
+
+def _waves(sizes: list[int]):
+    """Of up to ``LANES`` blocks: (blocks, lanes' blocks within the wave, begins within them, lengths), longest strands first."""
+    order = np.argsort([-_strands(n)[0] for n in sizes], kind="stable")
     for i in range(0, len(order), LANES):
-        yield order[i : i + LANES]
+        wave = order[i : i + LANES]
+        lengths = [_strands(sizes[w]) for w in wave]
+        block = np.repeat(np.arange(len(wave)), [len(s) for s in lengths])
+        begin = np.concatenate([np.cumsum(s) - s for s in lengths])
+        length = np.concatenate(lengths)
+        lanes = np.argsort(-length, kind="stable")
+        yield wave, block[lanes], begin[lanes], length[lanes]
+
+
+def _active(block: np.ndarray, length: np.ndarray, t: int) -> tuple[int, int]:
+    """How many lanes and how many blocks go on at ``t``."""
+    k = int(np.searchsorted(-length, -t, side="left"))
+    return k, int(block[:k].max(initial=-1)) + 1
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]:
@@ -139,81 +170,110 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]
     if max(map(len, blocks), default=0) > LONGEST:
         raise ValueError(f"a block holds at most {LONGEST} ids")
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
-    for wave in _waves(np.array([len(b) for b in blocks], np.int64)):
-        sizes = np.array([len(blocks[i]) for i in wave], np.int64)
-        ids = np.zeros((len(wave), int(sizes.max(initial=0))), np.int64)
-        for row, i in enumerate(wave):
-            ids[row, : sizes[row]] = blocks[i]
-        coder, model = _Coder(len(wave), 4 * ids.shape[1] + 16), _Model(len(wave), vocabulary)
-        for t in range(ids.shape[1]):
-            k = int(np.searchsorted(-sizes, -t, side="left"))  # lanes longer than t
-            if _rebuild_at(t):
-                model.rebuild(k)
-            model.predict(k)
-            x = ids[:k, t]
-            (share1, share2), (guess1, guess2) = model.share, model.guess
-            two = guess2 == x
-            one = ~two & ~model.agree & (guess1 == x)
-            rest = ~two & ~one
-            start = np.where(two, 0, np.where(one, share2, share2 + share1)).astype(np.uint64)
-            size = np.where(two, share2, np.where(one, share1, 65536 - share2 - share1)).astype(np.uint64)
-            lanes = np.arange(k)
-            coder.narrow(lanes, start, size, coder.range[:k] >> _16, coder.put)
-            lanes = np.flatnonzero(rest)
-            if len(lanes):
-                low = model.below(lanes, x[lanes])
-                size = (model.below(lanes, x[lanes] + 1) - low).astype(np.uint64)
-                coder.narrow(lanes, low.astype(np.uint64), size, coder.range[lanes] // model.total[lanes], coder.put)
+    for wave, block, begin, length in _waves([len(b) for b in blocks]):
+        steps, n = int(length.max(initial=0)), len(length)
+        ids = np.zeros((steps, n), np.int32)
+        for lane in range(n):
+            ids[: length[lane], lane] = blocks[wave[block[lane]]][begin[lane] : begin[lane] + length[lane]]
+        starts, widths = np.zeros((steps, n), np.uint32), np.zeros((steps, n), np.uint32)
+        model = _Model(len(wave), vocabulary)
+        model.lay(block)
+        rebuilt = 0
+        for t in range(steps + 1):
+            if t == steps or _rebuild_at(t):
+                # Shares of ids without a right prediction since the frequencies were made last.
+                row, lane = np.nonzero((widths[rebuilt:t] == 0) & (length > np.arange(rebuilt, t)[:, None]))
+                row += rebuilt
+                if len(row):
+                    starts[row, lane], widths[row, lane] = model.parts(block[lane], ids[row, lane].astype(np.int64), starts[row, lane].astype(np.int64))
+                if t == steps:
+                    break
+                model.count(ids[rebuilt:t], length > np.arange(rebuilt, t)[:, None])
+                k, going = _active(block, length, t)
+                model.rebuild(going)
+                rebuilt = t
+            elif length[k - 1] <= t:
+                k, _ = _active(block, length, t)
+            guess2, guess1, end2, end1 = model.predict(k)
+            x = ids[t, :k]
+            two, one = guess2 == x, guess1 == x
+            # Of an id that no context predicts, the start of the rest and a width of 0 for now.
+            starts[t, :k] = np.where(two, 0, np.where(one, end2, end1))
+            widths[t, :k] = np.where(two, end2, np.where(one, end1 - end2, 0))
             model.learn(k, x)
-        every = np.arange(len(wave))
-        for _ in range(4):
-            coder.put(every, coder.low)
-            coder.low <<= _16
-        for row, i in enumerate(wave):
-            out[i] = coder.buffer[row, : coder.at[row]].copy()
+        state, words, at = np.full(n, LOW, np.uint64), np.zeros((n, steps + 2), np.uint32), np.zeros(n, np.int64)
+        flat, line = words.reshape(-1), np.arange(n) * (steps + 2)
+        for t in range(steps - 1, -1, -1):
+            k = n if length[n - 1] > t else _active(block, length, t)[0]
+            width, now = widths[t, :k].astype(np.uint64), state[:k]
+            full = np.flatnonzero(now >= width << np.uint64(32))
+            flat[line[full] + at[full]] = now[full].astype(np.uint32)
+            at[full] += 1
+            now[full] >>= np.uint64(32)
+            times = now // width
+            state[:k] = (times << np.uint64(BITS)) + (now - times * width) + starts[t, :k]
+        for shift in (0, 32):
+            flat[line + at] = (state >> np.uint64(shift)).astype(np.uint32)
+            at += 1
+        lanes = np.lexsort((begin, block))
+        ends = np.searchsorted(block[lanes], np.arange(len(wave) + 1))
+        for i, w in enumerate(wave):
+            mine = lanes[ends[i] : ends[i + 1]]
+            parts = [words[lane, : at[lane]][::-1] for lane in mine]
+            out[w] = np.concatenate([at[mine].astype("<u2"), np.concatenate(parts).astype("<u4").view("<u2")])
     return out
 
 
 def decode_blocks(units: list[np.ndarray], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     """The ids of each block again."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
-    for wave in _waves(np.array(sizes, np.int64)):
-        length = np.array([sizes[i] for i in wave], np.int64)
-        ids = np.zeros((len(wave), int(length.max(initial=0))), np.int64)
-        coder, model = _Coder(len(wave), max(len(units[i]) for i in wave) + 8), _Model(len(wave), vocabulary)
-        for row, i in enumerate(wave):
-            coder.buffer[row, : len(units[i])] = units[i]
-        coder.code = np.zeros(len(wave), np.uint64)
-        for _ in range(4):
-            coder.take(np.arange(len(wave)), coder.low)
-        for t in range(ids.shape[1]):
-            k = int(np.searchsorted(-length, -t, side="left"))
+    for wave, block, begin, length in _waves(list(sizes)):
+        steps, n = int(length.max(initial=0)), len(length)
+        model = _Model(len(wave), vocabulary)
+        model.lay(block)
+        # The words of all strands one after the other, and where each lane reads.
+        lanes = np.lexsort((begin, block))
+        counts = [np.asarray(units[w][: len(_strands(sizes[w]))], np.int64) for w in wave]
+        words = np.concatenate([np.ascontiguousarray(units[w][len(c) :]).astype("<u2").view("<u4") for w, c in zip(wave, counts)])
+        counts = np.concatenate(counts)
+        at = np.zeros(n, np.int64)
+        at[lanes] = np.cumsum(counts) - counts
+        state = (words[at].astype(np.int64) << 32) | words[at + 1]
+        at += 2
+        ids = np.zeros((steps, n), np.int32)
+        rebuilt = 0
+        for t in range(steps):
             if _rebuild_at(t):
-                model.rebuild(k)
-            model.predict(k)
-            (share1, share2), (guess1, guess2) = model.share, model.guess
-            step = coder.range[:k] >> _16
-            at = np.minimum((coder.code[:k] - coder.low[:k]) // step, np.uint64(65535)).astype(np.int64)
-            two, rest = at < share2, at >= share2 + share1
-            one = ~two & ~rest
+                model.count(ids[rebuilt:t], length > np.arange(rebuilt, t)[:, None])
+                k, going = _active(block, length, t)
+                model.rebuild(going)
+                rebuilt = t
+            elif length[k - 1] <= t:
+                k, _ = _active(block, length, t)
+            guess2, guess1, end2, end1 = model.predict(k)
+            now = state[:k]
+            place = now & ((1 << BITS) - 1)
+            two = place < end2
             x = np.where(two, guess2, guess1)
-            start = np.where(two, 0, np.where(one, share2, share2 + share1)).astype(np.uint64)
-            size = np.where(two, share2, np.where(one, share1, 65536 - share2 - share1)).astype(np.uint64)
-            lanes = np.arange(k)
-            coder.narrow(lanes, start, size, step, coder.take)
-            lanes = np.flatnonzero(rest)
-            if len(lanes):
-                step = coder.range[lanes] // model.total[lanes]
-                at = np.minimum((coder.code[lanes] - coder.low[lanes]) // step, model.total[lanes] - np.uint64(1)).astype(np.int64)
-                found = np.searchsorted(model.flat, (at + lanes * model.span).astype(np.int32), side="right") - 1 - lanes * (vocabulary + 1)
-                x[lanes] = found
-                low = model.below(lanes, found)
-                size = (model.below(lanes, found + 1) - low).astype(np.uint64)
-                coder.narrow(lanes, low.astype(np.uint64), size, step, coder.take)
-            ids[:k, t] = x
+            start = np.where(two, 0, end2)
+            width = np.where(two, end2, end1 - end2)
+            rest = np.flatnonzero(place >= end1)
+            if len(rest):
+                base, mine = end1[rest], block[rest]
+                found = model.find(mine, place[rest], base)
+                x[rest] = found
+                start[rest], width[rest] = model.parts(mine, found, base)
+            now = width * (now >> BITS) + place - start
+            empty = np.flatnonzero(now < LOW)
+            now[empty] = (now[empty] << 32) | words[at[empty]]
+            at[empty] += 1
+            state[:k] = now
+            ids[t, :k] = x
             model.learn(k, x)
-        for row, i in enumerate(wave):
-            out[i] = ids[row, : length[row]]
+        for i, w in enumerate(wave):
+            out[w] = np.zeros(sizes[w], np.int64)
+        for lane in range(n):
+            out[wave[block[lane]]][begin[lane] : begin[lane] + length[lane]] = ids[: length[lane], lane]
     return out
 
 

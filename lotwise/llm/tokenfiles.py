@@ -9,7 +9,9 @@ block's bytes), written to the shared folder and retried as any other. Parts of
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from lotwise.llm.rangecoder import BEGUN, GOES_ON, LANES, decode_blocks, encode_
 
 BLOCK_IDS = 1 << 14
 END = 0
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 # White space as the tokenizer's own splitting sees it
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -39,25 +41,30 @@ class _Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.cut = re.compile(_CHUNK).findall
-        self.known: dict[str, list[int]] = {}
+        # Ids as bytes, 32 bits little endian each
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*[c for c in cuts if c is not None]) - self.known.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[c] = e.ids
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[c] = _packed(e.ids)
         out = []
         for text, parts in zip(texts, cuts):
             if parts is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
-                ids = [i for c in parts for i in self.known[c]]
-            out.append(np.array([*ids, END], np.int64))
+                ids = b"".join(map(self.known.__getitem__, parts))
+            out.append(np.frombuffer(ids + _packed([END]), "<u4"))
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 def _write(path: str, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os

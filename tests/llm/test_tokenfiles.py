@@ -99,3 +99,19 @@ def test_frequencies_of_a_wave_are_kept_once(spark):
     assert R._Model(1, 65_536).span * R.LANES < 1 << 31
     lanes = np.array([0, 37])
     assert model.below(lanes, np.array([6, 6])).tolist() == [6, 6 + 3 * R.WEIGHT] and model.total[37] == 1000 + 3 * R.WEIGHT
+
+
+def test_a_block_is_coded_in_strands():
+    """A full block takes as many steps as its longest strand has ids, and its strands share what they learn."""
+    assert [R._strands(n).tolist() for n in (0, 1, 511, 512, 515)] == [[0], [1], [511], [256, 256], [258, 257]]
+    assert R._strands(T.BLOCK_IDS).tolist() == [T.BLOCK_IDS // R.STRANDS] * R.STRANDS
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 255, 256, 511, 513, 5000, 4097, 20_001]
+    blocks = [np.minimum(rng.zipf(1.3, n) - 1, 50_256) for n in sizes]
+    units = R.encode_blocks(blocks, 50_257)
+    assert all((a == b).all() for a, b in zip(blocks, R.decode_blocks(units, sizes, 50_257)))
+    words = units[-1][: R.STRANDS].astype(int)
+    assert len(units[-1]) == R.STRANDS + 2 * words.sum() and words.min() > 2
+    text = np.tile(rng.integers(0, 50_257, 499), 33)[:16_000]
+    (repeated,) = R.encode_blocks([text], 50_257)
+    assert 16 * len(repeated) < 2.5 * len(text)  # strands apart would take over 15 bits for half of their ids
