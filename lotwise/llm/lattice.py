@@ -80,9 +80,10 @@ def _merge(text: str, score: dict[str, float]) -> list[str]:
 
 
 def _steps(score: dict[str, float]):
-    """Adds to the edges of a word the pieces that may stand before each.
+    """Keeps the edges of a word that merges make and adds to each the pieces that may stand before it.
 
-    Edges of pieces that merges never make go, and so do those on no path from the beginning to the end of the word.
+    Merges give one result, so one path from the beginning to the end has only neighbours that stay apart. It is looked
+    for from the beginning, so that only pairs on the way are compared, not all pairs of the lattice.
     """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -103,31 +104,39 @@ def _steps(score: dict[str, float]):
                 known = pairs[a, b] = _merge(a + b, score) == [a, b]
             return known
 
+        def path(word: str, starts: list[int], ends: list[int], ids: list[int]) -> list[int]:
+            """Numbers of the edges of the one path whose neighbours all fit; longer pieces are tried first."""
+            after: dict[int, list[int]] = {}
+            for j, s in enumerate(starts):
+                after.setdefault(s, []).append(j)
+            # Edges still to be tried after each edge of the path; an edge that was left once leads nowhere.
+            way, open_, tried = [], [after[0]], set()
+            while open_:
+                if open_[-1]:
+                    j = open_[-1].pop()
+                    piece = word[starts[j] : ends[j]]
+                    # Nothing merges with the beginning or with a character outside the vocabulary.
+                    free = not way or ids[j] < -1 or ids[way[-1]] < -1
+                    if j in tried or ids[j] >= 0 and not stays(piece) or not (free or fits(word[starts[way[-1]] : ends[way[-1]]], piece)):
+                        continue
+                    tried.add(j)
+                    way.append(j)
+                    if ends[j] == len(word):
+                        return way
+                    open_.append(list(after[ends[j]]))
+                else:
+                    open_.pop()
+                    if way:
+                        way.pop()
+            return []
+
         for columns in batches:
             keep, before = [], []
             for word, starts, ends, ids in zip(*columns):
-                # (piece, id, number, numbers of the edges before it) of the edges that a path from the beginning reaches
-                by_end: dict[int, list[tuple[str, int, int, list]]] = {}
-                reached = []
-                for j, (s, e, i) in enumerate(zip(starts.tolist(), ends.tolist(), ids.tolist())):
-                    piece = word[s:e]
-                    if i >= 0 and not stays(piece):
-                        continue
-                    # Nothing merges with the beginning or with a character outside the vocabulary.
-                    prior = [o for o in by_end.get(s, ()) if o[1] < -1 or i < -1 or fits(o[0], piece)]
-                    if prior or s == 0:
-                        edge = (piece, i, j, prior)
-                        by_end.setdefault(e, []).append(edge)
-                        reached.append(edge)
-                live = {o[2] for o in by_end.get(len(word), ())}
-                kept, allowed = [], []
-                for _, _, j, prior in reversed(reached):
-                    if j in live:
-                        live.update([o[2] for o in prior])
-                        kept.append(j)
-                        allowed.append([o[1] for o in prior] or [-1])
-                keep.append(kept[::-1])
-                before.append(allowed[::-1])
+                names = ids.tolist()
+                way = path(word, starts.tolist(), ends.tolist(), names)
+                keep.append(way)
+                before.append([[-1], *[[names[j]] for j in way[:-1]]] if way else [])
             yield pd.DataFrame({"keep": keep, "before": before})
 
     return F.pandas_udf(run, "keep array<int>, before array<array<int>>")
@@ -169,7 +178,8 @@ def dictionary(words: DataFrame, pieces: DataFrame, merges: bool = True) -> Data
     starts = F.sequence(F.lit(0), F.least(F.lit(SLICE), F.length("slice")) - 1)
     places = slices.select("word", "base", "slice", F.explode(starts).alias("s"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("slice") - F.col("s")))
-    parts = places.select("word", "base", "s", F.explode(F.transform(sizes, lambda n: F.substr(F.col("slice"), F.col("s") + 1, n))).alias("part"))
+    sized = places.select("word", "base", "s", "slice", F.explode(sizes).alias("n"))
+    parts = sized.select("word", "base", "s", F.substr("slice", F.col("s") + 1, F.col("n")).alias("part"))
     found = parts.join(normal, "part", "left").where("id IS NOT NULL OR length(part) = 1")
     edge = F.struct(
         (F.col("base") + F.col("s")).alias("start"), (F.col("base") + F.col("s") + F.length("part")).alias("end"),
@@ -211,6 +221,17 @@ def decode(ids: Column, table: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
 
 
+def _staged_by_hash(known: DataFrame) -> DataFrame:
+    """Written while the words of a task are grouped by hash: they fit into its memory, and need no sort of all edges."""
+    conf, name = known.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, str(4 * WORDS_PER_TASK))
+    try:
+        return stage(known)
+    finally:
+        conf.set(name, before)
+
+
 def encode(docs: DataFrame, pieces: DataFrame, merges: bool = True, hot: int = HOT_WORDS) -> DataFrame:
     """One row per word of every row of ``docs``: row, doc_id, at, word, ids, exact (the ids decode to the word).
 
@@ -224,7 +245,7 @@ def encode(docs: DataFrame, pieces: DataFrame, merges: bool = True, hot: int = H
     table = hex_table(pieces).scalar()
     known = dictionary(counts, pieces, merges).select("word", "ids", table.alias("_h"))
     exact = decode(F.col("ids"), F.col("_h")) == F.replace("word", F.lit(SPACE), F.lit(" "))
-    known = stage(known.select("word", "ids", F.coalesce(exact, F.lit(False)).alias("exact")))
+    known = _staged_by_hash(known.select("word", "ids", F.coalesce(exact, F.lit(False)).alias("exact")))
     if counts.limit(hot + 1).count() <= hot:
         return rows.join(F.broadcast(known), "word", "left").select("row", "doc_id", "at", "word", "ids", "exact")
     frequent = stage(counts.orderBy(F.desc("n"), "word").limit(hot).select("word"))

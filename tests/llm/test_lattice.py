@@ -91,3 +91,30 @@ def test_edges_on_no_whole_path_go(spark):
     (got,) = L._steps(score).func(iter([(pd.Series(words), *columns)]))
     for w, es, keep in zip(words, edges, got["keep"]):
         assert [es[j][2] for j in keep] == model.encode(w[1:]) and len(keep) < len(es)
+
+
+def test_only_pairs_on_the_way_are_compared(spark, monkeypatch):
+    """A word is searched for its one path; not every pair of neighbours in its lattice is merged."""
+    import numpy as np
+    import pandas as pd
+
+    pieces = L.load_pieces(spark, PATH)
+    rows = pieces.where("kind = 'normal'").collect()
+    score, ids = {r.piece: r.score for r in rows}, {r.piece: r.id for r in rows}
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    words = [L.SPACE + w for w in ("unbelievably", "oftionnten", "thonsintheringand", "anhe", "ndshanreea", "中a")]
+    edges, pairs = [], 0
+    for w in words:
+        es = [(s, e, ids.get(w[s:e], L.OUTSIDE - s)) for s in range(len(w)) for e in range(s + 1, min(len(w), s + 16) + 1) if w[s:e] in ids or e == s + 1]
+        edges.append(es)
+        pairs += sum(a[1] == b[0] for a in es for b in es)
+    merged = []
+    merge = L._merge
+    monkeypatch.setattr(L, "_merge", lambda text, score: merged.append(text) or merge(text, score))
+    columns = [pd.Series([np.array([x[k] for x in es]) for es in edges]) for k in range(3)]
+    (got,) = L._steps(score).func(iter([(pd.Series(words), *columns)]))
+    for w, es, keep in zip(words, edges, got["keep"]):
+        if all(es[j][2] >= 0 for j in keep):
+            assert [es[j][2] for j in keep] == model.encode(w[1:])
+        assert "".join(w[es[j][0] : es[j][1]] for j in keep) == w
+    assert len(merged) < pairs / 4
