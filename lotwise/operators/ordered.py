@@ -258,14 +258,17 @@ def average_ranks(
     return df.join(ranks, [*keys, value])
 
 
-def with_rank(rows: DataFrame, keys: Sequence[str], value: str, rank: str, limit: int | None = None) -> DataFrame:
+def with_rank(
+    rows: DataFrame, keys: Sequence[str], value: str, rank: str, limit: int | None = None, weight: str | None = None
+) -> DataFrame:
     """Rows with their average rank, looked up by value; rows without a value are left out.
 
-    Distinct values are kept as a table first, and only they are sorted. Few of them are broadcast back to the rows.
+    A row counts as ``weight`` equal ones. Distinct values are kept as a table first, and only they are sorted. Few of them are broadcast back to the rows.
     """
     keys = list(keys)
     limit = min(_hot_limit(rows, limit), RUN_ROWS)
-    runs = stage(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("run_rows")))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    runs = stage(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("run_rows")))
     total = runs.agg(F.count(F.lit(1)), F.max("run_rows"), F.sum("run_rows")).first()
     table = sorted_runs(runs, keys, value, weight="run_rows", limit=limit)
     table = stage(table.select(*keys, value, (F.col("run_start") + (F.col("run_rows") + 1) / 2).alias(rank)))

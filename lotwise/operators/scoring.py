@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise import constants as K
 from lotwise.functions import binomial as B
 from lotwise.functions.robust import d
-from lotwise.operators.ordered import average_ranks, checked_broadcast, group_sizes, lookup_join, order_statistics, quantiles, sorted_runs
-from lotwise.session import stage
+from lotwise.operators.ordered import checked_broadcast, group_sizes, lookup_join, order_statistics, quantiles, sorted_runs, with_rank
+from lotwise.session import hot_rows, stage
 
 ALL = "all"
+# Rows that a task sorts at a time by each draw, those aimed at between two cuts, and marks per cut that cuts are chosen from
+CHUNK_ROWS = 250_000
+CUT_ROWS = 250_000
+CUT_MARKS = 256
 
 
 def with_total(rows: DataFrame, group: str) -> DataFrame:
@@ -141,31 +146,112 @@ def ablation(parts: DataFrame, screens: Sequence[str], settings: Mapping[str, Se
     )
 
 
-def weight_draw(seed: int, draw: Column, name: str) -> Column:
+def weight_draw(seed: int, draw: int, name: str) -> float:
     """A number in [0, 1) that depends on seed, draw and name alone."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.lit(name)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / d(float(1 << 32))
+    digest = hashlib.md5(f"{seed}:{draw}:{name}".encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16) / float(1 << 32)
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a task, about CHUNK_ROWS at a time."""
+    held, kept = [], 0
+    for batch in batches:
+        held.append(batch)
+        kept += len(batch)
+        if kept >= CHUNK_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, kept = [], 0
+    if kept:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _drawn(chunk: pd.DataFrame, drawn: list[dict[str, float]]) -> Iterator[np.ndarray]:
+    """The index of a chunk's rows under each draw, summed in the order of the weights."""
+    for weights in drawn:
+        out = np.zeros(len(chunk))
+        for name, w in weights.items():
+            out += w * chunk[name].to_numpy()
+        yield out
+
+
+def _evenly(drawn: list[dict[str, float]], step: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            marks = [np.sort(x)[step - 1 :: step] for x in _drawn(chunk, drawn)]
+            yield pd.DataFrame({"draw": np.arange(len(drawn), dtype="int32"), "marks": marks})
+
+    return run
+
+
+def _combined(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending, with the sums of their rows' n and s."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return x[first], np.add.reduceat(n[order], first), np.add.reduceat(s[order], first)
+
+
+def _cut(drawn: list[dict[str, float]], cuts: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            n, s = chunk["_rows"].to_numpy(), chunk["_sum"].to_numpy()
+            for draw, x in enumerate(_drawn(chunk, drawn)):
+                sorted_rows = _combined(x, n, s)
+                ends = np.searchsorted(sorted_rows[0], cuts[draw], side="right")
+                pieces = [[part.tobytes() for part in np.split(column, ends)] for column in sorted_rows]
+                out = pd.DataFrame(dict(zip("xns", pieces))).assign(draw=np.int32(draw), cut=np.arange(len(ends) + 1, dtype="int32"))
+                yield out[out["x"].map(len) > 0]
+
+    return run
+
+
+def _merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one draw between two cuts, with ranks counted from the middle of these rows."""
+    _, n, s = _combined(*(np.frombuffer(b"".join(pieces[c])) for c in "xns"))
+    total = n.sum()
+    rank = np.cumsum(n) - (n - 1) / 2 - (total + 1) / 2
+    return pd.DataFrame([(*key, total, s.sum(), (s * rank).sum(), (n * rank * rank).sum())], columns=["draw", "cut", "n", "s", "sr", "rr"])
 
 
 def rank_stability(
-    rows: DataFrame, keys: Sequence[str], weights: Mapping[str, float], draws: int = 200, jitter: float = 0.5, seed: int = 20260930,
-    limit: int | None = None,
+    rows: DataFrame, weights: Mapping[str, float], draws: int = 200, jitter: float = 0.5, seed: int = 20260930, limit: int | None = None
 ) -> DataFrame:
     """Spearman correlation of the work list with itself under each draw of jittered weights.
 
-    ``rows`` holds the keys and a component per weight; the index is their weighted sum. A row is exploded into its draws,
-    so no table of draws is joined, and ranks are taken within a draw.
+    ``rows`` holds a component per weight, none of them NULL; the index is their weighted sum. Equal rows are combined
+    first, and no row is written once per draw: a task sorts a chunk of rows by each draw's index, cuts it at values common
+    to all chunks and hands on the pieces as arrays. Pieces between the same cuts are merged in one group, whose sums
+    need no more than the number of rows below. Cuts steer the work only; results are exact whatever they are.
     """
     index = d(0.0)
     for name, w in weights.items():
         index = index + d(w) * F.col(name)
-    base = average_ranks(rows.select(*keys, *weights, index.alias("_base"), F.lit(0).alias("_one")), ["_one"], "_base", "_base_rank", limit)
-    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    index = d(0.0)
-    for name, w in weights.items():
-        index = index + d(w) * (d(1.0) + d(jitter) * (d(2.0) * weight_draw(seed, F.col("draw"), name) - d(1.0))) * F.col(name)
-    ranked = average_ranks(drawn.select("draw", "_base_rank", index.alias("_index")), ["draw"], "_index", "_rank", limit)
-    return ranked.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.corr("_base_rank", "_rank").alias("rho"))
+    points = stage(rows.groupBy(*weights).agg(F.count(F.lit(1)).alias("_rows")))
+    size, total = points.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    middle = d(((total or 0) + 1) / 2)
+    ranked = with_rank(points.withColumns({"_one": F.lit(0), "_base": index}), ["_one"], "_base", "_rank", limit, "_rows")
+    n = F.col("_rows").cast("double")
+    ranked = stage(ranked.select(*weights, n.alias("_rows"), (n * (F.col("_rank") - middle)).alias("_sum")))
+    drawn = [
+        {name: w * (1.0 + jitter * (2.0 * weight_draw(seed, draw, name) - 1.0)) for name, w in weights.items()} for draw in range(1, draws + 1)
+    ]
+    piece = min(hot_rows(rows.sparkSession) if limit is None else limit, CUT_ROWS)
+    cuts = [np.empty(0)] * draws
+    if size > piece:
+        marks = ranked.mapInPandas(_evenly(drawn, max(1, piece // CUT_MARKS)), "draw int, marks array<double>")
+        marks = marks.groupBy("draw").agg(F.sort_array(F.flatten(F.collect_list("marks"))).alias("_all"))
+        for draw, values in marks.select("draw", F.expr(f"filter(_all, (v, i) -> i % {CUT_MARKS} = {CUT_MARKS - 1})")).collect():
+            cuts[draw] = np.unique(values)
+    pieces = ranked.mapInPandas(_cut(drawn, cuts), "draw int, cut int, x binary, n binary, s binary")
+    sums = pieces.groupBy("draw", "cut").applyInPandas(_merge, "draw int, cut int, n double, s double, sr double, rr double")
+    before = Window.partitionBy("draw").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), d(0.0)) + (F.col("n") + 1) / 2 - middle
+    base = ranked.agg(F.sum(F.col("_sum") * F.col("_sum") / F.col("_rows"))).first()[0]
+    out = sums.withColumn("_shift", shift).groupBy((F.col("draw") + 1).alias("draw")).agg(
+        F.sum("n").cast("long").alias("n"), F.sum(F.col("sr") + F.col("_shift") * F.col("s")).alias("_xy"),
+        F.sum(F.col("rr") + F.col("n") * F.col("_shift") * F.col("_shift")).alias("_yy"),
+    )
+    return out.select("draw", "n", F.try_divide("_xy", F.sqrt(F.col("_yy") * d(base or 0.0))).alias("rho"))
 
 
 def ridge_corrections(

@@ -81,10 +81,9 @@ def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the order of all evidence rows by risk holds under 200 draws of weights."""
     ev = evidence_frame(spark, sf_dir).filter("risk_code IS NULL")
     rows = ev.select(
-        "component_id", "parameter", *[R.round6(F.col(f"risk_{c}")).alias(c) for c in ("anomaly", "drift", "margin", "quality")],
-        (-F.col("risk_credit")).alias("credit"),
+        *[R.round6(F.col(f"risk_{c}")).alias(c) for c in ("anomaly", "drift", "margin", "quality")], (-F.col("risk_credit")).alias("credit"),
     )
-    out = S.rank_stability(rows, ["component_id", "parameter"], K.WEIGHTS)
+    out = S.rank_stability(rows, K.WEIGHTS)
     return out.select("draw", "n", F.round("rho", 4).alias("rho"))
 
 
