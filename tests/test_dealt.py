@@ -68,3 +68,26 @@ def test_small_lots_are_counted_where_they_are(spark):
     plain, refused = evidence.refuse_small_lots(rows)
     assert sorted(good.collect(), key=str) == sorted(plain.select(*good.columns).collect(), key=str) and {r["component_id"] for r in good.collect()} == {0, 1, 2, 6}
     assert sorted(small.collect(), key=str) == sorted(refused.collect(), key=str)
+
+
+def test_dealt_lookup_is_made_once_and_only_where_wanted(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "a", 7)], "lot long, k string, x long")
+    table = spark.createDataFrame([(1, "a", 1.5), (1, "b", 2.5)], "lot long, k string, m double")
+    out = ordered.lookup_join(rows, table, ["lot", "k"], by=["lot"], where="x > 5")
+    assert {(r["x"], r["m"]) for r in out.collect()} == {(5, None), (6, 2.5), (7, None)}
+    plain = ordered.lookup_join(rows, table, ["lot", "k"], by=["lot"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.count("named_struct(k, k") == 1, plain
+
+
+def test_quartiles_of_hot_groups_take_few_cuts(spark):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 == 0, 3.0).otherwise((F.col("id") * 7919 % 59_999).cast("double")).alias("v")
+    )
+    cut, hot = ordered.bucketed(rows, ["k"], "v", limit=1_000, around=(0.25, 0.5, 0.75))
+    counts = {(r["k"], r["_bucket"]): r["count"] for r in cut.groupBy("k", "_bucket").count().collect()}
+    assert hot and {b for _, b in counts} <= set(range(8))
+    assert all(counts.get((k, b), 0) < 600 for k in (0, 1) for b in (2, 4, 6)), counts
+    exact = rows.toPandas().groupby("k")["v"].quantile([0.25, 0.5, 0.75])
+    for limit in (None, 1_000):
+        for r in ordered.quantiles(rows, ["k"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, limit=limit).collect():
+            assert r["n"] == 30_000 and [r["q1"], r["median"], r["q3"]] == [exact[r["k"], p] for p in (0.25, 0.5, 0.75)]
