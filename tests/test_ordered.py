@@ -122,3 +122,17 @@ def test_known_answers(spark):
         assert r["robust_sigma"] == pytest.approx(2.0)
         assert r["limit_high"] == pytest.approx(22.4)
         assert r["z"] == pytest.approx(z)
+
+
+def test_small_groups_are_gathered_with_the_same_result(spark):
+    rows = spark.range(600).select(
+        (F.col("id") % 7).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 101).cast("double")).alias("v"), F.col("id"),
+    ).filter("k < 6 OR id < 40")
+    picks = {**ordered.quantile_picks({"q1": 0.25, "median": 0.5}), "beyond": lambda n: n + 3, "before": lambda n: n - n - 1, "first": lambda n: n - n}
+    one = ordered.order_statistics(rows, ["k"], "v", picks, small_upto=20)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan, plan
+    large = ordered.GroupSizes(7, ordered.GATHERED_ROWS + 1, 600)
+    other = ordered.order_statistics(rows, ["k"], "v", picks, small_upto=20, sizes=large)
+    assert "Window" in other._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
